@@ -21,6 +21,7 @@ from .common import materialize, partitions
 
 SMALL = 24
 BLOCK = 128
+ROUNDS = 5
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -71,22 +72,45 @@ def verified(pairs: DataFrame, payload: DataFrame, check: Callable) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def labelled(long: DataFrame, labels: DataFrame) -> DataFrame:
+    return long.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+
+
+def as_links(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
+def stars(long: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): in each list of several components, another item of it and all that aren't of its component."""
+    rows = labelled(long, labels)
+    hub = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "label")).alias("hub")
+    hubs = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub).where("lo <> hi")
+    return rows.join(hubs, "key").where("label <> hub.label").select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b")).distinct()
+
+
 def block_links(long: DataFrame, labels: DataFrame, payload: DataFrame, check: Callable, likely: Callable) -> DataFrame:
     """Verified links (a, b) between different components within long lists.
 
     likely(key, datas, labels) gives the pairs of places to verify, the likeliest first.
     """
     spark = long.sparkSession
-    rows = long.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
+    rows = labelled(long, labels)
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = rows.join(mixed, "key").select("key", "id", "label", blocks.alias("nb"), own.alias("own"))
-    rows = rows.select("key", "id", "label", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    rows = rows.select("key", "id", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    # a pair of blocks that lie in one component has nothing to verify
-    unit = rows.groupBy("key", "i", "j").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "i", "j")
-    rows = rows.join(unit, ["key", "i", "j"]).join(payload.select("id", "data"), "id").select("key", "i", "j", "id", "label", "data")
+    rows = rows.join(mixed, "key").select("key", "id", "label")
+    # a component with many rows of a list gets blocks of its own, all others share blocks, whole components together
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("m"))
+    shared = sizes.where(f"m <= {BLOCK}").groupBy("key").agg(F.sum("m").alias("rest"))
+    sizes = sizes.join(shared, "key", "left").withColumn("pure", F.when(F.col("m") > BLOCK, F.col("label")))
+    sizes = sizes.withColumn("nb", F.ceil(F.coalesce(F.when(F.col("pure").isNotNull(), F.col("m")), "rest") / BLOCK).cast("int")).select("key", "label", "pure", "nb")
+    own = F.pmod(F.xxhash64(F.when(F.col("pure").isNull(), F.col("label")).otherwise(F.col("id"))), F.col("nb")).cast("int")
+    rows = materialize(rows.join(sizes, ["key", "label"]).select("key", "id", "label", F.coalesce(F.xxhash64("pure"), F.lit(0)).alias("comp"), own.alias("place")))
+    held = rows.groupBy("key", "comp", "place").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    one, two = (held.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("comp", "place", "lo", "hi"))) for k in "12")
+    # pairs of blocks; what lies in one component has nothing to verify
+    units = one.join(two, "key").where("(comp1, place1) <= (comp2, place2) and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)").select("key", "comp1", "place1", "comp2", "place2")
+    units = units.withColumn("i", F.xxhash64("comp1", "place1")).withColumn("j", F.xxhash64("comp2", "place2"))
+    sides = units.select("key", F.col("comp1").alias("comp"), F.col("place1").alias("place"), "i", "j").unionAll(units.where("i <> j").select("key", "comp2", "place2", "i", "j"))
+    rows = rows.join(sides, ["key", "comp", "place"]).join(payload.select("id", "data"), "id").select("key", "i", "j", "id", "label", "data")
     rows = rows.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +167,12 @@ def link(postings: DataFrame, payload: Callable[[DataFrame], DataFrame], check:
     labels = components(links)
     if long.isEmpty():
         return labels
+    # stars around other items join most of what is left, a few rows an item; blocks verify the rest
+    for turn in range(ROUNDS):
+        more = stars(long, labels, turn)
+        more = materialize(verified(sieve(more) if sieve else more, held, check))
+        if more.isEmpty():
+            break
+        labels = components(as_links(labels).unionAll(more))
     more = materialize(block_links(long, labels, held, check, likely))
-    if more.isEmpty():
-        return labels
-    return components(links.unionAll(more))
+    return labels if more.isEmpty() else components(as_links(labels).unionAll(more))

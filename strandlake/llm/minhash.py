@@ -24,6 +24,7 @@ from . import linking
 from .common import id_text, materialize
 
 COORDS = 64
+WIDTH = 5  # bytes of a coordinate's value: chance matches stay rare in billions of documents
 SKETCH = 18  # bits: counters of the frequency sketch
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,20 +62,30 @@ def shingles(text: bytes, size: int = 5) -> np.ndarray:
 
 
 def signature(grams: np.ndarray) -> np.ndarray:
-    """The minimum of each coordinate's permutation, its upper 32 bits."""
+    """The minimum of each coordinate's permutation, mixed to WIDTH bytes: rows of a byte matrix."""
     out = np.full(COORDS, (1 << 64) - 1, np.uint64)
     for at in range(0, len(grams), 512):
         part = grams[at : at + 512]
         out = np.minimum(out, (part[None] * _MUL[:, None] + _ADD[:, None]).min(axis=1))
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return np.ascontiguousarray(_mixed(out).view(np.uint8).reshape(COORDS, 8)[:, :WIDTH])
 
 
-def pair_keys(sig: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each coordinate-value pair."""
-    x = (sig.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ _TAG.astype(np.uint64)
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(29))).view(np.int64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def values(sigs: list[bytes]) -> np.ndarray:
+    """The coordinates' values of packed signatures, a row each."""
+    out = np.zeros((len(sigs), COORDS, 8), np.uint8)
+    out[:, :, :WIDTH] = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), COORDS, WIDTH)
+    return out.view(np.uint64)[:, :, 0]
+
+
+def pair_keys(sigs: list[bytes]) -> np.ndarray:
+    """A 64-bit key of each coordinate-value pair, a row a signature."""
+    return _mixed(values(sigs) * np.uint64(0x9E3779B97F4A7C15) ^ _TAG.astype(np.uint64)).view(np.int64)
 
 
 def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -99,8 +110,8 @@ def _sketch(reps: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(1 << SKETCH, np.int64)
         for batch in batches:
-            for s in batch["sig"].to_pylist():
-                count[pair_keys(np.frombuffer(s, np.uint32)).view(np.uint64) >> np.uint64(64 - SKETCH)] += 1
+            keys = pair_keys(batch["sig"].to_pylist()).view(np.uint64) >> np.uint64(64 - SKETCH)
+            count += np.bincount(keys.ravel().astype(np.int64), minlength=1 << SKETCH)
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count[at])], ["at", "n"])
 
@@ -110,10 +121,11 @@ def _sketch(reps: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefix(sig: bytes, count: np.ndarray, length: int) -> np.ndarray:
-    """The first `length` pair keys, rare classes first, in one order for all documents."""
-    keys = pair_keys(np.frombuffer(sig, np.uint32))
-    return keys[np.lexsort((keys, count[keys.view(np.uint64) >> np.uint64(64 - SKETCH)]))[:length]]
+def _prefix(sigs: list[bytes], count: np.ndarray, length: int) -> np.ndarray:
+    """The first `length` pair keys of each signature, rare classes first, in one order for all documents."""
+    keys = pair_keys(sigs)
+    rare = count[keys.view(np.uint64) >> np.uint64(64 - SKETCH)]
+    return np.take_along_axis(keys, np.lexsort((keys, rare))[:, :length], 1)
 
 
 def near(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,16 +150,15 @@ def near(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "doc_i
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [_prefix(s, count.value, length) for s in batch["sig"].to_pylist()]
-            ids = np.repeat(batch["id"].to_numpy(), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(ids, pa.int64())], ["key", "id"])
+            keys = _prefix(batch["sig"].to_pylist(), count.value, length)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch["id"].to_numpy(), length), pa.int64())], ["key", "id"])
 
     postings = first.select("id", "sig").mapInArrow(post, "key long, id long").distinct()
 
     def sieve(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(-1, COORDS) for c in ("x", "y"))
+                x, y = (values(batch[c].to_pylist()) for c in ("x", "y"))
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
 
         left, right = (first.select(F.col("id").alias(k), F.col("sig").alias(s)) for k, s in (("a", "x"), ("b", "y")))
@@ -167,7 +178,7 @@ def near(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "doc_i
         return texts.mapInArrow(run, "id long, data binary").dropDuplicates(["id"])
 
     def grams_of(data: bytes) -> np.ndarray:
-        return np.frombuffer(data, np.uint64, offset=4 * COORDS)
+        return np.frombuffer(data, np.uint64, offset=WIDTH * COORDS)
 
     def check(x: bytes, y: bytes) -> bool:
         a, b = grams_of(x), grams_of(y)
@@ -179,12 +190,13 @@ def near(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "doc_i
         return 100 * both >= percent * (len(a) + len(b) - both)
 
     def likely(key: int, datas: tuple[bytes, ...], labels: np.ndarray) -> list[tuple[int, int]]:
-        sigs = np.array([np.frombuffer(d, np.uint32, COORDS) for d in datas])
-        sizes = np.array([(len(d) - 4 * COORDS) // 8 for d in datas])
+        packed = [d[: WIDTH * COORDS] for d in datas]
+        sigs = values(packed)
+        sizes = np.array([(len(d) - WIDTH * COORDS) // 8 for d in datas])
         agree = (sigs[:, None] == sigs[None]).sum(axis=2, dtype=np.int16)
         fit = (agree >= least) & (labels[:, None] != labels[None]) & (100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes))
         p, q = np.nonzero(np.triu(fit, 1))
-        prefix = [_prefix(d[: 4 * COORDS], count.value, length).tolist() for d in datas]
+        prefix = _prefix(packed, count.value, length).tolist()
         sets = [set(x) for x in prefix]
         order = np.argsort(-agree[p, q], kind="stable")
         # a pair that shares several keys is merged in the list of the first
