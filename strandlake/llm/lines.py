@@ -19,11 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import id_text, materialize
+from .common import bitmap, id_text, in_bitmap, materialize
 
 EDITS = 2
 FUZZY = 24
-SIEVE = 26  # bits: size of the broadcast bitmaps, 8 MB
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -154,22 +153,6 @@ def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
         yield out
 
 
-def _bitmap(df: DataFrame, column: str):
-    """A broadcast bitmap of 2^SIEVE bits with the bit of each value, taken modulo its size, set."""
-    bit = F.pmod(F.col(column), F.lit(1 << SIEVE)).cast("long") + 1  # the functions count from 1
-    rows = df.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    out = np.zeros((1 << SIEVE) // 8, np.uint8)
-    for r in rows:
-        at = (r["at"] - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return df.sparkSession.sparkContext.broadcast(out)
-
-
-def _bit(value: int) -> int:
-    """The place of an unsigned value's bit: bucket and position as Spark counts them."""
-    return value & ((1 << SIEVE) - 1)
-
-
 def classes(docs: DataFrame) -> DataFrame:
     """(id, component) of the lines that are alike another one without being identical."""
 
@@ -182,14 +165,14 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = docs.select("text")
     shared = texts.mapInArrow(post, "key long, id long").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     shared = materialize(shared)
-    held = _bitmap(shared, "key")
+    held = bitmap(shared, "key")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for fresh in _fresh(batches):
             ids, lines, keys = [], [], []
             for x in fresh:
-                own = [k for k in keys_of(x) if bits[(b := _bit(k)) >> 3] >> (b & 7) & 1]
+                own = [k for k in keys_of(x) if in_bitmap(bits, k)]
                 if own:
                     ids.append(line_id(x))
                     lines.append(x)

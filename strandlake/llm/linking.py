@@ -153,7 +153,7 @@ def block_links(long: DataFrame, labels: DataFrame, payload: DataFrame, check: C
 
 
 def link(postings: DataFrame, payload: Callable[[DataFrame], DataFrame], check: Callable, likely: Callable, sieve: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(id, component) of the linked items of `postings` (key, id), distinct rows.
+    """(id, component) of the linked items of `postings` (key, id).
 
     payload(ids) gives (id, data) of the items in `ids`; sieve(pairs) drops pairs that
     can't pass, cheaply; check and likely as above.

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import id_text, materialize
+from .common import bitmap, id_text, in_bitmap, materialize
 
 COORDS = 64
 WIDTH = 5  # bytes of a coordinate's value: chance matches stay rare in billions of documents
@@ -134,9 +134,9 @@ def near(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "doc_i
     Documents are linked where 100 * intersection >= percent * union of their sets; the
     component is the smallest doc_id that links reach. A null or empty text has an empty
     set and is linked with nothing. A row without an id is linked with nothing, has no
-    component and is kept. Rows that repeat an id are one document to the links if their
-    texts are alike, else each has its own text's links. Other columns are not read; an
-    empty table gives no rows.
+    component and is kept. Rows that repeat an id with different texts are linked by the
+    one whose set has the smallest digest. Other columns are not read; an empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     least = least_matches(percent)
@@ -153,7 +153,7 @@ def near(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "doc_i
             keys = _prefix(batch["sig"].to_pylist(), count.value, length)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch["id"].to_numpy(), length), pa.int64())], ["key", "id"])
 
-    postings = first.select("id", "sig").mapInArrow(post, "key long, id long").distinct()
+    postings = first.select("id", "sig").mapInArrow(post, "key long, id long")
 
     def sieve(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,17 +165,20 @@ def near(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "doc_i
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
     def payload(ids: DataFrame) -> DataFrame:
+        held = bitmap(ids, "id")
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = []
+                batch = batch.filter(pa.array(in_bitmap(held.value, batch["doc_id"].to_numpy()).astype(bool)))
+                digest, data = [], []
                 for t in batch["text"].cast(pa.binary()).to_pylist():
                     grams = shingles(t, size)
-                    out.append(signature(grams).tobytes() + grams.tobytes())
-                yield pa.RecordBatch.from_arrays([batch["id"], pa.array(out, pa.binary())], ["id", "data"])
+                    digest.append(xxhash.xxh3_128_digest(grams.tobytes()))
+                    data.append(signature(grams).tobytes() + grams.tobytes())
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(digest, pa.binary()), pa.array(data, pa.binary())], ["id", "digest", "data"])
 
-        # a repeated id stands with the text of the set that it is the first of
-        texts = base.join(ids, base["doc_id"] == ids["id"]).select("id", "text")
-        return texts.mapInArrow(run, "id long, data binary").dropDuplicates(["id"])
+        sets = base.where("doc_id is not null").mapInArrow(run, "id long, digest binary, data binary")
+        return sets.join(ids, "id", "left_semi").groupBy("id").agg(F.min_by("data", "digest").alias("data"))
 
     def grams_of(data: bytes) -> np.ndarray:
         return np.frombuffer(data, np.uint64, offset=WIDTH * COORDS)
