@@ -41,10 +41,10 @@ def kmers(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     return out.select(*keep, "pos", F.col(seq).substr(F.col("pos"), F.lit(k)).alias("kmer"))
 
 
-def features(df: DataFrame, k: int = 12, every: int = 16, seq: str = "seq") -> DataFrame:
-    """Portable features: the k-mers whose hash `every` divides, with pos and hash."""
-    out = kmers(df, k, seq).withColumn("hash", S.portable_hash(F.col("kmer"))).drop("kmer")
-    return out.where(F.col("hash") % every == 0)
+def features(df: DataFrame, k: int = 12, prefix: str = "AC", seq: str = "seq") -> DataFrame:
+    """Portable features: pos and hash of the k-mers that start with a prefix, so most are never hashed."""
+    rows = kmers(df, k, seq).where(F.startswith("kmer", F.lit(prefix)))
+    return rows.withColumn("hash", S.portable_hash(F.col("kmer"))).drop("kmer")
 
 
 def syncmers(df: DataFrame, by: list[str], order: str, smer_hash: str, span: int) -> DataFrame:
@@ -92,7 +92,7 @@ def threshold(freq: DataFrame, unique_degree: int = 1, quantile: float = 0.999)
     hist = freq.groupBy(F.floor(F.log2("df")).cast("int").alias("bucket")).agg((4 * F.count("*")).alias("n"), F.max("df").alias("most"))
     total = hist.agg(F.sum("n").alias("v"), F.max("most").alias("most"))
     walk = hist.withColumn("held", F.sum("n").over(W.orderBy(F.desc("bucket"))))  # at most 64 rows
-    hit = walk.crossJoin(F.broadcast(total)).withColumn("need", F.ceil((1 - quantile) * F.col("v")))
+    hit = walk.drop("most").crossJoin(F.broadcast(total)).withColumn("need", F.ceil((1 - quantile) * F.col("v")))  # one row
     out = hit.agg(F.max(F.when(F.col("held") >= F.col("need"), F.col("bucket"))).alias("bucket"), F.max("most").alias("most"))
     value = F.pow(F.lit(2.0), F.col("bucket")).cast("long")
     return out.select(value.alias("threshold"), ((value > unique_degree) & (F.col("most") > unique_degree)).alias("enabled"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import scalars as S
 from strandlake.operators import features, probe, score
 
-K, EVERY, BINS, DISPERSION = 12, 16, 64, 0.25
+K, PREFIX, BINS, DISPERSION = 12, "AC", 64, 0.25
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,12 @@ def r6(x, name: str):
     return F.round(x, 6).alias(name)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores, dealt out anew before its rows multiply."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 class Base:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -37,7 +43,7 @@ class Base:
 
     @cached_property
     def refs(self) -> DataFrame:
-        return self.documents.select(F.col("doc_id").alias("tid"), F.col("lang").alias("genus"), F.concat_ws("/", "lang", "source").alias("species"), S.fold(F.col("text")).alias("seq"))
+        return spread(self.documents.select("doc_id", "text", "lang", "source")).select(F.col("doc_id").alias("tid"), F.col("lang").alias("genus"), F.concat_ws("/", "lang", "source").alias("species"), S.fold(F.col("text")).alias("seq"))
 
     @cached_property
     def reads(self) -> DataFrame:
@@ -45,11 +51,11 @@ class Base:
 
     @cached_property
     def dfeat(self) -> DataFrame:
-        return features.features(self.refs, K, EVERY).withColumn("bin", F.col("tid") % BINS)
+        return features.features(self.refs, K, PREFIX).withColumn("bin", F.col("tid") % BINS)
 
     @cached_property
     def rfeat(self) -> DataFrame:
-        return features.features(self.reads, K, EVERY)
+        return features.features(self.reads, K, PREFIX)
 
     @cached_property
     def df(self) -> DataFrame:
@@ -101,15 +107,15 @@ refs AS (SELECT doc_id AS tid, lang AS genus, lang || '/' || source AS species,
 reads AS (SELECT item_id AS read, {_FOLD} AS seq FROM benchmark),
 dk AS (SELECT tid, genus, species, tid % {BINS} AS bin, i AS pos, substr(seq, i, {K}) AS kmer FROM refs, unnest(range(1, length(seq) - {K - 2})) u(i)),
 rk AS (SELECT read, i AS pos, substr(seq, i, {K}) AS kmer FROM reads, unnest(range(1, length(seq) - {K - 2})) u(i)),
-dfeat AS (SELECT * FROM (SELECT tid, genus, species, bin, pos, ('0x' || substr(md5(kmer), 1, 15))::BIGINT AS hash FROM dk) WHERE hash % {EVERY} = 0),
-rfeat AS (SELECT * FROM (SELECT read, pos, ('0x' || substr(md5(kmer), 1, 15))::BIGINT AS hash FROM rk) WHERE hash % {EVERY} = 0),
+dfeat AS (SELECT * FROM (SELECT tid, genus, species, bin, pos, ('0x' || substr(md5(kmer), 1, 15))::BIGINT AS hash FROM dk WHERE starts_with(kmer, '{PREFIX}'))),
+rfeat AS (SELECT * FROM (SELECT read, pos, ('0x' || substr(md5(kmer), 1, 15))::BIGINT AS hash FROM rk WHERE starts_with(kmer, '{PREFIX}'))),
 df AS (SELECT hash, count(*) AS df FROM dfeat GROUP BY 1),
 freq AS (SELECT hash & 4194303 AS h22, count(*) AS df FROM dfeat GROUP BY 1),
 v AS (SELECT 4 * count(*) AS v FROM freq),
 idx AS (SELECT DISTINCT hash, bin, tid, species, genus FROM dfeat),
 hits AS (SELECT r.read, r.pos, r.hash, i.bin, i.tid, i.species, i.genus FROM rfeat r JOIN idx i USING (hash)),
 per0 AS (SELECT read, pos, hash, count(DISTINCT species) AS deg, count(DISTINCT bin) AS dfb FROM hits GROUP BY 1, 2, 3),
-per1 AS (SELECT *, CASE WHEN deg = 1 AND dfb = 1 AND df <= 1 THEN 1.0 WHEN deg = 1 AND dfb > 1 THEN {DISPERSION} ELSE 0.0 END AS strength,
+per1 AS (SELECT *, CASE WHEN deg = 1 AND dfb = 1 AND df <= 1 THEN 1.0 WHEN deg = 1 AND dfb > 1 THEN {DISPERSION} ELSE 0.0 END::DOUBLE AS strength,
          dfb + ((CASE WHEN deg = 1 AND dfb > 1 THEN 1 ELSE dfb END) - dfb) * {DISPERSION}::DOUBLE AS dfi FROM per0 LEFT JOIN df USING (hash)),
 per2 AS (SELECT *, 8 * pow({clamp_sql(f"log2(({BINS} + 1) / (dfi + 1))", 0.5 * (1 - DISPERSION), "8.0")} / 8, {1 + 0.25 * DISPERSION}) AS idf,
          {clamp_sql("log2(((SELECT v FROM v) + 1) / (df + 1))", 0.25, "6.0")} AS bg FROM per1),

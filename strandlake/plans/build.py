@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import scalars as S
 from strandlake.operators import features, packing, taxonomy
 
-from .base import EVERY, K, Base, query, r6
+from .base import K, Base, query, r6
 
 
 @query("f1_length_filter", "SELECT tid, length(seq)::INTEGER AS n FROM refs WHERE length(seq) >= 67")

@@ -290,7 +290,7 @@ def _(b: Base):
 
 _ANCH = """
 , qa AS (SELECT read, pos, ('0x' || substr(md5(kmer), 1, 15))::BIGINT AS key, (kmer > translate(reverse(kmer), 'ACGT', 'TGCA'))::INTEGER AS strand FROM rk),
-ta AS (SELECT tid, pos, hash AS key, strand FROM (SELECT tid, pos, ('0x' || substr(md5(kmer), 1, 15))::BIGINT AS hash, (kmer > translate(reverse(kmer), 'ACGT', 'TGCA'))::INTEGER AS strand FROM dk) WHERE hash % 4 = 0),
+ta AS (SELECT tid, pos, hash AS key, strand FROM (SELECT tid, pos, ('0x' || substr(md5(kmer), 1, 15))::BIGINT AS hash, (kmer > translate(reverse(kmer), 'ACGT', 'TGCA'))::INTEGER AS strand FROM dk WHERE starts_with(kmer, 'A'))),
 tr AS (SELECT * FROM ta WHERE key IN (SELECT key FROM ta GROUP BY 1 HAVING count(*) <= 500)),
 ah0 AS (SELECT read, tid, q.pos AS qpos, t.pos AS tpos, xor(q.strand, t.strand) AS orient FROM qa q JOIN tr t USING (key)),
 ch AS (SELECT read, tid, orient, diag, count(*) AS n, 50 * count(*) + floor(least(max(qpos) - min(qpos), max(tpos) - min(tpos)) / 20)::BIGINT AS score
@@ -305,7 +305,7 @@ def _anchors(kmers, key: str):
 def anchors(b: Base):
     from strandlake.operators import features
 
-    return _anchors(features.kmers(b.reads, 12), "read"), _anchors(features.kmers(b.refs.select("tid", "seq"), 12), "tid").where("key % 4 = 0")
+    return _anchors(features.kmers(b.reads, 12), "read"), _anchors(features.kmers(b.refs.select("tid", "seq"), 12).where("startswith(kmer, 'A')"), "tid")
 
 
 def chained(b: Base):
