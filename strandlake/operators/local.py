@@ -36,7 +36,7 @@ def even_tokens(rows: DataFrame, by: str, order: str, budget: int = 256) -> Data
     """The rows at places floor(i n / budget), all of them if there are no more than the budget."""
     n = F.count("*").over(W.partitionBy(by))
     at = F.row_number().over(W.partitionBy(by).orderBy(order)) - 1
-    first = F.ceil(at * budget / F.col("n"))  # the least i whose place can be this one
+    first = F.ceil(F.col("at") * budget / F.col("n"))  # the least i whose place can be this one
     hit = (F.col("n") <= budget) | ((first < budget) & (F.floor(first * F.col("n") / budget) == F.col("at")))
     return rows.withColumn("n", n).withColumn("at", at).where(hit).drop("n", "at")
 

@@ -147,7 +147,7 @@ def _(b: Base):
 
 @query(
     "j6_to_genus",
-    "SELECT tree.taxid, coalesce(at, 0) AS genus FROM tree LEFT JOIN (SELECT c.taxid, arg_min(anc, dist) AS at FROM closure c JOIN tree t ON t.taxid = anc AND t.rank = 'genus' GROUP BY 1) USING (taxid)",
+    "SELECT tree.taxid, coalesce(hit, 0) AS genus FROM tree LEFT JOIN (SELECT c.taxid, arg_min(anc, dist) AS hit FROM closure c JOIN tree t ON t.taxid = anc AND t.rank = 'genus' GROUP BY 1) USING (taxid)",
 )
 def _(b: Base):
     lineage = taxonomy.closure(b.tree.select("taxid", "parent"))
@@ -156,7 +156,7 @@ def _(b: Base):
 
 @query(
     "j6_to_species",
-    "SELECT tree.taxid, coalesce(at, tree.taxid) AS species FROM tree LEFT JOIN (SELECT c.taxid, arg_min(anc, dist) AS at FROM closure c JOIN tree t ON t.taxid = anc AND t.rank = 'species' GROUP BY 1) USING (taxid)",
+    "SELECT tree.taxid, coalesce(hit, tree.taxid) AS species FROM tree LEFT JOIN (SELECT c.taxid, arg_min(anc, dist) AS hit FROM closure c JOIN tree t ON t.taxid = anc AND t.rank = 'species' GROUP BY 1) USING (taxid)",
 )
 def _(b: Base):
     lineage = taxonomy.closure(b.tree.select("taxid", "parent"))

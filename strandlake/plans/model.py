@@ -364,7 +364,7 @@ def _(b: Base):
     return local.round_robin(targets(b)).select("target", "genus", "rank")
 
 
-_PANEL = _TGT + ", pg AS (SELECT * FROM (SELECT genus, row_number() OVER (ORDER BY sum(length) DESC, genus) AS g FROM kt GROUP BY 1) WHERE g <= 3), ps AS (SELECT * FROM (SELECT genus, species, row_number() OVER (PARTITION BY genus ORDER BY sum(length) DESC, species) AS s FROM kt GROUP BY 1, 2) WHERE s <= 8), panel AS (SELECT * FROM (SELECT kt.*, row_number() OVER (PARTITION BY genus ORDER BY s, target) AS t FROM kt JOIN pg USING (genus) JOIN ps USING (genus, species)) WHERE t <= 32)"
+_PANEL = _TGT + ", pg AS (SELECT * FROM (SELECT genus, row_number() OVER (ORDER BY sum(length) DESC, genus) AS g FROM kt GROUP BY 1) WHERE g <= 3), ps AS (SELECT * FROM (SELECT genus, species, row_number() OVER (PARTITION BY genus ORDER BY sum(length) DESC, species) AS s FROM kt GROUP BY 1, 2) WHERE s <= 8), panel AS (SELECT * FROM (SELECT kt.*, row_number() OVER (PARTITION BY genus ORDER BY ps.s, target) AS t FROM kt JOIN pg USING (genus) JOIN ps USING (genus, species)) WHERE t <= 32)"
 
 
 def panel(b: Base):

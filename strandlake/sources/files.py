@@ -24,38 +24,38 @@ def key_values(df: DataFrame, column: str = "value") -> DataFrame:
     """(key, value) of `key=value` lines; comments and blank lines are skipped."""
     text = F.trim(F.col(column))
     parts = F.split(text, "=", 2)
-    return df.where((text != "") & ~text.startswith("#") & text.contains("=")).select(F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value"))
+    return df.where((text != "") & ~text.startswith("#") & text.contains("=")).select(F.trim(F.get(parts, F.lit(0))).alias("key"), F.trim(F.get(parts, F.lit(1))).alias("value"))
 
 
 def nodes(df: DataFrame, column: str = "value") -> DataFrame:
     """(taxid, parent, rank) of nodes.dmp lines."""
     f = F.split(F.col(column), "\\t\\|\\t?")
-    return df.select(f[0].cast("int").alias("taxid"), f[1].cast("int").alias("parent"), f[2].alias("rank"))
+    return df.select(F.get(f, F.lit(0)).cast("int").alias("taxid"), F.get(f, F.lit(1)).cast("int").alias("parent"), F.get(f, F.lit(2)).alias("rank"))
 
 
 def names(df: DataFrame, column: str = "value") -> DataFrame:
     """(taxid, name) of the scientific names in names.dmp lines."""
     f = F.split(F.col(column), "\\t\\|\\t?")
-    return df.where(f[3] == "scientific name").select(f[0].cast("int").alias("taxid"), f[1].alias("name"))
+    return df.where(F.get(f, F.lit(3)) == "scientific name").select(F.get(f, F.lit(0)).cast("int").alias("taxid"), F.get(f, F.lit(1)).alias("name"))
 
 
 def tax_info(df: DataFrame, column: str = "value") -> DataFrame:
     """(node, parent, rank, name) of lines with at least four fields."""
     f = F.split(F.col(column), "\\t")
-    return df.where(F.size(f) >= 4).select(*(f[i].alias(n) for i, n in enumerate(("node", "parent", "rank", "name"))))
+    return df.where(F.size(f) >= 4).select(*(F.get(f, F.lit(i)).alias(n) for i, n in enumerate(("node", "parent", "rank", "name"))))
 
 
 def evidence(df: DataFrame, column: str = "value") -> DataFrame:
     """(taxid, count) of `taxid<tab>count` lines with a positive count; the header and comments are skipped."""
     f = F.split(F.col(column), "\\t")
     count = F.try_element_at(f, F.lit(2)).try_cast("double")
-    return df.where(~F.col(column).startswith("#") & (F.lower(f[0]) != "taxid") & (count > 0)).select(f[0].alias("taxid"), count.alias("count"))
+    return df.where(~F.col(column).startswith("#") & (F.lower(F.get(f, F.lit(0))) != "taxid") & (count > 0)).select(F.get(f, F.lit(0)).alias("taxid"), count.alias("count"))
 
 
 def krona_taxid(df: DataFrame, column: str = "value") -> DataFrame:
     """(taxid) of per-read lines: the first field after the id that isn't a `POST_` one, before its colon."""
     fields = F.filter(F.slice(F.split(F.col(column), "\\t"), 2, 1000), lambda x: ~x.startswith("POST_"))
-    return df.select(F.split(F.try_element_at(fields, F.lit(1)), ":")[0].alias("taxid"))
+    return df.select(F.get(F.split(F.try_element_at(fields, F.lit(1)), ":"), F.lit(0)).alias("taxid"))
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
