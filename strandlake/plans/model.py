@@ -341,7 +341,7 @@ def _(b: Base):
     return score.ranked(mass.withColumnRenamed("mass", "score")).select("read", "species", F.col("score").alias("mass"), "rn")
 
 
-@query("w12_even_budget", "SELECT read, pos, hash FROM (SELECT *, count(*) OVER (PARTITION BY read) AS n, row_number() OVER (PARTITION BY read ORDER BY pos) - 1 AS at FROM rfeat) WHERE n <= 8 OR list_contains(list_transform(range(8), lambda i: i * n // 8), at)")
+@query("w12_even_budget", "SELECT read, pos, hash FROM (SELECT *, count(*) OVER (PARTITION BY read) AS n, row_number() OVER (PARTITION BY read ORDER BY pos) - 1 AS place FROM rfeat) WHERE n <= 8 OR list_contains(list_transform(range(8), lambda i: i * n // 8), place)")
 def _(b: Base):
     return local.even_tokens(b.rfeat, "read", "pos", 8).select("read", F.col("pos").cast("long").alias("pos"), "hash")
 
