@@ -191,6 +191,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _ids(rows: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(r) // 4 for r in rows])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+
+
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) for each row of `df`.
 
@@ -204,28 +209,52 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 rows = [packed(t) for t in part["text"].to_pylist()]
-                ends = np.cumsum([0] + [len(r) // 4 for r in rows])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], ids], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], _ids(rows)], ["doc_id", "ids"])
 
     return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def _texts(token: np.ndarray, rows: list[bytes]) -> pa.Array:
+    """The decoded texts of packed ids."""
+    return pa.array([" ".join(token[np.frombuffer(r, "<u4")].tolist()) for r in rows], pa.string())
+
+
+def _tokens(path: str) -> np.ndarray:
+    """The token of each id; an id that the file doesn't have is an empty text."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    own = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
+    return np.array([own.get(i, "") for i in range(max(own) + 1)], object)
+
+
 def decode(df: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded) from (doc_id, ids): the text of the ids, special tokens included; no ids, an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        token = [own.token.get(i, "") for i in range(max(own.token) + 1)].__getitem__
+        token = _tokens(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                out = [" ".join(map(token, r or ())) for r in part["ids"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["ids"], pa.array(out, pa.string())], ["doc_id", "ids", "decoded"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                out = _texts(token, [np.array(r or (), "<u4").tobytes() for r in part["ids"].to_pylist()])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["ids"], out], ["doc_id", "ids", "decoded"])
 
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
+def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(df)) in one pass, so ids don't leave the worker in between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, token = encoder(path).packed, _tokens(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rows = [packed(t) for t in part["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], _ids(rows), _texts(token, rows)], ["doc_id", "ids", "decoded"])
+
+    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
 def digests(df: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of decode()'s rows."""
     return df.select(

@@ -31,7 +31,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), WORDS), WORDS))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), WORDS))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
