@@ -14,6 +14,7 @@ Encoders are built once per Python worker; finished words are kept in a bounded
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
@@ -51,7 +52,8 @@ def byte_symbols() -> list[str]:
 class Encoder:
     """Ids of texts, equal to those of the tokenizers library without special-token templates."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -115,7 +117,7 @@ class Encoder:
         if out is None:
             symbols = list(word) if word.isascii() and word.isalnum() else [self.symbol[b] for b in word.encode("utf-8", "replace")]
             out = self._ids(symbols)
-            if len(self.of_word) >= CACHE:
+            if len(self.of_word) >= self.cache:
                 self.of_word.clear()
             self.of_word[word] = out
         return out
@@ -143,11 +145,11 @@ class Encoder:
                 out = word(text[:-1]) + word(text[-1])
             else:
                 out = b"".join([word(w) for w in self.find(text)])
-        if len(self.of_chunk) < CACHE:
+        if len(self.of_chunk) < self.cache:
             self.of_chunk[chunk] = out
         else:
             self.missed += 1
-            if self.missed > 5 * CACHE:  # the texts have changed: start again
+            if self.missed > 5 * self.cache:  # the texts have changed: start again
                 self.of_chunk.clear()
                 self.missed = 0
         return out
@@ -184,10 +186,10 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = CACHE) -> Encoder:
     """One encoder a process."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, cache)
     return _encoders[path]
 
 
@@ -219,6 +221,7 @@ def _texts(token: np.ndarray, rows: list[bytes]) -> pa.Array:
     return pa.array([" ".join(token[np.frombuffer(r, "<u4")].tolist()) for r in rows], pa.string())
 
 
+@functools.cache
 def _tokens(path: str) -> np.ndarray:
     """The token of each id; an id that the file doesn't have is an empty text."""
     with open(path, encoding="utf-8") as f:
@@ -233,7 +236,7 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = _tokens(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
+            for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 512)
                 out = _texts(token, [np.array(r or (), "<u4").tobytes() for r in part["ids"].to_pylist()])
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["ids"], out], ["doc_id", "ids", "decoded"])
@@ -245,9 +248,9 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """decode(encode(df)) in one pass, so ids don't leave the worker in between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, token = encoder(path).packed, _tokens(path)
+        packed, token = encoder(path, CACHE // 3).packed, _tokens(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
+            for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 512)
                 rows = [packed(t) for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], _ids(rows), _texts(token, rows)], ["doc_id", "ids", "decoded"])
