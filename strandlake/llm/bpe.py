@@ -237,7 +237,7 @@ def decode(df: DataFrame, path: str) -> DataFrame:
         token = _tokens(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 512)
+                part = batch.slice(at, 256)
                 out = _texts(token, [np.array(r or (), "<u4").tobytes() for r in part["ids"].to_pylist()])
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["ids"], out], ["doc_id", "ids", "decoded"])
 
@@ -251,7 +251,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         packed, token = encoder(path, CACHE // 3).packed, _tokens(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 512)
+                part = batch.slice(at, 256)
                 rows = [packed(t) for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], _ids(rows), _texts(token, rows)], ["doc_id", "ids", "decoded"])
 

@@ -205,7 +205,8 @@ def test_bpe_equals_the_library(spark):
     rows = list(enumerate([*ODD, *(f"q{chr(c)}R {chr(c)}" for c in range(1, 0x3000, 11)), "ab" * 700]))
     encoded = bpe.encode(docs(spark, rows), WORDS)
     got = {r.doc_id: r for r in bpe.digests(bpe.decode(encoded, WORDS)).collect()}
-    assert {tuple(r) for r in bpe.digests(bpe.round_trip(docs(spark, rows), WORDS)).collect()} == {tuple(r) for r in got.values()}
+    assert sorted(tuple(r) for r in bpe.digests(bpe.round_trip(docs(spark, rows).coalesce(1), WORDS)).collect()) == sorted(tuple(r) for r in got.values())
+    assert bpe.decode(encoded.coalesce(1), WORDS).count() == len(rows)
     assert len(got) == len(rows)
     for i, t in rows:
         ids = lib.encode(t or "", add_special_tokens=False).ids
