@@ -68,7 +68,7 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
     """(seq_id, seq, ordinal): records of four lines, file by file, in the order of the file."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", "\\r", ""), "\n").alias("x"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", "\\r", ""), "\n").alias("x"))
     n = F.floor(F.size("x") / 4).cast("int")
     rows = text.where(n > 0).select("file", "x", F.explode(F.sequence(F.lit(0), n - 1)).alias("ordinal"))
     at = F.col("ordinal") * 4

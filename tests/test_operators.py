@@ -109,7 +109,8 @@ def test_dispersion_and_ranks(spark):
     rows = spark.createDataFrame([(8,), (1,), (1,), (0,)], "x int")
     r = model.community(rows, "x").first()
     assert (round(r.eff, 4), round(r.head, 4), round(r.shannon, 4)) == (1.5152, 0.9, 0.639)
-    assert abs(r.u - 0.0962) < 1e-4 and abs(r.s - 0.000128) < 1e-6
+    volume = 0.1 * np.log(1 + np.exp(r.shannon))  # one tenth outside the head
+    assert abs(volume - 0.1063) < 1e-4 and abs(r.u - volume / (1 + volume)) < 1e-9 and abs(r.s - 0.000128) < 1e-6
     four = spark.createDataFrame([(10,), (20,), (30,), (40,)], "x int")
     assert model.nearest_rank(four, "x", 0.3).first().v == 10
 
