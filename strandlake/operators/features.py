@@ -22,7 +22,7 @@ def strobemer_array(seqs: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: kernels.strobemers(kernels.encode(x)).view(np.int64) if x else [])
 
 
-@F.pandas_udf("array<struct<key:bigint,pos:int,strand:tinyint>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("strand", T.ByteType())])))
 def minimizer_array(seqs: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The minimizers of a sequence."""
     for s in seqs:
