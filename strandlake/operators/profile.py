@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
+from pyspark.sql.window import WindowSpec
 
-ALL = W.partitionBy(F.lit(1))  # over a row a taxon
+
+def whole() -> WindowSpec:
+    """All rows of a table of one row a taxon."""
+    return W.partitionBy(F.lit(1))
 
 
 def normalised(rows: DataFrame, by: str, count: str, length: str, callable_: str, unique: str) -> DataFrame:
@@ -14,7 +18,7 @@ def normalised(rows: DataFrame, by: str, count: str, length: str, callable_: str
     per = rows.groupBy(by).agg(F.sum(count).cast("double").alias("n"), F.median(length).alias("len"), F.median(callable_).alias("call"), F.median(unique).alias("uni"))
     kinds = {"by_length": F.col("n") / F.col("len"), "by_root": F.col("n") / F.sqrt("len"), "by_callable": F.col("n") / F.greatest("call", F.lit(1.0)), "by_unique": F.col("n") / F.greatest("uni", F.lit(1.0))}
     out = per.select(by, *(v.alias(k) for k, v in kinds.items()))
-    return out.select(by, *((F.col(k) / F.sum(k).over(ALL)).alias(k) for k in kinds))
+    return out.select(by, *((F.col(k) / F.sum(k).over(whole())).alias(k) for k in kinds))
 
 
 def shared_mass(post: DataFrame, genus: str = "genus") -> DataFrame:
@@ -35,10 +39,10 @@ def least_support(reads: Column) -> Column:
 
 def reportable(rows: DataFrame, value: str, support: str, sources: str) -> DataFrame:
     """Adds relative_abundance and reportability to a row a taxon; the first reason that holds."""
-    total = F.sum(value).over(ALL)
+    total = F.sum(value).over(whole())
     out = rows.withColumn("p", F.when(total > 0, F.col(value) / total).otherwise(0.0))
-    out = out.withColumn("eff", 1 / F.sum(F.col("p") * F.col("p")).over(ALL)).withColumn("floor", floor_percent(F.col("eff")))
-    need = least_support(F.sum(support).over(ALL))
+    out = out.withColumn("eff", 1 / F.sum(F.col("p") * F.col("p")).over(whole())).withColumn("floor", floor_percent(F.col("eff")))
+    need = least_support(F.sum(support).over(whole()))
     reason = F.when(F.col("p") <= 0, "no_exposure").when(F.col(support) < need, "low_support").when(F.col("p") < F.col("floor"), "below_floor").when(F.col(sources) < 2, "single_source").otherwise("reportable")
     return out.withColumn("reportability", reason).drop("eff")
 
@@ -50,7 +54,7 @@ def species_in_genus(rows: DataFrame, genus: str, species: str) -> DataFrame:
 def profile_rows(decisions: DataFrame, taxa: DataFrame) -> DataFrame:
     """Abundance of each species decided on: share of the counts, in percent too, with its reads."""
     per = decisions.where("species <> 'unclassified'").groupBy("species").agg(F.sum("count").alias("mass"), F.countDistinct("read").alias("read_support"))
-    out = per.withColumn("relative_abundance", F.col("mass") / F.sum("mass").over(ALL)).withColumn("percentage", 100 * F.col("relative_abundance"))
+    out = per.withColumn("relative_abundance", F.col("mass") / F.sum("mass").over(whole())).withColumn("percentage", 100 * F.col("relative_abundance"))
     return out.join(taxa, "species", "left")
 
 
@@ -64,7 +68,7 @@ def read_trace(decisions: DataFrame, profile: DataFrame) -> DataFrame:
 def active_set(rows: DataFrame, by: str, value: str, share: float) -> DataFrame:
     """The largest taxa that make up a share of the whole."""
     held = F.sum(value).over(W.partitionBy(F.lit(1)).orderBy(F.desc(value), by).rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("held", held).withColumn("total", F.sum(value).over(ALL)).where(F.col("held") - F.col(value) < share * F.col("total")).drop("total")
+    return rows.withColumn("held", held).withColumn("total", F.sum(value).over(whole())).where(F.col("held") - F.col(value) < share * F.col("total")).drop("total")
 
 
 def legacy(rows: DataFrame, species: str, count: str) -> DataFrame:
