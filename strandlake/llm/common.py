@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +18,8 @@ from pyspark.sql import types as T
 
 #: The white space of every contract here: blank and U+0009 to U+000D.
 SPACE = "[\\x20\\x09-\\x0D]"
+#: Rows of a slice that an Arrow function takes at one time.
+ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +58,26 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """mapInArrow by slices of ROWS rows, so few texts are Python objects at one time.
+
+    Workers outlive their tasks: what a task has freed goes back to the system at its end,
+    or it would count against an executor's memory in the stages that follow.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS))
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return the memory that this process has freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's own
+    if trim is not None:
+        trim(0)
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

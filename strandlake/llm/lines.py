@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import bitmap, id_text, in_bitmap, materialize
+from .common import bitmap, id_text, in_bitmap, map_arrow, materialize
 
 EDITS = 2
 FUZZY = 24
@@ -135,7 +135,7 @@ def places(docs: DataFrame) -> DataFrame:
                         at.append(i)
             yield pa.RecordBatch.from_arrays([_signed(ids), pa.array(doc, pa.int64()), pa.array(at, pa.int32())], ["id", "doc_id", "line_no"])
 
-    return docs.mapInArrow(run, "id long, doc_id long, line_no int")
+    return map_arrow(docs, run, "id long, doc_id long, line_no int")
 
 
 def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
@@ -163,7 +163,7 @@ def classes(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([_signed([k for ks in keys for k in ks]), pa.array(ids.view(np.int64))], ["key", "id"])
 
     texts = docs.select("text")
-    shared = texts.mapInArrow(post, "key long, id long").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    shared = map_arrow(texts, post, "key long, id long").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     shared = materialize(shared)
     held = bitmap(shared, "key")
 
@@ -179,7 +179,7 @@ def classes(docs: DataFrame) -> DataFrame:
                     keys.append(np.array(own, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([_signed(ids), pa.array(lines, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["id", "line", "keys"])
 
-    some = materialize(texts.mapInArrow(again, "id long, line string, keys array<long>").dropDuplicates(["id"]))
+    some = materialize(map_arrow(texts, again, "id long, line string, keys array<long>").dropDuplicates(["id"]))
     postings = some.select("id", F.explode("keys").alias("key")).join(shared, "key").select("key", "id").distinct()
 
     def likely(key: int, datas: tuple[str, ...], labels: np.ndarray) -> list[tuple[int, int]]:

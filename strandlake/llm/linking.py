@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import map_arrow, materialize, partitions
 
 SMALL = 24
 BLOCK = 128
@@ -69,7 +69,7 @@ def verified(pairs: DataFrame, payload: DataFrame, check: Callable) -> DataFrame
             keep = [check(x, y) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def labelled(long: DataFrame, labels: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def block_links(long: DataFrame, labels: DataFrame, payload: DataFrame, check: C
         if len(held) > 1:
             yield told(links())
 
-    return rows.mapInArrow(run, "a long, b long")
+    return map_arrow(rows, run, "a long, b long")
 
 
 def link(postings: DataFrame, payload: Callable[[DataFrame], DataFrame], check: Callable, likely: Callable, sieve: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import bitmap, id_text, in_bitmap, materialize
+from .common import bitmap, id_text, in_bitmap, map_arrow, materialize
 
 COORDS = 64
 WIDTH = 5  # bytes of a coordinate's value: chance matches stay rare in billions of documents
@@ -101,7 +101,7 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
                 sig.append(signature(grams).tobytes() if len(grams) else None)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return map_arrow(docs, run, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
 def _sketch(reps: DataFrame) -> np.ndarray:
@@ -115,7 +115,7 @@ def _sketch(reps: DataFrame) -> np.ndarray:
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count[at])], ["at", "n"])
 
-    total = reps.select("sig").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    total = map_arrow(reps.select("sig"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << SKETCH, np.int64)
     out[total["at"].to_numpy()] = total["n"].to_numpy()
     return out
@@ -153,7 +153,7 @@ def near(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "doc_i
             keys = _prefix(batch["sig"].to_pylist(), count.value, length)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch["id"].to_numpy(), length), pa.int64())], ["key", "id"])
 
-    postings = first.select("id", "sig").mapInArrow(post, "key long, id long")
+    postings = map_arrow(first.select("id", "sig"), post, "key long, id long")
 
     def sieve(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,7 @@ def near(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "doc_i
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
 
         left, right = (first.select(F.col("id").alias(k), F.col("sig").alias(s)) for k, s in (("a", "x"), ("b", "y")))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+        return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
     def payload(ids: DataFrame) -> DataFrame:
         held = bitmap(ids, "id")
@@ -177,7 +177,7 @@ def near(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "doc_i
                     data.append(signature(grams).tobytes() + grams.tobytes())
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(digest, pa.binary()), pa.array(data, pa.binary())], ["id", "digest", "data"])
 
-        sets = base.where("doc_id is not null").mapInArrow(run, "id long, digest binary, data binary")
+        sets = map_arrow(base.where("doc_id is not null"), run, "id long, digest binary, data binary")
         return sets.join(ids, "id", "left_semi").groupBy("id").agg(F.min_by("data", "digest").alias("data"))
 
     def grams_of(data: bytes) -> np.ndarray:

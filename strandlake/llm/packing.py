@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import id_text
+from .common import id_text, map_arrow
 
 WINDOW = 2048
 END = 1
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, id_co
         if rows:
             yield told()
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def described(pieces: DataFrame) -> DataFrame:

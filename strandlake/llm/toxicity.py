@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, id_text
+from .common import held_out, id_text, map_arrow
 
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&@~+=-_/\\…«»„“”¡¿"
 _CACHE = 300_000
@@ -151,7 +151,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, config: Config) -> tuple[list,
             cols = [[f.text(k, w).tobytes() for w in ws] for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["pos"], *(pa.array(c, pa.binary()) for c in cols)], ["doc_id", "pos", "f0", "f1"])
 
-    rows = docs.join(sample, "doc_id").select("doc_id", "pos", "text").mapInArrow(run, "doc_id long, pos boolean, f0 binary, f1 binary").collect()
+    rows = map_arrow(docs.join(sample, "doc_id").select("doc_id", "pos", "text"), run, "doc_id long, pos boolean, f0 binary, f1 binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.f0)))
     unpack = lambda r: (np.frombuffer(r.f0, np.int32), np.frombuffer(r.f1, np.int32))
     return [unpack(r) for r in rows if r.pos], [unpack(r) for r in rows if not r.pos], prior
@@ -199,7 +199,7 @@ def _scored(docs: DataFrame, model: list[tuple[np.ndarray, float]], config: Conf
             keep = [c for c in batch.schema.names if c in out_schema.names]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), scores], [*keep, out_schema.names[-1]])
 
-    return docs.mapInArrow(run, out_schema)
+    return map_arrow(docs, run, out_schema)
 
 
 def score(docs: DataFrame, model: list[tuple[np.ndarray, float]], config: Config = Config(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
