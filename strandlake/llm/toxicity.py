@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, id_text, map_arrow
+from .common import give_back, held_out, id_text, map_arrow
 
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&@~+=-_/\\…«»„“”¡¿"
 _CACHE = 300_000
@@ -79,20 +79,27 @@ class Features:
         return np.unique(np.fromiter((f for w in ws for f in self.word(kind, w)), np.int32))
 
 
+def frequency(rows: list[np.ndarray], size: int) -> np.ndarray:
+    """How many rows hold each feature; a row holds it once. One row after the other, so no copy of all is made."""
+    n = np.zeros(size)
+    for r in rows:
+        n[r] += 1
+    return n
+
+
 def telling(pos: list[np.ndarray], unl: list[np.ndarray], config: Config) -> np.ndarray:
     """The features clearly more frequent in positive than in unlabelled texts, the clearest first."""
     size = 1 << config.bits
-    n_p, n_u = (np.bincount(np.concatenate(rows), minlength=size).astype(float) for rows in (pos, unl))
+    n_p, n_u = frequency(pos, size), frequency(unl, size)
     p, u = n_p / len(pos), (n_u + 0.5) / (len(unl) + 1)
     z = (p - u) / np.sqrt(u * (1 / len(pos) + 1 / len(unl)))
     best = np.argsort(-z, kind="stable")[: config.kept]
     return best[(z[best] >= config.least_z) & (n_p[best] >= 3) & (p[best] >= config.least_lift * u[best])]
 
 
-def bounded_prior(pos: list[np.ndarray], unl: list[np.ndarray], keep: np.ndarray, prior: float) -> float:
+def bounded_prior(pos: list[np.ndarray], unl: list[np.ndarray], keep: np.ndarray, prior: float, size: int) -> float:
     """The prior, or less where a feature proves it: unlabelled texts hold it at least prior times as often as positive ones."""
-    size = int(keep.max()) + 1
-    n_p, n_u = (np.bincount(np.concatenate(rows), minlength=size)[keep].astype(float) for rows in (pos, unl))
+    n_p, n_u = frequency(pos, size)[keep], frequency(unl, size)[keep]
     p, u = n_p / len(pos), n_u / len(unl)
     often = n_p >= 20
     bound = (u + 2 * np.sqrt((u + 1 / len(unl)) / len(unl)))[often] / (p - 2 * np.sqrt(p * (1 - p) / len(pos)))[often].clip(1e-9)
@@ -104,13 +111,12 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, config: Conf
     w = np.zeros(1 << config.bits)
     if not pos or not unl or not (keep := telling(pos, unl, config)).size:
         return w, 0.0 if not pos else float(np.log(prior / (1 - prior)))
-    prior = bounded_prior(pos, unl, keep, prior)
+    prior = bounded_prior(pos, unl, keep, prior, 1 << config.bits)
     place = np.full(w.shape, -1, np.int32)
     place[keep] = np.arange(len(keep))
     rows = pos + unl
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    cols = place[np.concatenate(rows)]
-    at, cols = at[cols >= 0], cols[cols >= 0]
+    kept = [c[c >= 0] for c in (place[r] for r in rows)]
+    at, cols = np.repeat(np.arange(len(rows)), [len(c) for c in kept]), np.concatenate(kept)
     is_p = np.arange(len(rows)) < len(pos)
     share = np.where(is_p, 1 / len(pos), 1 / len(unl))
     theta = np.zeros(len(keep) + 1)
@@ -160,7 +166,10 @@ def _sampled(docs: DataFrame, labels: DataFrame, config: Config) -> tuple[list,
 def train(docs: DataFrame, labels: DataFrame, config: Config = Config(), id_col: str = "doc_id", text_col: str = "text") -> list[tuple[np.ndarray, float]]:
     """The two classifiers. Labels of the held-out fold are not read; without positives all weights are 0."""
     pos, unl, prior = _sampled(id_text(docs, id_col, text_col), labels, config)
-    return [fit([p[k] for p in pos], [u[k] for u in unl], prior, config) for k in (0, 1)]
+    model = [fit([p[k] for p in pos], [u[k] for u in unl], prior, config) for k in (0, 1)]
+    del pos, unl
+    give_back()
+    return model
 
 
 class Scorer:
