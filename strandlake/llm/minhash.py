@@ -31,7 +31,7 @@ _MUL = _rng.integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.ui
 _ADD = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64)
 _ROLL = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TAG = _rng.integers(1, 1 << 62, COORDS, dtype=np.int64)
-_CACHE = 500_000
+_CACHE = 150_000
 _word: dict[bytes, int] = {}
 
 

@@ -108,7 +108,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, id_co
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, last = bpe.encoder(path).packed, end.to_bytes(4, "little")
+        packed, last = bpe.encoder(path, bpe.CACHE // 3).packed, end.to_bytes(4, "little")
         number = TaskContext.get().partitionId() << 40
         pool, rows = Pool(), []
 
