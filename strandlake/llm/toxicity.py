@@ -6,7 +6,7 @@ words, are trained from confirmed toxic texts (positive) and any other text
 
     prior * E_pos[l(f)] + max(0, E_unl[l(-f)] - prior * E_pos[l(-f)]),
 
-l the logistic loss. Where the second term would be negative its gradient is reversed,
+l the logistic loss, flat beyond log odds of `most`. Where the second term would be negative its gradient is reversed,
 so the classifiers can't gain by calling known positives negative. The score is the
 mean of both probabilities. Training takes bounded samples (`Config`); scoring reads
 every whole text, wherever in it the evidence stands.
@@ -41,10 +41,11 @@ class Config:
     grams: tuple[int, ...] = (4, 5)
     kept: int = 2000  # features of a classifier
     least_z: float = 4.0  # by which a feature's frequencies must differ, in standard errors
-    least_lift: float = 3.0  # least ratio of both frequencies; at most 1 / prior is possible
     steps: int = 300
     rate: float = 0.05
+    together: float = 20.0  # full steps that a row's features may take at one time
     decay: float = 1e-4
+    most: float = 4.0  # log odds beyond which a row's loss is flat, or a prior a little too high would outweigh all clean texts
     prior: float | None = None  # None: the share of positives among the labelled training rows
 
 
@@ -94,7 +95,7 @@ def telling(pos: list[np.ndarray], unl: list[np.ndarray], config: Config) -> np.
     p, u = n_p / len(pos), (n_u + 0.5) / (len(unl) + 1)
     z = (p - u) / np.sqrt(u * (1 / len(pos) + 1 / len(unl)))
     best = np.argsort(-z, kind="stable")[: config.kept]
-    return best[(z[best] >= config.least_z) & (n_p[best] >= 3) & (p[best] >= config.least_lift * u[best])]
+    return best[(z[best] >= config.least_z) & (n_p[best] >= 3)]
 
 
 def bounded_prior(pos: list[np.ndarray], unl: list[np.ndarray], keep: np.ndarray, prior: float, size: int) -> float:
@@ -121,18 +122,23 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, config: Conf
     share = np.where(is_p, 1 / len(pos), 1 / len(unl))
     theta = np.zeros(len(keep) + 1)
     theta[-1] = np.log(prior / (1 - prior))
+    # a row's score moves by its features' steps together: features of long rows (many copies of one text) take shorter ones
+    sizes = np.bincount(at, minlength=len(rows))
+    typical = np.bincount(cols, sizes[at] * share[at], len(keep)) / np.bincount(cols, share[at], len(keep))
+    rate = config.rate * np.append(np.minimum(1, config.together / typical), 1)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, config.steps + 1):
         z = np.bincount(at, theta[cols], len(rows)) + theta[-1]
-        y = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        z, sure = np.clip(z, -config.most, config.most), np.abs(z) > config.most
+        y = 1 / (1 + np.exp(-z))
         loss_neg = np.logaddexp(0, z) * share
         rest = loss_neg[~is_p].sum() - prior * loss_neg[is_p].sum()
-        negative = y * share * np.where(is_p, -prior, 1.0)  # gradient of the negative part
+        negative = y * share * ~sure * np.where(is_p, -prior, 1.0)  # gradient of the negative part
         grad = -negative if rest < 0 else negative + np.where(is_p, prior * (y - 1) * share, 0.0)
         g = np.append(np.bincount(cols, grad[at], len(keep)), grad.sum())
         g[:-1] += config.decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta -= config.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        theta -= rate * (1 - (step - 1) / config.steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     w[keep] = theta[:-1]
     return w, float(theta[-1])
 

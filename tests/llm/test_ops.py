@@ -62,6 +62,22 @@ def test_toxicity_learns_and_holds_out(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i in got if got[i] < 0.5}
 
 
+@pytest.mark.parametrize("share,hot", [(0.4, 0), (0.6, 0), (0.2, 0.3), (0.1, 0.5)])
+def test_toxicity_many_toxic(spark, share, hot):
+    """Toxic texts in any share of the documents, and a hot group of copies of one, are found and clean ones stay."""
+    rng = random.Random(7)
+    copy, rows = text(60, rng, 3000) + " vilest", []
+    for i in range(900):
+        r = rng.random()
+        rows.append((i, copy if r < hot else text(60, rng, 3000) + (" vilest" if r < hot + share else ""), int(r < hot + share)))
+    labels = spark.createDataFrame([(i, bad) for i, _, bad in rows if rng.random() < 0.6], "doc_id long, toxic int")
+    d = docs(spark, [(i, t) for i, t, _ in rows])
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(d, toxicity.train(d, labels)).collect()}
+    for bad in (0, 1):
+        own = [got[i] for i, _, b in rows if b == bad]
+        assert sum(x == bool(bad) for x in own) >= (0.9 if hot else 0.95) * len(own)
+
+
 def test_toxicity_odd_rows(spark):
     model = toxicity.train(odd(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     out = toxicity.score(odd(spark), model).collect()
