@@ -8,8 +8,8 @@ words, are trained from confirmed toxic texts (positive) and any other text
 
 l the logistic loss, flat beyond log odds of `most`. Where the second term would be negative its gradient is reversed,
 so the classifiers can't gain by calling known positives negative. The score is the
-mean of both probabilities. Training takes bounded samples (`Config`); scoring reads
-every whole text, wherever in it the evidence stands.
+mean of both probabilities. Training takes bounded numbers of texts (`Config`); both it
+and scoring read every text whole, wherever in it the evidence stands.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, held_out, id_text, map_arrow
+from .common import give_back, held_out, id_text, map_arrow, materialize
 
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&@~+=-_/\\…«»„“”¡¿"
 _CACHE = 300_000
@@ -36,7 +36,6 @@ class Config:
 
     positives: int = 2500
     unlabelled: int = 6000
-    sample_words: int = 1500  # distinct words of a training text; scoring has no such bound
     bits: int = 18
     grams: tuple[int, ...] = (4, 5)
     kept: int = 2000  # features of a classifier
@@ -80,44 +79,29 @@ class Features:
         return np.unique(np.fromiter((f for w in ws for f in self.word(kind, w)), np.int32))
 
 
-def frequency(rows: list[np.ndarray], size: int) -> np.ndarray:
-    """How many rows hold each feature; a row holds it once. One row after the other, so no copy of all is made."""
-    n = np.zeros(size)
-    for r in rows:
-        n[r] += 1
-    return n
-
-
-def telling(pos: list[np.ndarray], unl: list[np.ndarray], config: Config) -> np.ndarray:
-    """The features clearly more frequent in positive than in unlabelled texts, the clearest first."""
-    size = 1 << config.bits
-    n_p, n_u = frequency(pos, size), frequency(unl, size)
-    p, u = n_p / len(pos), (n_u + 0.5) / (len(unl) + 1)
-    z = (p - u) / np.sqrt(u * (1 / len(pos) + 1 / len(unl)))
+def telling(n_p: np.ndarray, n_u: np.ndarray, pos: int, unl: int, config: Config) -> np.ndarray:
+    """The features clearly more frequent in `pos` positive than in `unl` unlabelled texts, the clearest first."""
+    p, u = n_p / pos, (n_u + 0.5) / (unl + 1)
+    z = (p - u) / np.sqrt(u * (1 / pos + 1 / unl))
     best = np.argsort(-z, kind="stable")[: config.kept]
     return best[(z[best] >= config.least_z) & (n_p[best] >= 3)]
 
 
-def bounded_prior(pos: list[np.ndarray], unl: list[np.ndarray], keep: np.ndarray, prior: float, size: int) -> float:
+def bounded_prior(n_p: np.ndarray, n_u: np.ndarray, pos: int, unl: int, prior: float) -> float:
     """The prior, or less where a feature proves it: unlabelled texts hold it at least prior times as often as positive ones."""
-    n_p, n_u = frequency(pos, size)[keep], frequency(unl, size)[keep]
-    p, u = n_p / len(pos), n_u / len(unl)
+    p, u = n_p / pos, n_u / unl
     often = n_p >= 20
-    bound = (u + 2 * np.sqrt((u + 1 / len(unl)) / len(unl)))[often] / (p - 2 * np.sqrt(p * (1 - p) / len(pos)))[often].clip(1e-9)
+    bound = (u + 2 * np.sqrt((u + 1 / unl) / unl))[often] / (p - 2 * np.sqrt(p * (1 - p) / pos))[often].clip(1e-9)
     return float(max(0.01, min([prior, *bound])))
 
 
-def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, config: Config) -> tuple[np.ndarray, float]:
-    """Weights and intercept of one classifier; all zero if there are no positives or no unlabelled texts."""
+def fit(pos: list[np.ndarray], unl: list[np.ndarray], keep: np.ndarray, prior: float, config: Config) -> tuple[np.ndarray, float]:
+    """Weights and intercept of one classifier from rows of places in `keep`; all zero if it is empty."""
     w = np.zeros(1 << config.bits)
-    if not pos or not unl or not (keep := telling(pos, unl, config)).size:
+    if not keep.size:
         return w, 0.0 if not pos else float(np.log(prior / (1 - prior)))
-    prior = bounded_prior(pos, unl, keep, prior, 1 << config.bits)
-    place = np.full(w.shape, -1, np.int32)
-    place[keep] = np.arange(len(keep))
     rows = pos + unl
-    kept = [c[c >= 0] for c in (place[r] for r in rows)]
-    at, cols = np.repeat(np.arange(len(rows)), [len(c) for c in kept]), np.concatenate(kept)
+    at, cols = np.repeat(np.arange(len(rows)), [len(c) for c in rows]), np.concatenate(rows)
     is_p = np.arange(len(rows)) < len(pos)
     share = np.where(is_p, 1 / len(pos), 1 / len(unl))
     theta = np.zeros(len(keep) + 1)
@@ -143,8 +127,8 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, config: Conf
     return w, float(theta[-1])
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, config: Config) -> tuple[list, list, float]:
-    """Feature rows of the positives and of the unlabelled, and the prior."""
+def _sampled(docs: DataFrame, labels: DataFrame, config: Config) -> tuple[DataFrame, float]:
+    """(doc_id, pos, f0, f1), the written feature rows of the sample's whole texts, and the prior."""
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     marks = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     prior = config.prior
@@ -159,20 +143,67 @@ def _sampled(docs: DataFrame, labels: DataFrame, config: Config) -> tuple[list,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Features(config)
         for batch in batches:
-            ws = [words(t)[: config.sample_words] for t in batch["text"].to_pylist()]
+            ws = [words(t) for t in batch["text"].to_pylist()]
             cols = [[f.text(k, w).tobytes() for w in ws] for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["pos"], *(pa.array(c, pa.binary()) for c in cols)], ["doc_id", "pos", "f0", "f1"])
 
-    rows = map_arrow(docs.join(sample, "doc_id").select("doc_id", "pos", "text"), run, "doc_id long, pos boolean, f0 binary, f1 binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.f0)))
+    rows = map_arrow(docs.join(sample, "doc_id").select("doc_id", "pos", "text"), run, "doc_id long, pos boolean, f0 binary, f1 binary")
+    return materialize(rows), prior
+
+
+def _counted(rows: DataFrame, config: Config) -> np.ndarray:
+    """How many rows hold each feature, by kind and class (1: positive); a row holds it once. Summed in the executors."""
+    size = 1 << config.bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, 2, size), np.int64)
+        for batch in batches:
+            for pos, *fs in zip(batch["pos"].to_pylist(), *(batch[c] for c in ("f0", "f1"))):
+                for k, f in enumerate(fs):
+                    n[k, int(pos), np.frombuffer(f.as_buffer(), np.int32)] += 1
+        flat = n.ravel()
+        at = np.flatnonzero(flat)
+        for i in range(0, len(at), 100_000):
+            own = at[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(flat[own], pa.int64())], ["at", "n"])
+
+    got = map_arrow(rows, run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(4 * size)
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
+    return out.reshape(2, 2, size)
+
+
+def _kept(rows: DataFrame, keeps: list[np.ndarray], config: Config) -> tuple[list, list]:
+    """Of the positives and the unlabelled, the places in `keeps` of the features they hold; at most `kept` a row and kind."""
+    places = np.full((2, 1 << config.bits), -1, np.int32)
+    for k, keep in enumerate(keeps):
+        places[k, keep] = np.arange(len(keep))
+    held = rows.sparkSession.sparkContext.broadcast(places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = []
+            for k, name in enumerate(("f0", "f1")):
+                at = (held.value[k][np.frombuffer(f.as_buffer(), np.int32)] for f in batch[name])
+                cols.append(pa.array([a[a >= 0].tobytes() for a in at], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["pos"], *cols], ["doc_id", "pos", "f0", "f1"])
+
+    got = map_arrow(rows, run, rows.schema).collect()
+    got.sort(key=lambda r: (r.doc_id, bytes(r.f0), bytes(r.f1)))
     unpack = lambda r: (np.frombuffer(r.f0, np.int32), np.frombuffer(r.f1, np.int32))
-    return [unpack(r) for r in rows if r.pos], [unpack(r) for r in rows if not r.pos], prior
+    return [unpack(r) for r in got if r.pos], [unpack(r) for r in got if not r.pos]
 
 
 def train(docs: DataFrame, labels: DataFrame, config: Config = Config(), id_col: str = "doc_id", text_col: str = "text") -> list[tuple[np.ndarray, float]]:
     """The two classifiers. Labels of the held-out fold are not read; without positives all weights are 0."""
-    pos, unl, prior = _sampled(id_text(docs, id_col, text_col), labels, config)
-    model = [fit([p[k] for p in pos], [u[k] for u in unl], prior, config) for k in (0, 1)]
+    rows, prior = _sampled(id_text(docs, id_col, text_col), labels, config)
+    n = _counted(rows, config)
+    sizes = {r["pos"]: r["count"] for r in rows.groupBy("pos").count().collect()}
+    n_pos, n_unl = sizes.get(True, 0), sizes.get(False, 0)
+    keeps = [telling(n[k, 1], n[k, 0], n_pos, n_unl, config) if n_pos and n_unl else np.zeros(0, int) for k in (0, 1)]
+    priors = [bounded_prior(n[k, 1][keeps[k]], n[k, 0][keeps[k]], n_pos, n_unl, prior) if keeps[k].size else prior for k in (0, 1)]
+    pos, unl = _kept(rows, keeps, config)
+    model = [fit([p[k] for p in pos], [u[k] for u in unl], keeps[k], priors[k], config) for k in (0, 1)]
     del pos, unl
     give_back()
     return model

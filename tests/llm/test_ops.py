@@ -78,6 +78,16 @@ def test_toxicity_many_toxic(spark, share, hot):
         assert sum(x == bool(bad) for x in own) >= (0.9 if hot else 0.95) * len(own)
 
 
+def test_toxicity_learns_late_words(spark):
+    """Training reads whole texts: the evidence stands behind 2,000 other distinct words."""
+    rng = random.Random(8)
+    filler = " ".join("f%d" % i for i in range(2000))
+    rows = [(i, filler + " " + text(20, rng, 3000) + (" vilest" if i % 6 == 0 else "")) for i in range(300)]
+    d = docs(spark, rows)
+    model = toxicity.train(d, spark.createDataFrame([(i, int(i % 6 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    assert {r.doc_id for r in toxicity.score(d, model).collect() if r.score >= 0.5} == {i for i, _ in rows if i % 6 == 0}
+
+
 def test_toxicity_odd_rows(spark):
     model = toxicity.train(odd(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     out = toxicity.score(odd(spark), model).collect()
