@@ -4,13 +4,16 @@ Two lines are alike within an edit distance of EDITS: cut into EDITS + 1 segment
 the two has a segment that the other holds unchanged, at a place that the lengths and the
 segment's number bound. Lines are indexed by (length, segment number, segment); the
 substrings that a line of at most EDITS more characters must share are probed, and a pair
-is verified by a banded bit-parallel edit distance. Lines shorter than `FUZZY` code points
+is verified by a banded bit-parallel edit distance. Lines of at least `WORDS` words are also
+alike if they have as many words and one at most differs, whatever its length: such lines
+share their first or their second half of words. Lines shorter than `FUZZY` code points
 are alike only if identical. Lines are compared without white space at their ends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,7 @@ from .common import bitmap, id_text, in_bitmap, map_arrow, materialize
 
 EDITS = 2
 FUZZY = 24
+WORDS = 8
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -94,11 +98,21 @@ def probes(length: int, k: int = EDITS) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def one_word(a: str, b: str) -> bool:
+    """Whether both have the same number of words, WORDS at least, and one at most differs."""
+    x, y = a.split(), b.split()
+    return len(x) == len(y) >= WORDS and sum(map(ne, x, y)) <= 1
+
+
+def alike(a: str, b: str) -> bool:
+    return within(a, b, EDITS) or one_word(a, b)
+
+
 _plans: dict[int, list] = {}
 
 
 def keys_of(line: str) -> list[int]:
-    """The 64-bit keys of a line's own segments and of its probes, distinct."""
+    """The 64-bit keys of a line's own segments, of its probes and of its halves of words, distinct."""
     n = len(line)
     plan = _plans.get(n)
     if plan is None:
@@ -106,7 +120,12 @@ def keys_of(line: str) -> list[int]:
             _plans.clear()
         plan = _plans[n] = [((size << 20) + (length << 3) + i, at, at + size) for length, i, at, size in probes(n)]
     digest = xxhash.xxh3_64_intdigest
-    return list({digest(line[a:b].encode("utf-8"), seed) for seed, a, b in plan})
+    keys = {digest(line[a:b].encode("utf-8"), seed) for seed, a, b in plan}
+    words = line.split()
+    if len(words) >= WORDS:  # seeds of size 0, which no segment has
+        half = len(words) // 2
+        keys.update(digest(" ".join(part).encode("utf-8"), (len(words) << 3) + i) for i, part in enumerate((words[:half], words[half:]), 1))
+    return list(keys)
 
 
 def _signed(values) -> pa.Array:
@@ -184,13 +203,15 @@ def classes(docs: DataFrame) -> DataFrame:
 
     def likely(key: int, datas: tuple[str, ...], labels: np.ndarray) -> list[tuple[int, int]]:
         size = np.array([len(x) for x in datas])
-        fit = (np.abs(size[:, None] - size[None]) <= EDITS) & (labels[:, None] != labels[None])
+        words = np.array([len(x.split()) for x in datas])
+        near = (np.abs(size[:, None] - size[None]) <= EDITS) | ((words[:, None] == words[None]) & (words >= WORDS))
+        fit = near & (labels[:, None] != labels[None])
         return list(zip(*(x.tolist() for x in np.nonzero(np.triu(fit, 1)))))
 
     def payload(ids: DataFrame) -> DataFrame:
         return some.join(ids, "id", "left_semi").select("id", F.col("line").alias("data"))
 
-    return linking.link(postings, payload, lambda x, y: within(x, y, EDITS), likely)
+    return linking.link(postings, payload, alike, likely)
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,7 +219,7 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     The first is that of the smallest doc_id, then line number; rows without an id come
     last. Identical lines are one class, and so are lines joined by edit distances of at
-    most EDITS. Blank lines stay. Null and empty texts have no lines. Rows that repeat an
+    most EDITS or by one other word in at least WORDS. Blank lines stay. Null and empty texts have no lines. Rows that repeat an
     id keep a line if it is the first place of its class. An empty table gives no rows.
     """
     base = id_text(docs, id_col, text_col)

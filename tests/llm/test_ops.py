@@ -216,6 +216,23 @@ def test_line_dedup(spark, monkeypatch, small, block):
     assert clean == {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in want) for i, t in rows}
 
 
+@pytest.mark.parametrize("small,block", [(24, 128), (2, 3)])
+def test_line_dedup_one_word(spark, monkeypatch, small, block):
+    """A line with one word replaced goes, wherever the word stands; one with two replaced stays."""
+    monkeypatch.setattr(linking, "SMALL", small)
+    monkeypatch.setattr(linking, "BLOCK", block)
+    rng = random.Random(9)
+    rows, want = [], set()
+    for i, n in enumerate([8, 9, 27, 100]):
+        words = text(n, rng, 10**6).split()
+        rows.append((100 * i, " ".join(words)))
+        for at in range(0, n, 3):
+            rows.append((100 * i + 1 + at, " ".join([*words[:at], "replacement%d" % at, *words[at + 1 :]])))
+            want.add((100 * i + 1 + at, 0))
+        rows.append((1000 + i, " ".join(["another", *words[1:-1], "different"])))
+    assert {(r.doc_id, r.line_no) for r in lines.dropped(docs(spark, rows)).collect()} == want
+
+
 def test_line_dedup_odd_rows(spark):
     out = lines.report(odd(spark))
     assert out.count() == len(ODD) + 3
