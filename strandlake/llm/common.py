@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: The white space of every contract here: blank and U+0009 to U+000D.
 SPACE = "[\\x20\\x09-\\x0D]"
+#: Rows of two or three numbers that a table may have to be broadcast: a few MB.
+BROADCAST = 100_000
 #: Rows of a slice that an Arrow function takes at one time.
 ROWS = 512
 
@@ -27,28 +29,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one where none is set and all run in one process."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if d is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
         d = sc.getCheckpointDir()
     return d.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df`: write it as Parquet to the shared folder and read it again.
+class Tables:
+    """Written tables of one run of an operator: each cuts the lineage of what it holds.
 
-    The files go when the application ends, as later lazy plans may still read them.
+    They lie as Parquet in the shared folder. `drop` removes those that are used up; the
+    rest goes when the application ends, as lazy plans may still read them.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandlake-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/strandlake-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        atexit.register(remove, self.spark, path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(out)] = (out, path, None)
+        return out
+
+    def rows(self, df: DataFrame) -> int:
+        """The number of rows of a kept table, from its files' footers."""
+        out, path, n = self.held[id(df)]
+        if n is None:
+            n = out.count()
+            self.held[id(df)] = (out, path, n)
+        return n
+
+    def small(self, df: DataFrame) -> DataFrame:
+        """A kept table, to be broadcast if it has at most BROADCAST rows of a few numbers."""
+        return F.broadcast(df) if self.rows(df) <= BROADCAST else df
 
-def _remove(spark: SparkSession, path: str) -> None:
+    def drop(self, *used: DataFrame) -> None:
+        for df in used:
+            if got := self.held.pop(id(df), None):
+                remove(self.spark, got[1])
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """`df`, written to the shared folder and read again."""
+    return Tables(df.sparkSession).keep(df)
+
+
+def narrow(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """`df` in no more tasks than `rows` rows need at `each` a task."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -57,6 +95,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before those that `df` has, whatever their case."""
+    own, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in own:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow by slices of ROWS rows, so few texts are Python objects at one time.
 

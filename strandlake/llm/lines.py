@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import bitmap, id_text, in_bitmap, map_arrow, materialize
+from .common import Tables, bitmap, id_text, in_bitmap, map_arrow, unused
 
 EDITS = 2
 FUZZY = 24
@@ -140,21 +140,27 @@ def _lines(text: str) -> list[str]:
     return [x.strip(" \t\r\x0b\x0c") for x in text.split("\n")]
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, digest): digest tells rows with one id and different texts apart."""
+    return id_text(docs, id_col, text_col).withColumn("digest", F.xxhash64("text"))
+
+
 def places(docs: DataFrame) -> DataFrame:
-    """(id, doc_id, line_no) of each line that isn't blank; id is a 64-bit hash of the line, line_no counts from 0."""
+    """(id, doc_id, digest, line_no) of each line that isn't blank; id is a 64-bit hash of the line, line_no counts from 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, doc, at = [], [], []
-            for d, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            ids, row, at = [], [], []
+            for k, text in enumerate(batch["text"].to_pylist()):
                 for i, x in enumerate(_lines(text)):
                     if x:
                         ids.append(line_id(x))
-                        doc.append(d)
+                        row.append(k)
                         at.append(i)
-            yield pa.RecordBatch.from_arrays([_signed(ids), pa.array(doc, pa.int64()), pa.array(at, pa.int32())], ["id", "doc_id", "line_no"])
+            own = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([_signed(ids), batch["doc_id"].take(own), batch["digest"].take(own), pa.array(at, pa.int32())], ["id", "doc_id", "digest", "line_no"])
 
-    return map_arrow(docs, run, "id long, doc_id long, line_no int")
+    return map_arrow(docs, run, "id long, doc_id long, digest long, line_no int")
 
 
 def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
@@ -172,8 +178,8 @@ def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
         yield out
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(id, component) of the lines that are alike another one without being identical."""
+def classes(docs: DataFrame, tables: Tables) -> DataFrame:
+    """(id, component) of the lines that are alike another one without being identical, in a written table."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fresh in _fresh(batches):
@@ -183,72 +189,87 @@ def classes(docs: DataFrame) -> DataFrame:
 
     texts = docs.select("text")
     shared = map_arrow(texts, post, "key long, id long").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    shared = materialize(shared)
     held = bitmap(shared, "key")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for fresh in _fresh(batches):
-            ids, lines, keys = [], [], []
+            ids, light, lines, keys = [], [], [], []
             for x in fresh:
                 own = [k for k in keys_of(x) if in_bitmap(bits, k)]
                 if own:
                     ids.append(line_id(x))
+                    light.append(len(x.split()) << 32 | len(x))
                     lines.append(x)
                     keys.append(np.array(own, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([_signed(ids), pa.array(lines, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["id", "line", "keys"])
+            yield pa.RecordBatch.from_arrays([_signed(ids), pa.array(light, pa.int64()), pa.array(lines, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["id", "light", "line", "keys"])
 
-    some = materialize(map_arrow(texts, again, "id long, line string, keys array<long>").dropDuplicates(["id"]))
-    postings = some.select("id", F.explode("keys").alias("key")).join(shared, "key").select("key", "id").distinct()
+    # light: the numbers of words and of code points
+    some = tables.keep(map_arrow(texts, again, "id long, light long, line string, keys array<long>").dropDuplicates(["id"]))
 
-    def likely(key: int, datas: tuple[str, ...], labels: np.ndarray) -> list[tuple[int, int]]:
-        size = np.array([len(x) for x in datas])
-        words = np.array([len(x.split()) for x in datas])
+    def likely(key: int, lights: tuple[int, ...], labels: np.ndarray) -> list[tuple[int, int]]:
+        both = np.array(lights)
+        size, words = both & 0xFFFFFFFF, both >> 32
         near = (np.abs(size[:, None] - size[None]) <= EDITS) | ((words[:, None] == words[None]) & (words >= WORDS))
         fit = near & (labels[:, None] != labels[None])
         return list(zip(*(x.tolist() for x in np.nonzero(np.triu(fit, 1)))))
 
     def payload(ids: DataFrame) -> DataFrame:
-        return some.join(ids, "id", "left_semi").select("id", F.col("line").alias("data"))
+        return some.select("id", "light", F.col("line").alias("data"))
 
-    return linking.link(postings, payload, alike, likely)
+    found = linking.link(some.select("id", F.explode("keys").alias("key")), linking.Items(payload, alike, likely), tables)
+    tables.drop(some)
+    return found
 
 
-def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, exact) of each line that goes: all but the first of its class.
+def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: Tables | None = None) -> DataFrame:
+    """(doc_id, digest, line_no, exact) of each line that goes: all but the first of its class.
 
-    The first is that of the smallest doc_id, then line number; rows without an id come
-    last. Identical lines are one class, and so are lines joined by edit distances of at
-    most EDITS or by one other word in at least WORDS. Blank lines stay. Null and empty texts have no lines. Rows that repeat an
-    id keep a line if it is the first place of its class. An empty table gives no rows.
+    The first is that of the smallest doc_id, then line number, then the text's digest;
+    rows without an id come last. Identical lines are one class, and so are lines joined by
+    edit distances of at most EDITS or by one other word in at least WORDS. Blank lines
+    stay. Null and empty texts have no lines. Rows that repeat an id with different texts
+    are told apart by the digest of the text (Spark's xxhash64); rows that repeat an id
+    and its text are one row, so they keep and lose the same lines. An empty table gives
+    no rows.
     """
-    base = id_text(docs, id_col, text_col)
-    at = materialize(places(base))
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "line_no")
-    firsts = at.groupBy("id").agg(F.min(place).alias("own"), F.count("*").alias("n"))
-    found = materialize(classes(base))
-    firsts = firsts.join(found, "id", "left")
-    firsts = materialize(firsts.where("n > 1 or component is not null"))
-    heads = firsts.where("component is not null").groupBy("component").agg(F.min("own").alias("head"))
-    firsts = firsts.join(heads, "component", "left").select("id", "own", F.coalesce("head", "own").alias("head"))
-    gone = at.join(firsts, "id").where(place != F.col("head"))
-    return gone.select("doc_id", "line_no", (F.col("own") == F.col("head")).alias("exact"))
+    tables = tables or Tables(docs.sparkSession)
+    base = _rows(docs, id_col, text_col)
+    at = tables.keep(places(base))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "digest")
+    found = classes(base, tables)
+    firsts = at.groupBy("id").agg(F.min(place).alias("own"), F.max(place).alias("other"))
+    firsts = firsts.join(tables.small(found), "id", "left").where("not (own <=> other) or component is not null").select("id", "own", "component")
+    firsts = tables.keep(firsts)
+    # few lines are alike without being identical: their heads alone meet by component
+    heads = tables.keep(firsts.where("component is not null").groupBy("component").agg(F.min("own").alias("head")))
+    heads = firsts.join(tables.small(heads), "component", "left").select("id", "own", F.coalesce("head", "own").alias("head"))
+    gone = at.join(heads, "id").where(~place.eqNullSafe(F.col("head")))
+    return gone.select("doc_id", "digest", "line_no", F.col("own").eqNullSafe(F.col("head")).alias("exact"))
+
+
+def _verdicts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, digest, n_dropped, n_near, dropped_lines) of the rows that lose lines."""
+    # a line of a row that stands twice is one place
+    gone = dropped(docs, id_col, text_col).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("line_no", "exact")).alias("g"))
+    near = F.size(F.filter("g", lambda x: ~x["exact"])).cast("long")
+    return gone.select("doc_id", "digest", F.size("g").cast("long").alias("n_dropped"), near.alias("n_near"), F.sort_array(F.col("g.line_no")).alias("dropped_lines"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_dropped, n_near, dropped_lines) for each document; n_near: alike an earlier line, not identical to the one that stays."""
-    gone = dropped(docs, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(
-        F.count("*").alias("n_dropped"), F.sum(F.when(F.col("exact"), 0).otherwise(1)).alias("n_near"), F.sort_array(F.collect_set("line_no")).alias("dropped_lines")
-    )
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    return ids.join(gone, "doc_id", "left").select("doc_id", F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("dropped_lines", F.array().cast("array<int>")).alias("dropped_lines"))
+    """(doc_id, n_dropped, n_near, dropped_lines) for each row; n_near: alike an earlier line, not identical to the one that stays."""
+    own = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("d"))
+    gone = _verdicts(docs, id_col, text_col)
+    out = own.join(gone, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("d") == F.col("digest")), "left")
+    return out.select(F.col("i").alias("doc_id"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("dropped_lines", F.array().cast("array<int>")).alias("dropped_lines"))
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the lines that go cut out of their text; all rows and columns stay."""
-    gone = report(docs, id_col, text_col).where("n_dropped > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__id"), F.col("dropped_lines").alias("__gone"))
-    out = docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left")
+    """`docs` with the lines that go cut out of their text; all rows and columns stay, whatever their names."""
+    i, d, g = unused(docs, "gone_id", "gone_digest", "gone_lines")
+    gone = _verdicts(docs, id_col, text_col).select(F.col("doc_id").alias(i), F.col("digest").alias(d), F.col("dropped_lines").alias(g))
+    out = docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(d)), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    rest = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: ~F.array_contains("__gone", y["i"])), lambda y: y["x"]), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(rest)
+    rest = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, n: F.struct(x.alias("x"), n.alias("n"))), lambda y: ~F.array_contains(g, y["n"])), lambda y: y["x"]), "\n")
+    text = F.when(F.col(g).isNull(), F.col(text_col)).otherwise(rest)
     return out.withColumn(text_col, text).select(*docs.columns)

@@ -2,65 +2,125 @@
 
 Items that share a key are candidates. Lists of at most `SMALL` items give all their
 pairs; a longer list gives a star around its smallest item. The pairs are verified and
-contracted to components. A long list whose items are not yet one component is then cut
-into blocks, and each pair of blocks is one bounded unit of work: it verifies pairs of
-different components only, joins them as it goes and returns the links that joined
-something. So no link between components is lost, and no unit holds a whole list.
+contracted to components. Long lists whose items are not yet one component give stars
+around `HUBS` other items, `TURNS` times. What is still apart is cut into blocks, and
+each pair of blocks is one bounded unit of work: by light descriptions it finds the items
+that may be alike one of another component, then verifies such pairs only, joining
+components as it goes, and returns the links that joined something. So no link between
+components is lost, and no unit holds a whole list.
+
+An id may stand for several payloads; it is linked if one of them is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, partitions
+from .common import Tables, map_arrow, narrow
 
 SMALL = 24
-BLOCK = 128
-ROUNDS = 5
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every item of `links` (a, b): the smallest id that can be reached.
-
-    Large-star and small-star steps in turn; each ends in a written table. Few rounds are
-    needed, as the stars halve the paths. Links of an item with itself are ignored.
+BLOCK = 256
+HUBS = 4
+TURNS = 2
+EDGES = 100_000  # of one task that joins them
+
+
+def top(root: dict[int, int], x: int) -> int:
+    """The root of x, halving its path."""
+    while (y := root.setdefault(x, x)) != x:
+        root[x] = root[y] = root.setdefault(y, y)
+        x = root[x]
+    return x
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of a task as stars around the smallest id of each of its components."""
+    root: dict[int, int] = {}
+    for batch in batches:
+        for u, v in zip(batch["u"].to_pylist(), batch["v"].to_pylist()):
+            u, v = top(root, u), top(root, v)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+    out = [(x, r) for x in root if (r := top(root, x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
+def components(links: DataFrame, tables: Tables | None = None) -> DataFrame:
+    """(id, component) of every item of `links` (a, b): the smallest id that can be reached, in a written table.
+
+    Each task joins the edges it holds, `EDGES` or so; if one task held them all, that is
+    all. Otherwise a large-star and a small-star step follow, which bring edges of one
+    item together, and so on until nothing changes. Links of an item with itself are ignored.
     """
-    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    tables = tables or Tables(links.sparkSession)
+    edges = tables.keep(links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")))
     state = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            break
-        state = now
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while (n := tables.rows(edges)) > EDGES:
+        joined = tables.keep(map_arrow(narrow(edges, n, EDGES), _forest, "u long, v long"))
+        both = joined.unionAll(joined.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        stars = tables.keep(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        tables.drop(edges, joined)
+        edges = stars
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    else:
+        stars = tables.keep(map_arrow(edges.coalesce(1), _forest, "u long, v long"))  # of at most EDGES
+        tables.drop(edges)
+        edges = stars
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots)
+    if tables.rows(edges) <= EDGES:
+        roots = roots.coalesce(1)
+    out = tables.keep(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots))
+    tables.drop(edges)
+    return out
+
+
+@dataclass
+class Items:
+    """What is known of items: payload(ids) gives (id, light, data), one or more rows an id.
+
+    check(data, data): whether two are linked. likely(key, lights, labels): the pairs of
+    places that may be linked and differ in label, the likeliest first. sieve(pairs) drops
+    pairs (a, b) that can't pass, cheaply.
+    """
+
+    payload: Callable[[DataFrame], DataFrame]
+    check: Callable
+    likely: Callable
+    sieve: Callable[[DataFrame], DataFrame] = lambda pairs: pairs
+
+
+def lists(postings: DataFrame, tables: Tables) -> DataFrame:
+    """(key, id, n, hub) of the postings whose key has n > 1 of them, hub the smallest id."""
+    found = tables.keep(postings.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").drop("last"))
+    out = tables.keep(postings.join(tables.small(found), "key").select("key", "id", "n", "hub"))
+    tables.drop(found)
+    return out
 
 
-def star_pairs(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of short lists and stars of long ones; the long lists' rows (key, id, n)."""
-    lists = materialize(postings.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"))
-    rows = postings.join(lists, "key")
+def first_pairs(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of short lists and the stars of long ones."""
     short = rows.where(f"n <= {SMALL}").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     rest = "filter(ids, x -> x > a)"
     pairs = short.select("ids", F.explode("ids").alias("a")).select("a", F.explode(F.expr(rest)).alias("b"))
-    long = rows.where(f"n > {SMALL}")
-    stars = long.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    return pairs.unionAll(stars).distinct(), long.select("key", "id", "n")
+    stars = rows.where(f"n > {SMALL} and id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    return pairs.unionAll(stars).distinct()
 
 
 def verified(pairs: DataFrame, payload: DataFrame, check: Callable) -> DataFrame:
-    """The pairs (a, b) whose payloads `data` pass check(data_a, data_b)."""
+    """The pairs (a, b) of which payloads pass check(data_a, data_b)."""
     left = payload.select(F.col("id").alias("a"), F.col("data").alias("x"))
     right = payload.select(F.col("id").alias("b"), F.col("data").alias("y"))
 
@@ -72,107 +132,134 @@ def verified(pairs: DataFrame, payload: DataFrame, check: Callable) -> DataFrame
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def labelled(long: DataFrame, labels: DataFrame) -> DataFrame:
-    return long.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+def labelled(long: DataFrame, labels: DataFrame, tables: Tables) -> DataFrame:
+    return long.join(tables.small(labels), "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
 
 
 def as_links(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
-def stars(long: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b): in each list of several components, another item of it and all that aren't of its component."""
-    rows = labelled(long, labels)
-    hub = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "label")).alias("hub")
-    hubs = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub).where("lo <> hi")
-    return rows.join(hubs, "key").where("label <> hub.label").select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b")).distinct()
+def mixed(rows: DataFrame, tables: Tables) -> DataFrame:
+    """The rows (key, id, label) of lists with more than one label, with `hubs`: some of the list's items."""
+    hub = [F.min(F.struct(F.xxhash64("id", F.lit(t)).alias("h"), "id", "label")).alias(f"h{t}") for t in range(HUBS)]
+    hubs = F.array_distinct(F.array(*(F.struct(F.col(f"h{t}.id").alias("id"), F.col(f"h{t}.label").alias("label")) for t in range(HUBS)))).alias("hubs")
+    some = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *hub).where("lo <> hi").select("key", hubs)
+    some = tables.keep(some)
+    out = tables.keep(rows.join(tables.small(some), "key").select("key", "id", "label", "hubs"))
+    tables.drop(some)
+    return out
 
 
-def block_links(long: DataFrame, labels: DataFrame, payload: DataFrame, check: Callable, likely: Callable) -> DataFrame:
-    """Verified links (a, b) between different components within long lists.
+def stars(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each row with its list's hubs of other labels."""
+    hub = F.explode("hubs").alias("hub")
+    return rows.select("id", "label", hub).where("label <> hub.label").select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b")).distinct()
 
-    likely(key, datas, labels) gives the pairs of places to verify, the likeliest first.
-    """
-    spark = long.sparkSession
-    rows = labelled(long, labels)
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rows = rows.join(mixed, "key").select("key", "id", "label")
-    # a component with many rows of a list gets blocks of its own, all others share blocks, whole components together
-    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("m"))
-    shared = sizes.where(f"m <= {BLOCK}").groupBy("key").agg(F.sum("m").alias("rest"))
-    sizes = sizes.join(shared, "key", "left").withColumn("pure", F.when(F.col("m") > BLOCK, F.col("label")))
-    sizes = sizes.withColumn("nb", F.ceil(F.coalesce(F.when(F.col("pure").isNotNull(), F.col("m")), "rest") / BLOCK).cast("int")).select("key", "label", "pure", "nb")
-    own = F.pmod(F.xxhash64(F.when(F.col("pure").isNull(), F.col("label")).otherwise(F.col("id"))), F.col("nb")).cast("int")
-    rows = materialize(rows.join(sizes, ["key", "label"]).select("key", "id", "label", F.coalesce(F.xxhash64("pure"), F.lit(0)).alias("comp"), own.alias("place")))
-    held = rows.groupBy("key", "comp", "place").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    one, two = (held.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("comp", "place", "lo", "hi"))) for k in "12")
-    # pairs of blocks; what lies in one component has nothing to verify
-    units = one.join(two, "key").where("(comp1, place1) <= (comp2, place2) and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)").select("key", "comp1", "place1", "comp2", "place2")
-    units = units.withColumn("i", F.xxhash64("comp1", "place1")).withColumn("j", F.xxhash64("comp2", "place2"))
-    sides = units.select("key", F.col("comp1").alias("comp"), F.col("place1").alias("place"), "i", "j").unionAll(units.where("i <> j").select("key", "comp2", "place2", "i", "j"))
-    rows = rows.join(sides, ["key", "comp", "place"]).join(payload.select("id", "data"), "id").select("key", "i", "j", "id", "label", "data")
-    rows = rows.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+
+def _units(rows: DataFrame, column: str, work: Callable, schema: str) -> DataFrame:
+    """work(key, ids, labels, column) of each unit (key, i, j) of two blocks, whose rows meet in one task in order."""
+    met = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held = None, []
 
-        def links() -> list[tuple[int, int]]:
-            ids, labels, datas = zip(*held)
-            root = {x: x for x in labels}
-
-            def top(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            out = []
-            for p, q in likely(unit[0], datas, np.array(labels)):
-                x, y = top(labels[p]), top(labels[q])
-                if x != y and check(datas[p], datas[q]):
-                    root[x] = y
-                    out.append((ids[p], ids[q]))
-            return out
-
-        def told(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        def told(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(len(names))], names)
 
         for batch in batches:
             found = []
-            for key, i, j, id_, label, data in zip(*(batch[c].to_pylist() for c in ("key", "i", "j", "id", "label", "data"))):
+            for key, i, j, *own in zip(*(batch[c].to_pylist() for c in ("key", "i", "j", "id", "label", column))):
                 if (key, i, j) != unit:
                     if len(held) > 1:
-                        found += links()
+                        found += work(unit, *zip(*held))
                     unit, held = (key, i, j), []
-                held.append((id_, label, data))
+                held.append(own)
             yield told(found)
         if len(held) > 1:
-            yield told(links())
-
-    return map_arrow(rows, run, "a long, b long")
+            yield told(work(unit, *zip(*held)))
 
+    names = [x.split()[0] for x in schema.split(", ")]
+    return map_arrow(met.select("key", "i", "j", "id", "label", column), run, schema)
 
-def link(postings: DataFrame, payload: Callable[[DataFrame], DataFrame], check: Callable, likely: Callable, sieve: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(id, component) of the linked items of `postings` (key, id).
 
-    payload(ids) gives (id, data) of the items in `ids`; sieve(pairs) drops pairs that
-    can't pass, cheaply; check and likely as above.
-    """
-    pairs, long = star_pairs(postings)
-    pairs = materialize(sieve(pairs) if sieve else pairs)
-    long = materialize(long)
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).unionAll(long.select("id")).distinct()
-    held = materialize(payload(ids))
-    links = materialize(verified(pairs, held, check))
-    labels = components(links)
-    if long.isEmpty():
-        return labels
+def block_links(rows: DataFrame, held: DataFrame, items: Items, tables: Tables) -> DataFrame:
+    """Verified links (a, b) between different labels within the lists of `rows` (key, id, label)."""
+    # a label with many rows of a list gets blocks of its own, all others share blocks, whole labels together
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("m"))
+    shared = sizes.where(f"m <= {BLOCK}").groupBy("key").agg(F.sum("m").alias("rest"))
+    sizes = sizes.join(shared, "key", "left").withColumn("pure", F.when(F.col("m") > BLOCK, F.col("label")))
+    sizes = tables.keep(sizes.withColumn("nb", F.ceil(F.coalesce(F.when(F.col("pure").isNotNull(), F.col("m")), "rest") / BLOCK).cast("int")).select("key", "label", "pure", "nb"))
+    own = F.pmod(F.xxhash64(F.when(F.col("pure").isNull(), F.col("label")).otherwise(F.col("id"))), F.col("nb")).cast("int")
+    placed = tables.keep(rows.join(tables.small(sizes), ["key", "label"]).select("key", "id", "label", F.xxhash64(F.coalesce("pure", F.lit(-1)), own).alias("block")))
+    blocks = tables.keep(placed.groupBy("key", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
+    one, two = (tables.small(blocks).select("key", *(F.col(c).alias(f"{c}{k}") for c in ("block", "lo", "hi"))) for k in "12")
+    # pairs of blocks; what has one label has nothing to verify
+    units = blocks.select("key", *(F.col(c).alias(f"{c}1") for c in ("block", "lo", "hi"))).join(two, "key")
+    units = tables.keep(units.where("block1 <= block2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)").select("key", F.col("block1").alias("i"), F.col("block2").alias("j")))
+    sides = units.select("key", F.col("i").alias("block"), "i", "j").unionAll(units.where("i <> j").select("key", "j", "i", "j"))
+    if 2 * tables.rows(units) <= tables.rows(placed):
+        sides = tables.small(tables.keep(sides))
+    placed = placed.join(sides, ["key", "block"]).join(held.select("id", "light"), "id").select("key", "i", "j", "id", "label", "light")
+
+    likely, check = items.likely, items.check
+
+    def some(unit: tuple, ids: tuple, labels: tuple, lights: tuple) -> list[tuple]:
+        places = {k for pair in likely(unit[0], lights, np.array(labels)) for k in pair}
+        return [(*unit, *x) for x in sorted({(ids[k], labels[k]) for k in places})]
+
+    def links(unit: tuple, ids: tuple, labels: tuple, both: tuple) -> list[tuple]:
+        root: dict[int, int] = {}
+        out = []
+        for p, q in likely(unit[0], tuple(b["light"] for b in both), np.array(labels)):
+            x, y = top(root, labels[p]), top(root, labels[q])
+            if x != y and check(both[p]["data"], both[q]["data"]):
+                root[max(x, y)] = min(x, y)
+                out.append((ids[p], ids[q]))
+        return out
+
+    maybe = tables.keep(_units(placed, "light", some, "key long, i long, j long, id long, label long"))
+    if not tables.rows(maybe):
+        return tables.keep(maybe.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    full = maybe.join(held.select("id", F.struct("light", "data").alias("both")), "id")
+    out = tables.keep(_units(full, "both", links, "a long, b long"))
+    tables.drop(sizes, placed, blocks, units, maybe)
+    return out
+
+
+def link(postings: DataFrame, items: Items, tables: Tables, also: DataFrame | None = None) -> DataFrame:
+    """(id, component) of the linked items of `postings` (key, id), in a written table; `also`: links (a, b) that are known."""
+    rows = lists(postings, tables)
+    pairs = tables.keep(items.sieve(first_pairs(rows)))
+    long = tables.keep(rows.where(f"n > {SMALL}").select("key", "id"))
+    tables.drop(rows)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(long.select("id")).distinct()
+    held = tables.keep(items.payload(ids))
+    links = verified(pairs, held, items.check)
+    labels = components(links if also is None else links.unionAll(also), tables)
+    tables.drop(pairs)
     # stars around other items join most of what is left, a few rows an item; blocks verify the rest
-    for turn in range(ROUNDS):
-        more = stars(long, labels, turn)
-        more = materialize(verified(sieve(more) if sieve else more, held, check))
-        if more.isEmpty():
+    apart = mixed(labelled(long, labels, tables), tables) if tables.rows(long) else None
+    for _ in range(TURNS):
+        if apart is None or not tables.rows(apart):
+            break
+        more = tables.keep(verified(items.sieve(stars(apart)), held, items.check))
+        if not tables.rows(more):
             break
-        labels = components(as_links(labels).unionAll(more))
-    more = materialize(block_links(long, labels, held, check, likely))
-    return labels if more.isEmpty() else components(as_links(labels).unionAll(more))
+        labels = _joined(labels, more, tables)
+        again = mixed(labelled(apart, labels, tables), tables)
+        tables.drop(apart)
+        apart = again
+    if apart is not None and tables.rows(apart):
+        more = block_links(apart, held, items, tables)
+        if tables.rows(more):
+            labels = _joined(labels, more, tables)
+        tables.drop(apart)
+    tables.drop(long, held)
+    return labels
+
+
+def _joined(labels: DataFrame, more: DataFrame, tables: Tables) -> DataFrame:
+    out = components(as_links(labels).unionAll(more), tables)
+    tables.drop(labels, more)
+    return out

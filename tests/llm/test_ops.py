@@ -233,6 +233,26 @@ def test_line_dedup_one_word(spark, monkeypatch, small, block):
     assert {(r.doc_id, r.line_no) for r in lines.dropped(docs(spark, rows)).collect()} == want
 
 
+def test_line_dedup_repeated_and_null_ids(spark):
+    """Rows that share an id lose their own lines only; null ids come last and lose what stands before."""
+    rows = [(0, "a shared line"), (1, "a shared line\nkeep me"), (1, "totally different\nanother"), (None, "a shared line\nmine"), (None, "mine\nmine too"), (2, "twice"), (2, "twice")]
+    d = docs(spark, rows).withColumnRenamed("ids", "gone_lines").withColumnRenamed("score", "gone_id")
+    got = Counter((r.doc_id, r.text) for r in lines.clean(d).collect())
+    assert got - Counter([(0, "a shared line"), (1, "keep me"), (1, "totally different\nanother"), (2, "twice"), (2, "twice")]) in (
+        Counter([(None, "mine"), (None, "mine too")]), Counter([(None, ""), (None, "mine\nmine too")]))
+    told = Counter((r.doc_id, r.n_dropped) for r in lines.report(d).collect())
+    assert told[(0, 0)] == 1 and told[(1, 1)] == 1 and told[(1, 0)] == 1 and told[(2, 0)] == 2
+    assert sum(n * k for (i, n), k in told.items() if i is None) == 2
+
+
+def test_line_dedup_long_line(spark):
+    """A line of a million characters takes part like any other."""
+    rng = random.Random(14)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_000_000)).strip()
+    rows = [(1, long), (2, long[:500_000] + "z" + long[500_001:]), (3, long[:300_000])]
+    assert {(r.doc_id, r.line_no) for r in lines.dropped(docs(spark, rows)).collect()} == {(2, 0)}
+
+
 def test_line_dedup_odd_rows(spark):
     out = lines.report(odd(spark))
     assert out.count() == len(ODD) + 3
@@ -418,7 +438,10 @@ def test_minhash_odd_rows(spark):
     assert minhash.drop_near(odd(spark)).columns == odd(spark).columns
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges", [100_000, 40])
+def test_components(spark, monkeypatch, edges):
+    """By one task that holds all edges, and by stars over several."""
+    monkeypatch.setattr(linking, "EDGES", edges)
     rng = random.Random(10)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
     root = {}
@@ -432,8 +455,33 @@ def test_components(spark):
         if a != b:
             x, y = sorted((top(a), top(b)))
             root[y] = x
-    got = {r.id: r.component for r in linking.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {x: top(x) for x in root}
+    got = [(r.id, r.component) for r in linking.components(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert sorted(got) == sorted((x, top(x)) for x in root)
+
+
+def test_minhash_repeated_ids(spark):
+    """A document of two texts is linked by either of them, and links what is alike one of them."""
+    rng = random.Random(12)
+    one, two = text(60, rng, 10**6), text(60, rng, 10**6)
+    rows = [(1, one), (5, one + " x"), (5, two), (7, two + " y"), (3, two), (9, text(60, rng, 10**6))]
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near(docs(spark, rows)).collect())
+    assert got == Counter([(1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (3, 1, False), (9, 9, True)])
+    clash = docs(spark, rows).withColumnRenamed("ids", "gone")
+    assert sorted(r.doc_id for r in minhash.drop_near(clash).collect()) == [1, 9]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_minhash_recall(percent):
+    """Pairs exactly at the threshold nearly always agree in as many coordinates as are asked for."""
+    rng = np.random.default_rng(13)
+    common, each = (8 * percent, 4 * (100 - percent))  # of a union of 800
+    lost = 0
+    for _ in range(400):
+        grams = rng.integers(0, 1 << 63, common + 2 * each, dtype=np.uint64)
+        a, b = np.sort(grams[: common + each]), np.sort(np.concatenate([grams[:common], grams[common + each :]]))
+        x, y = (minhash.values([minhash.signature(g).tobytes()])[0] for g in (a, b))
+        lost += (x == y).sum() < minhash.least_matches(percent)
+    assert lost == 0
 
 
 # --- 9 -------------------------------------------------------------------------------
