@@ -6,13 +6,14 @@ returns the packed pieces. Stages are cut apart by written Parquet tables.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import lines, minhash, packing, toxicity
-from strandlake.llm.common import shared_dir, table
+from strandlake.llm.common import remove, shared_dir, table
 from strandlake.llm.queries import WORDS
 
 
@@ -42,9 +43,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; each stage's table goes once the next one is written."""
+    docs, top, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{top}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
+    atexit.register(remove, spark, top)
     return docs
