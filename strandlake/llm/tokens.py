@@ -6,7 +6,8 @@ to its sections, and a token that crosses a boundary goes by an explicit rule:
   end: to that of its last character,
   most: to the section with most of its characters, of equals the first.
 Pieces of the pre-tokeniser that lie within one section, nearly all, are counted without
-looking at their tokens. A token's span runs from the character of its first byte to that
+looking at their tokens; an added token, such as one for the end of a text, is a piece and
+one token wherever a text spells it. A token's span runs from the character of its first byte to that
 of its last byte.
 """
 
@@ -35,6 +36,8 @@ def lines(text: str) -> list[int]:
 
 def spans(own: bpe.Encoder, piece: str) -> list[tuple[int, int]]:
     """(first character, one past the last) of each token of a piece."""
+    if piece in own.special:
+        return [(0, len(piece))]
     sizes = [len(own.token[i]) for i in np.frombuffer(own.word(piece), "<u4").tolist()]  # a symbol a byte
     if piece.isascii():
         char = range(len(piece))
@@ -49,10 +52,11 @@ def spans(own: bpe.Encoder, piece: str) -> list[tuple[int, int]]:
 
 def attribute(own: bpe.Encoder, text: str, starts: list[int], rule: str) -> np.ndarray:
     """The number of tokens of each section; the sections begin at `starts` and follow each other."""
-    pieces = own.pieces(text)
+    pieces = own.pieces(text) if own.cut is None or "<|" not in text else [p for part in own.cut.split(text) for p in ([part] if part in own.special else own.pieces(part))]
     bounds = np.array(starts)
     size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    count = np.fromiter((len(own.word(p)) // 4 for p in pieces), np.int64, len(pieces))
+    word, special = own.word, own.special
+    count = np.fromiter((1 if p in special else len(word(p)) // 4 for p in pieces), np.int64, len(pieces))
     begin = np.cumsum(size) - size
     first = np.searchsorted(bounds, begin, "right") - 1
     last = np.searchsorted(bounds, begin + size - 1, "right") - 1
