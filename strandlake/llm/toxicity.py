@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, held_out, id_text, map_arrow, materialize
+from .common import give_back, held_out, id_text, map_arrow, materialize, unused
 
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&@~+=-_/\\…«»„“”¡¿"
 _CACHE = 300_000
@@ -95,6 +95,21 @@ def bounded_prior(n_p: np.ndarray, n_u: np.ndarray, pos: int, unl: int, prior: f
     return float(max(0.01, min([prior, *bound])))
 
 
+def risk(z: np.ndarray, is_p: np.ndarray, share: np.ndarray, prior: float, most: float) -> tuple[float, float, np.ndarray]:
+    """The positive and the unlabelled part of the risk at log odds z, and the direction to go down by row.
+
+    That is the gradient of their sum; where the unlabelled part is negative, the gradient
+    of the negated part alone.
+    """
+    z, sure = np.clip(z, -most, most), np.abs(z) > most
+    y = 1 / (1 + np.exp(-z))
+    loss_neg = np.logaddexp(0, z) * share
+    rest = loss_neg[~is_p].sum() - prior * loss_neg[is_p].sum()
+    negative = y * share * ~sure * np.where(is_p, -prior, 1.0)  # gradient of the unlabelled part
+    grad = -negative if rest < 0 else negative + np.where(is_p, prior * (y - 1) * share, 0.0)
+    return prior * float((np.logaddexp(0, -z) * share)[is_p].sum()), float(rest), grad
+
+
 def fit(pos: list[np.ndarray], unl: list[np.ndarray], keep: np.ndarray, prior: float, config: Config) -> tuple[np.ndarray, float]:
     """Weights and intercept of one classifier from rows of places in `keep`; all zero if it is empty."""
     w = np.zeros(1 << config.bits)
@@ -113,12 +128,7 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], keep: np.ndarray, prior: f
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, config.steps + 1):
         z = np.bincount(at, theta[cols], len(rows)) + theta[-1]
-        z, sure = np.clip(z, -config.most, config.most), np.abs(z) > config.most
-        y = 1 / (1 + np.exp(-z))
-        loss_neg = np.logaddexp(0, z) * share
-        rest = loss_neg[~is_p].sum() - prior * loss_neg[is_p].sum()
-        negative = y * share * ~sure * np.where(is_p, -prior, 1.0)  # gradient of the negative part
-        grad = -negative if rest < 0 else negative + np.where(is_p, prior * (y - 1) * share, 0.0)
+        grad = risk(z, is_p, share, prior, config.most)[2]
         g = np.append(np.bincount(cols, grad[at], len(keep)), grad.sum())
         g[:-1] += config.decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -128,7 +138,10 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], keep: np.ndarray, prior: f
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, config: Config) -> tuple[DataFrame, float]:
-    """(doc_id, pos, f0, f1), the written feature rows of the sample's whole texts, and the prior."""
+    """(doc_id, pos, f0, f1), the written feature rows of the sample's whole texts, and the prior.
+
+    Rows that repeat an id are one document: the text with the least hash stands for it.
+    """
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     marks = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     prior = config.prior
@@ -145,10 +158,12 @@ def _sampled(docs: DataFrame, labels: DataFrame, config: Config) -> tuple[DataFr
         for batch in batches:
             ws = [words(t) for t in batch["text"].to_pylist()]
             cols = [[f.text(k, w).tobytes() for w in ws] for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["pos"], *(pa.array(c, pa.binary()) for c in cols)], ["doc_id", "pos", "f0", "f1"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["pos"], batch["h"], *(pa.array(c, pa.binary()) for c in cols)], ["doc_id", "pos", "h", "f0", "f1"])
 
-    rows = map_arrow(docs.join(sample, "doc_id").select("doc_id", "pos", "text"), run, "doc_id long, pos boolean, f0 binary, f1 binary")
-    return materialize(rows), prior
+    some = docs.join(sample, "doc_id").select("doc_id", "pos", F.xxhash64("text").alias("h"), "text")
+    rows = map_arrow(some, run, "doc_id long, pos boolean, h long, f0 binary, f1 binary")
+    one = rows.groupBy("doc_id", "pos").agg(F.min_by(F.struct("f0", "f1"), "h").alias("f"))
+    return materialize(one.select("doc_id", "pos", "f.f0", "f.f1")), prior
 
 
 def _counted(rows: DataFrame, config: Config) -> np.ndarray:
@@ -259,6 +274,7 @@ def score(docs: DataFrame, model: list[tuple[np.ndarray, float]], config: Config
 
 
 def keep_clean(docs: DataFrame, model: list[tuple[np.ndarray, float]], config: Config = Config(), text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that score under one half, all their columns; `__score` must not be one of them."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
-    return _scored(docs, model, config, text_col, schema).where("__score < 0.5").drop("__score")
+    """The rows of `docs` that score under one half, all their columns, whatever their names."""
+    (name,) = unused(docs, "score")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return _scored(docs, model, config, text_col, schema).where(F.col(name) < 0.5).drop(name)
