@@ -56,7 +56,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return urls.judge(pages, urls.spam_list(pages))
+    return urls.judge(pages, urls.junk_list(pages))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -110,7 +110,7 @@ def _op10_sql() -> str:
     WITH a AS (SELECT page_id, {rest} AS rest FROM pages),
     b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
     c AS (SELECT *, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '/+$', '') AS key, CASE {fits} END AS r FROM b),
-    k AS (SELECT DISTINCT key FROM c WHERE regexp_matches(host, '(^|[.])spam'))
+    k AS (SELECT DISTINCT key FROM c WHERE regexp_matches(host, '{urls.pattern(urls.JUNK)}'))
     SELECT page_id, host, path, split_part(r, ' ', 2) AS rule,
            coalesce(split_part(r, ' ', 1), CASE WHEN key IN (SELECT key FROM k) THEN 'block' ELSE 'allow' END) AS verdict,
            key IN (SELECT key FROM k) AS listed FROM c""".replace("\\\\", "\\")

@@ -3,18 +3,23 @@
 The listed canonical URLs are folded into 64-bit blocks: one hash picks the block, six
 more groups of bits of a second hash set bits of that block, which are or-ed in the
 aggregation. A page's URL is a possible hit if all its bits stand in its block; the
-blocks are broadcast (their number is a parameter). Possible hits, and they alone, are
+blocks are broadcast (their number follows the list's length, up to a bound). Possible hits, and they alone, are
 joined exactly with the list, which removes the false positives. All native functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS = 1 << 16  # of 8 bytes
+from .common import unused
+
+MOST = 1 << 22  # blocks of 8 bytes; beyond 16 million URLs more false positives pass on to the join
+EACH = 4  # URLs of a block
 HASHES = 6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The labels of hosts whose pages the registered query lists.
+JUNK = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
@@ -60,21 +65,26 @@ def _bits(key: Column) -> Column:
     return out
 
 
-def bloom(listed: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def blocks_for(n: int) -> int:
+    """Blocks for a list of n URLs: a power of two, MOST at most."""
+    return min(MOST, 1 << max(0, (n // EACH).bit_length()))
+
+
+def bloom(listed: DataFrame, blocks: int) -> DataFrame:
     """(block, bits) of a table with a column `listed`; at most `blocks` rows."""
     return listed.where("listed is not null").groupBy(_block(F.col("listed"), blocks).alias("block")).agg(F.bit_or(_bits(F.col("listed"))).alias("bits"))
 
 
-def maybe(df: DataFrame, key: str, blooms: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """`df` with a boolean `maybe`: whether the filter lets the key pass."""
-    with_block = df.withColumn("__block", _block(F.col(key), blocks))
-    held = F.broadcast(blooms.select(F.col("block").alias("__block"), F.col("bits").alias("__bits")))
+def maybe(df: DataFrame, key: str, blooms: DataFrame, blocks: int) -> DataFrame:
+    """`df` with a boolean `maybe`: whether the filter, of at most MOST blocks, lets the key pass."""
+    at, bits = unused(df, "block", "bits")
+    held = F.broadcast(blooms.select(F.col("block").alias(at), F.col("bits").alias(bits)))
     own = _bits(F.col(key))
-    out = with_block.join(held, "__block", "left")
-    return out.withColumn("maybe", F.coalesce(F.col("__bits").bitwiseAND(own) == own, F.lit(False))).drop("__block", "__bits")
+    out = df.withColumn(at, _block(F.col(key), blocks)).join(held, at, "left")
+    return out.withColumn("maybe", F.coalesce(F.col(bits).bitwiseAND(own) == own, F.lit(False))).drop(at, bits)
 
 
-def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, blocks: int = BLOCKS) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, blocks: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, listed) for each row of `pages`.
 
     `listed` has a column `listed` of canonical URLs, repeats and nulls allowed. The rule
@@ -84,6 +94,7 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
     table gives no rows, an empty list lists nothing.
     """
     own = listed.select("listed").where("listed is not null").distinct()
+    blocks = blocks or blocks_for(own.count())
     rows = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"), canonical(F.col(url_col)).alias("key"))
     tested = maybe(rows, "key", bloom(own, blocks), blocks)
     # possible hits only take part in the exact join; AQE splits a hot URL's rows
@@ -96,7 +107,11 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
     )
 
 
-def spam_list(pages: DataFrame) -> DataFrame:
-    """The list of the registered query: canonical URLs of pages on a host with a label that starts with `spam`."""
+def junk_list(pages: DataFrame, labels: tuple[str, ...] = JUNK) -> DataFrame:
+    """The list of the registered query: canonical URLs of pages on a host with one of the labels."""
     h = host(F.col("url"))
-    return pages.where(F.coalesce(h.rlike("(^|[.])spam"), F.lit(False))).select(canonical(F.col("url")).alias("listed"))
+    return pages.where(F.coalesce(h.rlike(pattern(labels)), F.lit(False))).select(canonical(F.col("url")).alias("listed"))
+
+
+def pattern(labels: tuple[str, ...]) -> str:
+    return f"(^|[.])({'|'.join(labels)})([.]|$)"
