@@ -118,16 +118,30 @@ def keys_of(line: str) -> list[int]:
     if plan is None:
         if len(_plans) > 20_000:
             _plans.clear()
-        plan = _plans[n] = [((size << 20) + (length << 3) + i, at, at + size) for length, i, at, size in probes(n)]
+        plan = _plans[n] = [((size << 20) + (length << 3) + i, 4 * at, 4 * (at + size)) for length, i, at, size in probes(n)]
     digest = xxhash.xxh3_64_intdigest
-    keys = {digest(line[a:b].encode("utf-8"), seed) for seed, a, b in plan}
-    words = line.split()
-    if len(words) >= WORDS:  # seeds of size 0, which no segment has
-        half = len(words) // 2
-        keys.update(digest(" ".join(part).encode("utf-8"), (len(words) << 3) + i) for i, part in enumerate((words[:half], words[half:]), 1))
+    wide = line.encode("utf-32-le", "surrogatepass")  # four bytes a code point, so places are known
+    keys = {digest(wide[a:b], seed) for seed, a, b in plan}
+    if half := halves(line):  # seeds of size 0, which no segment has
+        m, one, two = half
+        keys.add(digest(one.encode("utf-8", "surrogatepass"), (m << 3) + 1))
+        keys.add(digest(two.encode("utf-8", "surrogatepass"), (m << 3) + 2))
     return list(keys)
 
 
+def halves(line: str) -> tuple[int, str, str] | None:
+    """The number of words and both halves of them, a blank between words; none below WORDS words."""
+    if "  " not in line and line.isprintable():  # blanks are its only white space, one at a time
+        m = line.count(" ") + 1
+        if m < WORDS:
+            return None
+        two = line.split(" ", m // 2)[-1]
+        return m, line[: len(line) - len(two) - 1], two
+    words = line.split()
+    m = len(words)
+    return (m, " ".join(words[: m // 2]), " ".join(words[m // 2 :])) if m >= WORDS else None
+
+
 def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
@@ -194,15 +208,16 @@ def classes(docs: DataFrame, tables: Tables) -> DataFrame:
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for fresh in _fresh(batches):
-            ids, light, lines, keys = [], [], [], []
-            for x in fresh:
-                own = [k for k in keys_of(x) if in_bitmap(bits, k)]
-                if own:
-                    ids.append(line_id(x))
-                    light.append(len(x.split()) << 32 | len(x))
-                    lines.append(x)
-                    keys.append(np.array(own, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([_signed(ids), pa.array(light, pa.int64()), pa.array(lines, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["id", "light", "line", "keys"])
+            own = [keys_of(x) for x in fresh]
+            flat = np.array([k for ks in own for k in ks], np.uint64)
+            hit = in_bitmap(bits, flat).astype(bool)
+            ends = np.cumsum([len(ks) for ks in own], dtype=np.int64)
+            kept = np.add.reduceat(hit, ends - [len(ks) for ks in own], dtype=np.int64) if own else np.zeros(0, np.int64)
+            lines = [x for x, n in zip(fresh, kept.tolist()) if n]
+            ids = [line_id(x) for x in lines]
+            light = [len(x.split()) << 32 | len(x) for x in lines]
+            keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *kept[kept > 0]]), pa.int32()), pa.array(flat[hit].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([_signed(ids), pa.array(light, pa.int64()), pa.array(lines, pa.string()), keys], ["id", "light", "line", "keys"])
 
     # light: the numbers of words and of code points
     some = tables.keep(map_arrow(texts, again, "id long, light long, line string, keys array<long>").dropDuplicates(["id"]))
