@@ -9,7 +9,8 @@ their candidate pairs in a heap instead; both give the leftmost lowest rank firs
 Two flavours of vocabulary files are read, as the JSON file itself says:
   * words: NFC, lower case, white space dropped, a suffix marks the end of a word;
   * bytes: GPT-2 style split that keeps each word's leading blank, nothing dropped.
-Encoders are built once per Python worker; finished words are kept in a bounded cache.
+Encoders are built once per Python worker; finished words are kept in a bounded cache of
+two generations: what is used stays, whatever the order of the texts.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from tokenizers import Tokenizer
 from .common import id_text
 
 LONG = 200
-CACHE = 700_000
+CACHE = 250_000  # words of a generation
 _NO = 1 << 60
 _WS = regex.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = regex.compile("[\x1c-\x1f]")
@@ -52,8 +53,8 @@ def byte_symbols() -> list[str]:
 class Encoder:
     """Ids of texts, equal to those of the tokenizers library without special-token templates."""
 
-    def __init__(self, path: str, cache: int = CACHE):
-        self.cache = cache
+    def __init__(self, path: str, cache: int = CACHE, library: bool = False):
+        self.cache, self.library = cache, library  # library: words are merged by the tokenizers library, for callers without a method of their own
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -68,8 +69,9 @@ class Encoder:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.symbol = byte_symbols()
         self.lib = Tokenizer.from_file(path)
-        self.of_word: dict[str, bytes] = {}
-        self.of_chunk: dict[str, bytes] = {}
+        # a word's ids are those of a chunk that is this word, so both have one cache
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge(self, symbols: list[str]) -> list[str]:
         """The parts that remain once no adjacent pair has a rank."""
@@ -111,21 +113,29 @@ class Encoder:
                     heapq.heappush(queue, (r, a, parts[a], parts[b]))
         return [p for p in parts if p is not None]
 
+    def _keep(self, key: str, ids: bytes) -> bytes:
+        if len(self.young) >= self.cache:
+            self.old, self.young = self.young, {}
+        self.young[key] = ids
+        return ids
+
     def word(self, word: str) -> bytes:
         """The packed ids of one word, from the cache or by merging."""
-        out = self.of_word.get(word)
+        out = self.young.get(word)
         if out is None:
-            symbols = list(word) if word.isascii() and word.isalnum() else [self.symbol[b] for b in word.encode("utf-8", "replace")]
-            out = self._ids(symbols)
-            if len(self.of_word) >= self.cache:
-                self.of_word.clear()
-            self.of_word[word] = out
+            out = self.old.get(word)
+            if out is None:
+                out = self._ids(list(word) if word.isascii() and word.isalnum() else [self.symbol[b] for b in word.encode("utf-8", "replace")])
+            self._keep(word, out)
         return out
 
     def _ids(self, symbols: list[str]) -> bytes:
-        symbols[-1] += self.suffix
-        parts = self.merge(symbols)
-        return struct.pack(f"<{len(parts)}I", *[self.vocab[p] for p in parts])
+        if self.library:
+            ids = [t.id for t in self.lib.model.tokenize("".join(symbols))]
+        else:
+            symbols[-1] += self.suffix
+            ids = [self.vocab[p] for p in self.merge(symbols)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def normal(self, text: str) -> str:
         if text.isascii():
@@ -134,27 +144,20 @@ class Encoder:
         return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
 
     def _chunk(self, chunk: str) -> bytes:
-        if _RARE.search(chunk):  # scripts whose tables differ between Unicode versions: split as the library does
-            pieces = self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(chunk) if self.lib.normalizer else chunk)
-            out = b"".join([self._ids(list(p)) for p, _ in pieces])
-        else:
-            text, word = self.normal(chunk), self.word
-            if text.isalpha():
-                out = word(text)
-            elif text[:-1].isalpha() and text[-1] in ".,;:!?":
-                out = word(text[:-1]) + word(text[-1])
-            else:
-                out = b"".join([word(w) for w in self.find(text)])
-        if len(self.of_chunk) < self.cache:
-            self.of_chunk[chunk] = out
-        else:
-            self.missed += 1
-            if self.missed > 5 * self.cache:  # the texts have changed: start again
-                self.of_chunk.clear()
-                self.missed = 0
-        return out
+        """The packed ids of what stands between white space, if not in the young cache."""
+        out = self.old.get(chunk)
+        return self._keep(chunk, self._pieces(chunk) if out is None else out)
 
-    missed = 0
+    def _pieces(self, chunk: str) -> bytes:
+        if not chunk.isascii() and _RARE.search(chunk):  # scripts whose tables differ between Unicode versions: split as the library does
+            pieces = self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(chunk) if self.lib.normalizer else chunk)
+            return b"".join([self._ids(list(p)) for p, _ in pieces])
+        text, word = self.normal(chunk), self.word
+        if text.isalpha():
+            return word(text)
+        if text[:-1].isalpha() and text[-1] in ".,;:!?":
+            return word(text[:-1]) + word(text[-1])
+        return b"".join([word(w) for w in self.find(text)])
 
     def packed(self, text: str) -> bytes:
         """The ids of a whole text as little-endian 32-bit numbers."""
@@ -166,7 +169,7 @@ class Encoder:
         if not self.words:
             return b"".join([self.word(w) for w in self.pieces(text)])
         chunks = text.split() if _ODD.search(text) is None else [c for c in _WS.split(text) if c]
-        get, miss = self.of_chunk.get, self._chunk
+        get, miss = self.young.get, self._chunk
         return b"".join([x if (x := get(c)) is not None else miss(c) for c in chunks])
 
     def pieces(self, text: str) -> list[str]:
@@ -183,14 +186,16 @@ class Encoder:
         return " ".join([self.token[i] for i in ids])
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, cache: int = CACHE) -> Encoder:
-    """One encoder a process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path, cache)
-    return _encoders[path]
+def encoder(path: str, cache: int = CACHE, library: bool = False) -> Encoder:
+    """One encoder a process and kind; the last kind asked for stays."""
+    key = (path, cache, library)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(path, cache, library)
+    return _encoders[key]
 
 
 def _ids(rows: list[bytes]) -> pa.ListArray:
@@ -248,7 +253,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """decode(encode(df)) in one pass, so ids don't leave the worker in between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, token = encoder(path, CACHE // 3).packed, _tokens(path)
+        packed, token = encoder(path).packed, _tokens(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

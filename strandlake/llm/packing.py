@@ -80,7 +80,9 @@ class Pool:
     def window(self, capacity: int) -> list[Piece]:
         """Pieces that fill the capacity exactly; the pool must hold as many tokens."""
         out, room = [], capacity
-        longest = max((s for s in self.by if s <= room), default=0)
+        longest = max(self.by)
+        if longest > room:
+            longest = max((s for s in self.by if s <= room), default=0)
         if longest:
             out.append(self.take(longest))
             room -= longest
@@ -108,7 +110,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, id_co
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, last = bpe.encoder(path, bpe.CACHE // 3).packed, end.to_bytes(4, "little")
+        packed, last = bpe.encoder(path, library=True).packed, end.to_bytes(4, "little")
         number = TaskContext.get().partitionId() << 40
         pool, rows = Pool(), []
 
