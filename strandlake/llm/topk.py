@@ -8,8 +8,9 @@ negative, and a carry-save tree of full adders turns the pile of bitmaps into sc
 slices. The top rows are then chosen from the most significant slice downward; ties at
 the boundary are resolved by the smaller id, in which order a block's rows lie.
 
-Blocks of rows meet blocks of queries in a grid, one task row a pair of blocks, and give
-at most k rows a query; a second step keeps the best k of each query over all blocks.
+Every row lies in one block and every query is sent to each block, where the block's rows
+come first, are made an index, and the queries stream past it: nothing but one block is
+held. A block gives at most k rows a query; a second step keeps the best k of all blocks.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 ROWS = 16_384  # of a block, about; a multiple of 64 words keeps adders in the CPU's cache
-QUERIES = 512
+MOST = (1 << 63) - 1
 
 
 class Slices:
@@ -31,10 +33,10 @@ class Slices:
     def __init__(self, matrix: np.ndarray):
         self.n, self.dims = matrix.shape
         self.low = int(matrix.min()) if matrix.size else 0
-        top = int(matrix.max()) - self.low if matrix.size else 0
-        self.bits = max(1, top.bit_length())
+        spread = int(matrix.max()) - self.low if matrix.size else 0
+        self.bits = max(1, spread.bit_length())
         words = -(-self.n // 64)
-        shifted = (matrix - self.low).astype(np.uint64).T  # attributes x rows
+        shifted = (matrix.astype(np.uint64) - np.uint64(self.low % (1 << 64))).T  # attributes x rows; wraps to the true difference
         self.planes = np.zeros((self.dims, self.bits, words), np.uint64)
         for j in range(self.bits):
             bits = np.zeros((self.dims, words * 64), np.uint8)
@@ -49,14 +51,15 @@ class Slices:
         piles: dict[int, list[np.ndarray]] = {}
         full = (1 << self.bits) - 1
         constant = 0
+        size = np.where(query < 0, -query, query).astype(np.uint64)  # the lowest long is its own negative, which is right as unsigned
         for negative in (False, True):
-            for i in range(int(np.abs(query).max()).bit_length() if query.size else 0):
-                at = np.flatnonzero(((np.abs(query) >> i) & 1).astype(bool) & ((query < 0) == negative))
+            for i in range(int(size.max()).bit_length() if query.size else 0):
+                at = np.flatnonzero(((size >> np.uint64(i)) & np.uint64(1)).astype(bool) & ((query < 0) == negative))
                 if at.size:
                     for j in range(self.bits):
                         plane = self.planes[at, j]
                         piles.setdefault(i + j, []).append(~plane if negative else plane)
-        constant += full * int(np.abs(query[query < 0]).sum()) - self.low * int(query.sum())
+        constant += full * sum(size[query < 0].tolist()) - self.low * sum(query.tolist())
         out: list[np.ndarray] = []
         weight = 0
         while weight <= max(piles, default=-1):
@@ -91,69 +94,79 @@ class Slices:
                 sure, maybe = both, maybe & ~s
         chosen = self.rows_of(sure)
         rows = np.concatenate([chosen, self.rows_of(maybe)[: k - len(chosen)]])
-        value = np.zeros(len(rows), np.int64)
+        narrow = max(len(slices), constant.bit_length()) < 62
+        value = np.zeros(len(rows), np.int64 if narrow else object)  # plain integers where a long might not do
         word, bit = rows // 64, (rows % 64).astype(np.uint64)
         for w, s in enumerate(slices):
-            value += ((s[word] >> bit) & np.uint64(1)).astype(np.int64) << w
-        return rows, value - constant
+            value += ((s[word] >> bit) & np.uint64(1)).astype(value.dtype) << w
+        value = value - constant
+        return rows, value if narrow else np.array([min(MOST, max(-MOST - 1, int(v))) for v in value], np.int64)
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """(vec_id, v array<int>): rows with an id and a vector of finite numbers only, each component floored after scaling."""
     v = F.col(vec_col).cast("array<double>")
     ok = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale).cast("int")).alias("v"))
+    return df.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
 
 
-def _packed(df: DataFrame, block: str, name: str) -> DataFrame:
-    """One row a block: its ids and vectors, in the order of the ids. Blocks are of bounded size."""
-    rows = F.sort_array(F.collect_list(F.struct("vec_id", "v")))
-    return df.groupBy(block).agg(rows.alias(name))
-
-
-def search(df: DataFrame, k: int = 20, scale: int = 64, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
+def search(df: DataFrame, k: int = 20, scale: int = 64, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rows: int = ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for every row whose id `every` divides.
 
     Null vectors, vectors with null or non-finite components and rows without an id take
     no part; shorter vectors count as filled up with zeros; of rows that repeat an id, all
     are candidates of other queries and none of its own; repeated query rows give their
-    ranks once. Equal scores go to the smaller vec_id. An empty table gives no rows.
+    ranks once. Equal scores go to the smaller vec_id. Scaled components and scores beyond
+    a long are taken as its ends. An empty table gives no rows.
     """
     spark = df.sparkSession
     base = usable(df, id_col, vec_col, scale)
     n, dims = base.agg(F.count("*"), F.max(F.size("v"))).first()
-    dims = dims or 0
+    dims = max(1, dims or 0)
     n_blocks = max(1, -(-n // rows), min(2 * spark.sparkContext.defaultParallelism, n // 2048))
-    n_query = max(1, -(-n // (every * queries)))
-    blocks = _packed(base.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks))), "block", "rows")
-    asked = _packed(base.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"]).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(n_query))), "part", "asked")
-    # the grid of blocks: each block of rows is sent once to each block of queries
-    grid = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)).cast("array<long>"))).join(asked, "part")
-
-    def matrix(items: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-        ids, v = items.field("vec_id").to_numpy(), items.field("v")
+    held = base.select(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).alias("block"), F.lit(0).alias("asks"), "vec_id", "v")
+    asked = base.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")).alias("block"), F.lit(1).alias("asks"), "vec_id", "v")
+    met = held.unionAll(asked).repartition(2 * n_blocks, "block").sortWithinPartitions("block", "asks", "vec_id")
+
+    def matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids, v = batch["vec_id"].to_numpy(), batch["v"]
         sizes = v.value_lengths().to_numpy()
-        out = np.zeros((len(ids), max(1, dims)), np.int64)
-        out[np.arange(out.shape[1]) < sizes[:, None]] = v.flatten().to_numpy()
+        out = np.zeros((len(ids), dims), np.int64)
+        out[np.arange(dims) < sizes[:, None]] = v.flatten().to_numpy()
         return ids, out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, index, ids = None, [], None, None
         for batch in batches:
-            for at in range(batch.num_rows):
-                ids, m = matrix(batch["rows"][at].values)
-                q_ids, q = matrix(batch["asked"][at].values)
-                index = Slices(m)
-                out = []
-                for qid, vec in zip(q_ids, q):
+            own = 2 * batch["block"].to_numpy() + batch["asks"].to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            found = []
+            for at, end in zip(edges, edges[1:]):
+                if at == end:
+                    continue
+                if own[at] // 2 != block:
+                    block, parts, index = own[at] // 2, [], None
+                part = matrix(batch.slice(at, end - at))
+                if own[at] % 2 == 0:
+                    parts.append(part)
+                    continue
+                if index is None and not parts:  # no row has this block
+                    continue
+                if index is None:
+                    ids, index = np.concatenate([p[0] for p in parts]), Slices(np.concatenate([p[1] for p in parts]))
+                    parts = []
+                for qid, vec in zip(*part):
                     # the query's own rows are at most a few more
-                    own = int((ids == qid).sum())
-                    rows_, score = index.top(vec, k + own)
-                    keep = ids[rows_] != qid
-                    rows_, score = rows_[keep], score[keep]
-                    best = np.lexsort((ids[rows_], -score))[:k]
-                    out.append((np.full(len(best), qid), ids[rows_][best], score[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)] if out else [pa.array([], pa.int64())] * 3, ["query_id", "vec_id", "score"])
-
-    found = grid.select("rows", "asked").mapInArrow(run, "query_id long, vec_id long, score long")
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("b"))
-    return best.select("query_id", F.posexplode("b").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+                    here, score = index.top(vec, k + int((ids == qid).sum()))
+                    keep = ids[here] != qid
+                    here, score = here[keep], score[keep]
+                    best = np.lexsort((ids[here], -score))[:k]
+                    found.append((np.full(len(best), qid), ids[here][best], score[best]))
+            cols = [np.concatenate(x) for x in zip(*found)] if found else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["query_id", "vec_id", "score"])
+
+    out = met.mapInArrow(run, "query_id long, vec_id long, score long")
+    # each task keeps its k best rows of a query before they are sent on
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return out.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
