@@ -70,35 +70,48 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 
 
 def xxh3(x: np.ndarray, seed: int) -> np.ndarray:
-    """XXH3 with a seed of each word's eight bytes."""
-    return np.array([xxhash.xxh3_64_intdigest(w.tobytes(), seed) for w in x], U)
+    """XXH3 with a seed of each word's eight bytes, little end first."""
+    raw = np.ascontiguousarray(x, "<u8").tobytes()
+    return np.array([xxhash.xxh3_64_intdigest(raw[i : i + 8], seed) for i in range(0, len(raw), 8)], U)
 
 
 def smer_size(k: int) -> int:
-    """Sixteen shorter than k where that leaves four at least, and an even distance from k."""
-    s = k - 16 if k > 16 else k - 2
-    s -= (k - s) % 2
-    s = min(max(s, 4), k - 2)
-    if (k - s) % 2:
-        s += -1 if s > 4 else (1 if s < k - 2 else 0)
-    return min(max(s, 2), k)
+    """Of the sizes from 4 to k - 2 that differ from k by an even number, so that a middle exists, the one nearest k - 16, or k - 2 for a k up to 16."""
+    aim = k - 16 if k > 16 else k - 2
+    fit = [s for s in range(4, k - 1) if (k - s) % 2 == 0]
+    return min(fit, key=lambda s: (abs(s - aim), s), default=max(1, k - 2))
+
+
+CHUNK = 1 << 20  # bases whose windows stand in memory at one time
+
+
+def _chunks(bases: np.ndarray, overlap: int):
+    """Consecutive stretches and their starts; each shares its last `overlap` bases with the next."""
+    for at in range(0, max(1, len(bases) - overlap), CHUNK):
+        yield at, bases[at : at + CHUNK + overlap]
 
 
 def syncmers(bases: np.ndarray, k: int = 28) -> tuple[np.ndarray, np.ndarray]:
     """Hash and position of the k-mers whose middle s-mer has the least hash of their s-mers."""
     s = smer_size(k)
     span = k - s + 1
-    if len(bases) < k:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    smer = packed_mix(np.minimum(*windows(bases, s)))
-    n = len(bases) - k + 1
-    least = np.lib.stride_tricks.sliding_window_view(smer, span).min(axis=1)
-    at = np.flatnonzero(smer[(k - s) // 2 : (k - s) // 2 + n] == least)
-    return packed_mix(np.minimum(*windows(bases, k))[at]), at
-
-
-def strobemers(bases: np.ndarray, k: int = 28, w_min: int = 12, w_max: int = 32) -> np.ndarray:
-    """Order-2 strobemer features in the order of their positions.
+    hashes, places = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for start, part in _chunks(bases, k - 1):
+        n = len(part) - k + 1
+        if n < 1:
+            continue
+        smer = packed_mix(np.minimum(*windows(part, s)))
+        least = smer[:n].copy()
+        for j in range(1, span):
+            np.minimum(least, smer[j : j + n], out=least)
+        at = np.flatnonzero(smer[span // 2 : span // 2 + n] == least)
+        hashes.append(packed_mix(np.minimum(*windows(part, k))[at]))
+        places.append(at + start)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def contents(bases: np.ndarray, k: int = 28, w_min: int = 12, w_max: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Content and position of the order-2 strobemers, in the order of their positions.
 
     A syncmer's partner is, of those w_min to w_max places on and near enough, the first
     whose hash differs in fewest of the low eight bits; without any, itself.
@@ -106,30 +119,45 @@ def strobemers(bases: np.ndarray, k: int = 28, w_min: int = 12, w_max: int = 32)
     h, at = syncmers(bases, k)
     n = len(h)
     if not n:
-        return h
-    reach = min(max(k + w_max, k), 255)
-    best, partner = np.full(n, 99), np.arange(n)
+        return h, at
+    reach = min(k + w_max, 255)
+    best, partner = np.full(n, 99, np.int16), np.arange(n)
     for step in range(max(1, w_min), max(1, w_min, w_max) + 1):
         if step >= n:
             break
         far = at[step:] - at[:-step] <= reach
-        bits = np.bitwise_count((h[step:] ^ h[:-step]) & U(255)).astype(int)
+        if not far.any():  # those farther on are farther off
+            break
+        bits = np.bitwise_count((h[step:] ^ h[:-step]) & U(255)).astype(np.int16)
         better = far & (bits < best[:-step])
         best[:-step][better] = bits[better]
         partner[:-step][better] = np.flatnonzero(better) + step
     main, rest = U(STROBE_MASK), U(~STROBE_MASK & (1 << 64) - 1)
     p = h[partner]
     both = [((a & main) | (b & rest)) & ~U(255) for a, b in ((h, p), (p, h))]
-    return xxh3(np.minimum(*both), SEED >> (64 - 2 * k))
+    return np.minimum(*both), at
+
+
+def strobemers(bases: np.ndarray, k: int = 28, w_min: int = 12, w_max: int = 32) -> np.ndarray:
+    """The strobemers' hashes, in the order of their positions."""
+    return xxh3(contents(bases, k, w_min, w_max)[0], SEED >> (64 - 2 * k))
 
 
 def minimizers(bases: np.ndarray, k: int = 15, w: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Canonical code, position and strand of the leftmost least-ranked k-mer of each w, each once in a row."""
-    fwd, rev = windows(bases, k)
-    if len(fwd) < w:
-        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int8)
-    code = np.minimum(fwd, rev)
-    view = np.lib.stride_tricks.sliding_window_view(murmur_mix(code), w)
-    at = np.arange(len(view)) + view.argmin(axis=1)
-    at = at[np.flatnonzero(np.diff(at, prepend=-1))]
-    return code[at], at, (fwd > rev)[at].astype(np.int8)
+    codes, places, strands = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
+    last = -1
+    for start, part in _chunks(bases, k + w - 2):
+        fwd, rev = windows(part, k)
+        if len(fwd) < w:
+            continue
+        code = np.minimum(fwd, rev)
+        view = np.lib.stride_tricks.sliding_window_view(murmur_mix(code), w)
+        at = np.arange(len(view)) + view.argmin(axis=1)
+        at = at[np.flatnonzero(np.diff(at, prepend=last - start))]
+        if len(at):
+            last = int(at[-1]) + start
+        codes.append(code[at])
+        places.append(at + start)
+        strands.append((fwd > rev)[at].astype(np.int8))
+    return np.concatenate(codes), np.concatenate(places), np.concatenate(strands)

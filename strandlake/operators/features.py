@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,18 +15,66 @@ from strandlake.functions import kernels
 from strandlake.functions import scalars as S
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def strobemer_array(seqs: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The strobemer features of a sequence, bit patterns of unsigned numbers, in order of position."""
-    for s in seqs:
-        yield s.map(lambda x: kernels.strobemers(kernels.encode(x)).view(np.int64) if x else [])
+LEAST = 67  # bases of a sequence that gets features: 2 k + w_min - 1
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("strand", T.ByteType())])))
-def minimizer_array(seqs: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The minimizers of a sequence."""
-    for s in seqs:
-        yield s.map(lambda x: [{"key": int(k), "pos": int(p), "strand": int(d)} for k, p, d in zip(*kernels.minimizers(kernels.encode(x)))] if x else [])
+def _exploded(df: DataFrame, seq: str, names: list[str], types: list[str], kernel: Callable[[np.ndarray], tuple[np.ndarray, ...]], least: int) -> DataFrame:
+    """A row for each element of kernel(bases): the other columns of `df` and the kernel's arrays; null and short sequences give none."""
+    keep = [f for f in df.schema.fields if f.name != seq]
+    schema = T.StructType([*keep, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in zip(names, types))])
+    kinds = [{"int": pa.int32(), "long": pa.int64()}[t] for t in types]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                found = [kernel(kernels.encode(x)) for x in batch[seq].to_pylist()]
+                row = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]), pa.int64())
+                own = [pa.array(np.concatenate(c).astype(k.to_pandas_dtype(), copy=False), k) for c, k in zip(zip(*found), kinds)]
+                yield pa.RecordBatch.from_arrays([*(batch[f.name].take(row) for f in keep), *own], schema.names)
+
+    rows = df.select(*(f.name for f in keep), seq).where(F.length(seq) >= least)
+    return rows.mapInArrow(run, schema)
+
+
+def features(df: DataFrame, seq: str = "seq") -> DataFrame:
+    """pos, from 1, and hash of a sequence's order-2 strobemers over syncmers: the 56 bits that their content has."""
+
+    def kernel(bases: np.ndarray) -> tuple[np.ndarray, ...]:
+        content, at = kernels.contents(bases)
+        return at + 1, (content >> np.uint64(8)).view(np.int64)
+
+    return _exploded(df, seq, ["pos", "hash"], ["int", "long"], kernel, LEAST)
+
+
+def strobemers(df: DataFrame, seq: str = "seq") -> DataFrame:
+    """ordinal and hash of the strobemers, hashed once more with the fixed seed; bit patterns of unsigned numbers."""
+
+    def kernel(bases: np.ndarray) -> tuple[np.ndarray, ...]:
+        out = kernels.strobemers(bases)
+        return np.arange(len(out)), out.view(np.int64)
+
+    return _exploded(df, seq, ["ordinal", "hash"], ["int", "long"], kernel, LEAST)
+
+
+def syncmer_rows(df: DataFrame, seq: str = "seq") -> DataFrame:
+    """pos, from 1, and hash of the open syncmers; bit patterns of unsigned numbers."""
+
+    def kernel(bases: np.ndarray) -> tuple[np.ndarray, ...]:
+        h, at = kernels.syncmers(bases)
+        return at + 1, h.view(np.int64)
+
+    return _exploded(df, seq, ["pos", "hash"], ["int", "long"], kernel, 28)
+
+
+def anchors(df: DataFrame, k: int = 15, w: int = 10, seq: str = "seq") -> DataFrame:
+    """key, pos from 1, and strand of the minimizers."""
+
+    def kernel(bases: np.ndarray) -> tuple[np.ndarray, ...]:
+        code, at, strand = kernels.minimizers(bases, k, w)
+        return code.view(np.int64), at + 1, strand
+
+    return _exploded(df, seq, ["key", "pos", "strand"], ["long", "int", "int"], kernel, k)
 
 
 def long_enough(df: DataFrame, seq: str, k: int = 28, w_min: int = 12, least: int = 0) -> DataFrame:
@@ -34,17 +82,14 @@ def long_enough(df: DataFrame, seq: str, k: int = 28, w_min: int = 12, least: in
 
 
 def kmers(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """A row for each k-mer: the other columns, pos from 1 and kmer; shorter sequences give none."""
+    """A row for each k-mer: the other columns, pos from 1 and kmer; shorter sequences give none.
+
+    Bytes are cut out by their places; a text would be counted through from its start for each k-mer.
+    """
     keep = [c for c in df.columns if c != seq]
     at = F.sequence(F.lit(1), F.length(seq) - (k - 1))
-    out = df.where(F.length(seq) >= k).select(*keep, seq, F.explode(at).alias("pos"))
-    return out.select(*keep, "pos", F.col(seq).substr(F.col("pos"), F.lit(k)).alias("kmer"))
-
-
-def features(df: DataFrame, k: int = 12, prefix: str = "AC", seq: str = "seq") -> DataFrame:
-    """Portable features: pos and hash of the k-mers that start with a prefix, so most are never hashed."""
-    rows = kmers(df, k, seq).where(F.startswith("kmer", F.lit(prefix)))
-    return rows.withColumn("hash", S.portable_hash(F.col("kmer"))).drop("kmer")
+    out = df.where(F.length(seq) >= k).select(*keep, F.col(seq).cast("binary").alias(seq), F.explode(at).alias("pos"))
+    return out.select(*keep, "pos", F.substring(F.col(seq), F.col("pos"), F.lit(k)).cast("string").alias("kmer"))
 
 
 def syncmers(df: DataFrame, by: list[str], order: str, smer_hash: str, span: int) -> DataFrame:
@@ -102,6 +147,12 @@ def with_frequency(feats: DataFrame, freq: DataFrame) -> DataFrame:
     return feats.withColumn("h22", F.col("hash").bitwiseAND(F.lit(4194303))).join(freq, "h22").drop("h22")
 
 
+def kept(feats: DataFrame, freq: DataFrame, limits: DataFrame, unique_degree: int = 1) -> DataFrame:
+    """Features below the frequency threshold, if it is enabled; uniq: seen at most `unique_degree` times."""
+    rows = with_frequency(feats, freq).crossJoin(F.broadcast(limits.select("threshold", "enabled")))  # one row
+    return rows.where(~F.col("enabled") | (F.col("df") < F.col("threshold"))).withColumn("uniq", F.col("df") <= unique_degree).drop("threshold", "enabled")
+
+
 def counters(kept: DataFrame, seqs: DataFrame, by: str) -> DataFrame:
     """Per taxon: bases of all sequences, features kept, those that are unique."""
     bp = seqs.groupBy(by).agg(F.sum(F.length("seq")).alias("bp"))

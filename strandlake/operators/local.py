@@ -42,11 +42,16 @@ def even_tokens(rows: DataFrame, by: str, order: str, budget: int = 256) -> Data
 
 
 def kept_targets(rows: DataFrame, most: int = 32, sources: int = 8) -> DataFrame:
-    """Targets of a species: of its first sources, those with most anchors, then the longest, then by name."""
-    first = F.min("target").over(W.partitionBy("species", "source"))
-    r = rows.withColumn("first", first).withColumn("s", F.dense_rank().over(W.partitionBy("species").orderBy("first"))).where(F.col("s") <= sources)
-    place = F.row_number().over(W.partitionBy("species").orderBy(F.desc("anchors"), F.desc("length"), "target"))
-    return r.withColumn("place", place).where(F.col("place") <= most).drop("first", "s")
+    """Targets of a species, adding their place: those with most anchors, then the longest, then by name.
+
+    Of a species the first sources to come up in that order stay, of each source its first targets.
+    """
+    part = W.partitionBy("species")
+    order = [F.desc("anchors"), F.desc("length"), F.col("target")]
+    r = rows.withColumn("rn", F.row_number().over(part.orderBy(*order)))
+    r = r.withColumn("first", F.min("rn").over(W.partitionBy("species", "source"))).withColumn("s", F.dense_rank().over(part.orderBy("first"))).where(F.col("s") <= sources)
+    r = r.withColumn("own", F.row_number().over(W.partitionBy("species", "source").orderBy("rn"))).where(F.col("own") <= most)
+    return r.withColumn("place", F.row_number().over(part.orderBy("rn"))).drop("rn", "first", "s", "own")
 
 
 def round_robin(rows: DataFrame) -> DataFrame:

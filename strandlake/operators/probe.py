@@ -96,16 +96,41 @@ def weighted_cap(rows: DataFrame, by: str, score: str, low_degree: str, tie: str
     return rows.withColumn("weight", weight.cast("long")).withColumn("r", r).where(F.col("r") <= most)
 
 
-def adaptive_surface(reps: DataFrame, most: int = 6) -> DataFrame:
-    """Representatives of a read by genus: five of the strongest genus, two of others, then up to `most` by score."""
-    genus = F.sum("score").over(W.partitionBy("read", "genus"))
-    rows = reps.withColumn("mass", F.round(genus, 9))
-    rows = rows.withColumn("g", F.dense_rank().over(W.partitionBy("read").orderBy(F.desc("mass"), "genus")))
-    rows = rows.withColumn("r", F.row_number().over(W.partitionBy("read", "genus").orderBy(F.desc("score"), "species")))
-    chosen = ((F.col("g") == 1) & (F.col("r") <= 5)) | ((F.col("g") > 1) & (F.col("r") <= 2))
-    rows = rows.withColumn("chosen", chosen.cast("int"))
-    rank = F.row_number().over(W.partitionBy("read").orderBy(F.desc("chosen"), F.desc("score"), "species"))
-    return rows.withColumn("place", rank).where((F.col("chosen") == 1) | (F.col("place") <= most)).drop("mass")
+def caps(bins: int, s: float) -> tuple[int, int]:
+    """The least and the most bins that a read is evaluated in, for an index of so many bins and a dispersion."""
+    return min(bins, round(256 + 64 * s)), min(bins, round(512 + 128 * s))
+
+
+def adaptive_surface(coarse: DataFrame, rare: DataFrame, genus_rare: DataFrame, lengths: DataFrame, s: float) -> DataFrame:
+    """(read, species, place): the representatives that a read is evaluated against, if few genera hold its evidence.
+
+    `coarse` (read, species, genus, evidence), `rare` (read, species, support), `genus_rare`
+    (read, genus, support), `lengths` (read, n). First the strongest; then others of the
+    dominant genus and the best of other genera, those with rare features first, up to a
+    limit each; then by evidence. Reads whose evidence is spread give no rows.
+    """
+    part = W.partitionBy("read")
+    rows = coarse.join(lengths, "read").join(rare.withColumnRenamed("support", "rare"), ["read", "species"], "left").join(genus_rare.withColumnRenamed("support", "grare"), ["read", "genus"], "left").na.fill(0, ["rare", "grare"])
+    rows = rows.withColumn("short", F.col("n") <= 600).withColumn("total", F.sum("evidence").over(part)).withColumn("gm", F.sum("evidence").over(W.partitionBy("read", "genus")))
+    rows = rows.withColumn("r", F.row_number().over(part.orderBy(F.desc("evidence"), "species"))).withColumn("g", F.dense_rank().over(part.orderBy(F.desc("gm"), "genus")))
+    rows = rows.withColumn("share", F.max("gm").over(part) / F.col("total")).withColumn("head", F.sum(F.when(F.col("r") <= 10, F.col("evidence")).otherwise(0)).over(part) / F.col("total"))
+    rows = rows.withColumn("best", F.max("evidence").over(part))
+    rows = rows.withColumn("crowd", F.sum(((F.col("g") == 1) & (10 * F.col("evidence") >= 4 * F.col("best"))).cast("int")).over(part))
+    spread = F.when(F.col("short"), s > 0.2).otherwise(s > 0.35)
+    dense = (F.col("share") >= 0.72) | (F.col("short") & (F.col("share") >= 0.6)) | ((F.col("head") >= 0.55) & (F.col("share") >= 0.65)) | (F.col("crowd") >= 3)
+    rows = rows.where(spread & dense)
+    first = F.col("r") == 1
+    home = F.row_number().over(W.partitionBy("read", "genus").orderBy(first.cast("int"), F.desc("rare"), F.desc("evidence"), "species"))  # the strongest is in already
+    best = F.row_number().over(W.partitionBy("read", "genus").orderBy(F.desc("rare"), F.desc("evidence"), "species"))
+    rows = rows.withColumn("home", home).withColumn("pick", ~first & (F.col("g") > 1) & (best == 1))
+    away = F.row_number().over(part.orderBy(F.desc("pick"), F.desc("grare"), F.desc("gm"), "genus", "species"))
+    rows = rows.withColumn("away", away)
+    most_home, most_away = F.when(F.col("short"), 4).otherwise(2), F.when(F.col("short"), 5).otherwise(2)
+    tier = F.when(first, 0).when((F.col("g") == 1) & (F.col("home") <= most_home), 1).when(F.col("pick") & (F.col("away") <= most_away), 2).otherwise(3)
+    rows = rows.withColumn("tier", tier)
+    within = F.when(F.col("tier") == 1, F.col("home")).when(F.col("tier") == 2, F.col("away")).otherwise(F.col("r"))
+    rows = rows.withColumn("place", F.row_number().over(part.orderBy("tier", within)))
+    return rows.where(F.col("place") <= F.when(F.col("short"), 16).otherwise(6)).select("read", "species", "genus", "place")
 
 
 def completed(chosen: DataFrame, dictionary: DataFrame) -> DataFrame:

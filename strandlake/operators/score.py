@@ -11,14 +11,14 @@ from strandlake.functions import scalars as S
 
 def contributions(hits: DataFrame, df: DataFrame, counters: int, bins: int, s: float) -> DataFrame:
     """One row a read feature occurrence: degree, weight and strength; and the species that it hits."""
-    per = hits.groupBy("read", "pos", "hash").agg(F.countDistinct("species").alias("deg"), F.countDistinct("bin").alias("dfb"), F.collect_set(F.struct("species", "genus")).alias("taxa"))
+    per = hits.groupBy("read", "pos", "hash").agg(F.countDistinct("species").alias("deg"), F.countDistinct("bin").alias("dfb"), F.min("bin").alias("bin"), F.collect_set(F.struct("species", "genus")).alias("taxa"))
     per = per.join(df.select("hash", "df"), "hash", "left")
     own = F.when((F.col("deg") == 1) & (F.col("dfb") > 1), 1).otherwise(F.col("dfb"))
     dfi = S.lerp(F.col("dfb").cast("double"), own.cast("double"), s)
     bonus = 1 + 2 / (1 + F.log2(F.col("dfb")))
     strength = F.when((F.col("deg") == 1) & (F.col("dfb") == 1) & (F.col("df") <= 1), 1.0).when((F.col("deg") == 1) & (F.col("dfb") > 1), s).otherwise(0.0)
     weight = S.idf(F.lit(bins), dfi, s) * S.background(F.lit(counters), F.col("df")) * (1 + strength * (bonus - 1)) / F.log2(2 + F.col("deg"))
-    return per.select("read", "pos", "hash", "deg", "dfb", strength.alias("strength"), weight.alias("weight"), "taxa")
+    return per.select("read", "pos", "hash", "deg", "dfb", "bin", strength.alias("strength"), weight.alias("weight"), "taxa")
 
 
 def scores(parts: DataFrame) -> DataFrame:
@@ -66,10 +66,10 @@ def thresholds(reads: DataFrame, s: float, shot: float = 0.7, beta: tuple[float,
     return reads.withColumn("low", low).withColumn("high", high).withColumn("thr", S.lerp(low.cast("double"), high.cast("double"), s))
 
 
-def retained(rows: DataFrame, thr: DataFrame, s: float) -> DataFrame:
+def retained(rows: DataFrame, thr: DataFrame, s: float, most: int = 128) -> DataFrame:
     """Candidates above their read's threshold, or within the floor that the community leaves."""
     r = ranked(rows).withColumn("cands", F.count("*").over(W.partitionBy("read"))).join(thr.select("read", "thr"), "read")
-    floor = F.round((1 - s) * F.least(F.lit(16), F.col("cands")))
+    floor = F.round((1 - s) * F.least(F.lit(most), F.col("cands")))
     return r.where((F.col("rn") <= floor) | (F.col("score") >= F.col("thr")))
 
 
@@ -107,12 +107,26 @@ def competitors(rows: DataFrame, share: float = 0.5) -> DataFrame:
     return r.withColumn("h", head).groupBy("read").agg(F.sum(hit.cast("long")).alias("competitors"))
 
 
-def rescued(rows: DataFrame, uncertainty: DataFrame) -> DataFrame:
-    """Candidates below the threshold, same genus as the best first, as many as 1 + ceil(7 u), above the floor."""
-    r = ranked(rows)
-    head = F.first(F.struct("genus", "score")).over(W.partitionBy("read").orderBy("rn"))
-    r = r.withColumn("h", head).join(uncertainty, "read")
-    floor = F.greatest(0.25 * F.col("h.score"), 0.5 * F.col("thr"))
-    r = r.where((F.col("score") < F.col("thr")) & (F.col("score") >= floor)).withColumn("prio", F.when(F.col("genus") == F.col("h.genus"), 0).otherwise(1))
-    place = F.row_number().over(W.partitionBy("read").orderBy("prio", F.desc(F.round("score", 9)), "species"))
-    return r.withColumn("place", place).where(F.col("place") <= 1 + F.ceil(F.round(7 * F.col("u"), 9)))
+def rescued(rows: DataFrame, thr: DataFrame, kept: DataFrame, scan: int = 64) -> DataFrame:
+    """(read, species, place): candidates that are rescued besides those `kept` (read, species), by priority, score and name.
+
+    Of the first `scan` those above a floor: of the best one's genus first, then those of
+    half its score, then others; as many as 1 + ceil(7 u) less those kept. The uncertainty u
+    grows with a narrow lead, competitors in the genus and little unique evidence.
+    """
+    part = W.partitionBy("read")
+    score = F.greatest(F.lit(0.0), F.least(F.greatest(F.lit(1.0), F.col("evaluated")), F.col("score")))
+    r = ranked(rows).withColumn("score", score).where(F.col("rn") <= scan)
+    at = lambda k, c: F.max(F.when(F.col("rn") == k, F.col(c))).over(part)
+    r = r.withColumn("best", at(1, "score")).withColumn("second", F.coalesce(at(2, "score"), F.lit(0.0))).withColumn("home", at(1, "genus")).withColumn("own", at(1, "uniq"))
+    r = r.withColumn("rivals", F.sum(((F.col("rn") > 1) & (F.col("genus") == F.col("home"))).cast("int")).over(part))
+    unit = lambda x: S.clamp(x, 0.0, 1.0)
+    gap = 1 - unit((F.col("best") - F.col("second")) / F.greatest(F.col("best"), F.lit(1e-6)))
+    alone = 1 - unit(F.col("own") / F.col("evaluated") / 0.25)
+    u = unit(0.45 * gap + 0.35 * unit(F.col("rivals") / 4) + 0.2 * alone)
+    r = r.withColumn("u", F.round(u, 9)).join(kept.select("read", "species", F.lit(True).alias("has")), ["read", "species"], "left")
+    r = r.withColumn("held", F.count("has").over(part)).join(thr.select("read", "thr"), "read")
+    r = r.where(F.col("has").isNull() & (F.col("score") >= F.greatest(0.25 * F.col("best"), 0.5 * F.col("thr"))))
+    priority = F.when(F.col("genus") == F.col("home"), 0).when(F.col("score") >= 0.5 * F.col("best"), 1).otherwise(2)
+    place = F.row_number().over(part.orderBy(priority, F.desc(F.round("score", 9)), "species"))
+    return r.withColumn("place", place).where(F.col("place") <= 1 + F.ceil(7 * F.col("u")) - F.col("held")).select("read", "species", "place")

@@ -6,24 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-DEPTH = 128
-
-
 def closure(nodes: DataFrame) -> DataFrame:
     """(taxid, anc, dist) of each node (taxid, parent) with itself and all its ancestors.
 
     Paths double each round, so a tree of depth d takes log2(d) joins; a root is its own
-    parent or has one that isn't a node. At most DEPTH steps are taken.
+    parent or has one that isn't a node. A cycle is an error.
     """
+    nodes_ = nodes.count()
     step = nodes.where("taxid <> parent").select("taxid", F.col("parent").alias("anc"), F.lit(1).alias("dist"))
     known = nodes.select("taxid")
     step = step.join(known.select(F.col("taxid").alias("anc")), "anc", "left_semi").select("taxid", "anc", "dist")
     all_, reach = step, 1
-    while reach < DEPTH:
+    while True:
         ahead = all_.select(F.col("taxid").alias("anc"), F.col("anc").alias("far"), F.col("dist").alias("more"))
         longer = all_.where(F.col("dist") == reach).join(ahead, "anc").select("taxid", F.col("far").alias("anc"), (F.col("dist") + F.col("more")).alias("dist"))
         if longer.isEmpty():
             break
+        if reach > nodes_:
+            raise ValueError("the taxonomy has a cycle")
         all_, reach = all_.unionAll(longer), reach * 2
     return known.select("taxid", F.col("taxid").alias("anc"), F.lit(0).alias("dist")).unionAll(all_)
 

@@ -1,22 +1,28 @@
 """Relations that the registered queries start from, for Spark and, as SQL, for the oracle.
 
 Documents stand for reference sequences (folded to bases), passages of the benchmark for
-reads, (lang, source) for a species, lang for its genus; a document's bin is its number
+short reads, the documents for long ones, (lang, source) for a species, lang for its genus; a document's bin is its number
 modulo 64.
 """
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import tempfile
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.engine import BINS, DISPERSION, Chain
 from strandlake.functions import scalars as S
-from strandlake.operators import features, probe, score
+from strandlake.sources.archive import Archive, Store
 
-K, PREFIX, BINS, DISPERSION = 12, "AC", 64, 0.25
+from . import sqlkernels as K
+
+DOCUMENT = 1_000_000_000  # added to a document's number when it is a read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,7 +38,33 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-class Base:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one where none is set and all run in one process."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if d is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
+        d = sc.getCheckpointDir()
+    return d.rstrip("/")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone by then
+        pass
+
+
+class Base(Chain):
+    """The driver's tables as references, reads and a taxonomy, and the chain that most queries share.
+
+    The references' index is an archive that is built once a session and folder, and read by
+    every query after; so is the spool of the reads' evidence and scores.
+    """
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
@@ -46,44 +78,25 @@ class Base:
         return spread(self.documents.select("doc_id", "text", "lang", "source")).select(F.col("doc_id").alias("tid"), F.col("lang").alias("genus"), F.concat_ws("/", "lang", "source").alias("species"), S.fold(F.col("text")).alias("seq"))
 
     @cached_property
-    def reads(self) -> DataFrame:
-        return self.benchmark.select(F.col("item_id").alias("read"), S.fold(F.col("text")).alias("seq"))
+    def passages(self) -> DataFrame:
+        """The short reads: passages of the benchmark."""
+        return self.benchmark.select(F.col("item_id").cast("long").alias("read"), S.fold(F.col("text")).alias("seq"))
 
     @cached_property
-    def dfeat(self) -> DataFrame:
-        return features.features(self.refs, K, PREFIX).withColumn("bin", F.col("tid") % BINS)
-
-    @cached_property
-    def rfeat(self) -> DataFrame:
-        return features.features(self.reads, K, PREFIX)
-
-    @cached_property
-    def df(self) -> DataFrame:
-        return self.dfeat.groupBy("hash").agg(F.count("*").alias("df"))
-
-    @cached_property
-    def index(self) -> DataFrame:
-        return probe.index(self.dfeat)
-
-    @cached_property
-    def hits(self) -> DataFrame:
-        return probe.probe(self.rfeat, self.index)
-
-    @cached_property
-    def counters(self) -> int:
-        return 4 * features.frequency(self.dfeat).count()
-
-    @cached_property
-    def parts(self) -> DataFrame:
-        return score.contributions(self.hits, self.df, self.counters, BINS, DISPERSION)
+    def reads(self) -> DataFrame:
+        """All reads: the passages, and the documents themselves as long reads."""
+        return self.passages.unionAll(self.refs.select((F.col("tid") + DOCUMENT).cast("long").alias("read"), "seq"))
 
     @cached_property
-    def scores(self) -> DataFrame:
-        return score.scores(self.parts)
+    def archive(self) -> Archive:
+        name = hashlib.sha256(f"{self.spark.sparkContext.applicationId} {self.sf_dir}".encode()).hexdigest()[:24]
+        path = f"{shared_dir(self.spark)}/strandlake-archive-{name}"
+        atexit.register(_remove, self.spark, path)
+        return Archive(self.spark, path, self.refs, BINS)
 
     @cached_property
-    def sampled(self) -> DataFrame:
-        return probe.sample(self.rfeat, self.df, 2, 6)
+    def spool(self) -> Store:
+        return Store(self.spark, f"{self.archive.path}/spool")
 
     @cached_property
     def tree(self) -> DataFrame:
@@ -104,30 +117,34 @@ def clamp_sql(x: str, lo, hi) -> str:
 
 CHAIN = f"""
 refs AS (SELECT doc_id AS tid, lang AS genus, lang || '/' || source AS species, {_FOLD} AS seq FROM documents),
-reads AS (SELECT item_id AS read, {_FOLD} AS seq FROM benchmark),
-dk AS (SELECT tid, genus, species, tid % {BINS} AS bin, i AS pos, substr(seq, i, {K}) AS kmer FROM refs, unnest(range(1, length(seq) - {K - 2})) u(i)),
-rk AS (SELECT read, i AS pos, substr(seq, i, {K}) AS kmer FROM reads, unnest(range(1, length(seq) - {K - 2})) u(i)),
-dfeat AS (SELECT * FROM (SELECT tid, genus, species, bin, pos, ('0x' || substr(md5(kmer), 1, 15))::BIGINT AS hash FROM dk WHERE starts_with(kmer, '{PREFIX}'))),
-rfeat AS (SELECT * FROM (SELECT read, pos, ('0x' || substr(md5(kmer), 1, 15))::BIGINT AS hash FROM rk WHERE starts_with(kmer, '{PREFIX}'))),
+passages AS (SELECT item_id::BIGINT AS read, {_FOLD} AS seq FROM benchmark),
+reads AS (SELECT * FROM passages UNION ALL SELECT tid + {DOCUMENT}, seq FROM refs),
+{K.TABLES},
+{K.features("dfe", "refs", "tid")},
+{K.features("rfeat", "reads", "read")},
+dfeat AS (SELECT d.*, genus, species, tid % {BINS} AS bin FROM dfe d JOIN (SELECT tid, genus, species FROM refs) USING (tid)),
 df AS (SELECT hash, count(*) AS df FROM dfeat GROUP BY 1),
 freq AS (SELECT hash & 4194303 AS h22, count(*) AS df FROM dfeat GROUP BY 1),
 v AS (SELECT 4 * count(*) AS v FROM freq),
-idx AS (SELECT DISTINCT hash, bin, tid, species, genus FROM dfeat),
+lim AS (SELECT pow(2, bucket)::BIGINT AS threshold, pow(2, bucket) > 1 AND most > 1 AS enabled FROM (SELECT max(CASE WHEN held >= ceil((1 - 0.999::DOUBLE) * (SELECT v FROM v)) THEN bucket END) AS bucket, max(most) AS most
+  FROM (SELECT *, sum(n) OVER (ORDER BY bucket DESC) AS held FROM (SELECT floor(log2(df))::INTEGER AS bucket, 4 * count(*) AS n, max(df) AS most FROM freq GROUP BY 1)))),
+kept AS (SELECT d.*, freq.df, freq.df <= 1 AS uniq FROM dfeat d JOIN freq ON freq.h22 = d.hash & 4194303 CROSS JOIN lim WHERE NOT enabled OR freq.df < threshold),
+idx AS (SELECT DISTINCT hash, bin, tid, species, genus FROM kept),
 hits AS (SELECT r.read, r.pos, r.hash, i.bin, i.tid, i.species, i.genus FROM rfeat r JOIN idx i USING (hash)),
-per0 AS (SELECT read, pos, hash, count(DISTINCT species) AS deg, count(DISTINCT bin) AS dfb FROM hits GROUP BY 1, 2, 3),
+per0 AS (SELECT read, pos, hash, count(DISTINCT species) AS deg, count(DISTINCT bin) AS dfb, min(bin) AS bin FROM hits GROUP BY 1, 2, 3),
 per1 AS (SELECT *, CASE WHEN deg = 1 AND dfb = 1 AND df <= 1 THEN 1.0 WHEN deg = 1 AND dfb > 1 THEN {DISPERSION} ELSE 0.0 END::DOUBLE AS strength,
          dfb + ((CASE WHEN deg = 1 AND dfb > 1 THEN 1 ELSE dfb END) - dfb) * {DISPERSION}::DOUBLE AS dfi FROM per0 LEFT JOIN df USING (hash)),
 per2 AS (SELECT *, 8 * pow({clamp_sql(f"log2(({BINS} + 1) / (dfi + 1))", 0.5 * (1 - DISPERSION), "8.0")} / 8, {1 + 0.25 * DISPERSION}) AS idf,
          {clamp_sql("log2(((SELECT v FROM v) + 1) / (df + 1))", 0.25, "6.0")} AS bg FROM per1),
-per AS (SELECT read, pos, hash, deg, dfb, strength, idf * bg * (1 + strength * (2 / (1 + log2(dfb)))) / log2(2 + deg) AS weight FROM per2),
-parts AS (SELECT DISTINCT p.read, p.pos, p.hash, deg, dfb, strength, weight, species, genus FROM per p JOIN hits h ON h.read = p.read AND h.pos = p.pos AND h.hash = p.hash),
+per AS (SELECT read, pos, hash, deg, dfb, bin, strength, idf * bg * (1 + strength * (2 / (1 + log2(dfb)))) / log2(2 + deg) AS weight FROM per2),
+parts AS (SELECT DISTINCT p.read, p.pos, p.hash, deg, dfb, p.bin, strength, weight, species, genus FROM per p JOIN hits h ON h.read = p.read AND h.pos = p.pos AND h.hash = p.hash),
 ev AS (SELECT read, sum(weight) AS evaluated, count(*) AS n FROM per GROUP BY 1),
 scores AS (SELECT read, species, genus, sum(weight) AS score, sum(CASE WHEN deg = 1 THEN strength ELSE 0 END) AS uniq, any_value(evaluated) AS evaluated, any_value(n) AS n FROM parts JOIN ev USING (read) GROUP BY 1, 2, 3),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY read ORDER BY round(score, 9) DESC, species) AS rn FROM scores),
 tops AS (SELECT * EXCLUDE (score), score AS best, score - second AS gap, CASE WHEN second > 0 THEN score / second ELSE 99.0 END AS ratio
          FROM (SELECT *, coalesce(lead(score) OVER (PARTITION BY read ORDER BY rn), 0.0) AS second FROM ranked) WHERE rn = 1),
 m0 AS (SELECT *, count(*) OVER (PARTITION BY read) AS n_all, row_number() OVER (PARTITION BY read ORDER BY pos) - 1 AS place FROM rfeat),
-m1 AS (SELECT m0.*, coalesce(df, 0) AS df, least(greatest(2, least(6, floor(n_all / 2))), n_all)::BIGINT AS budget FROM m0 LEFT JOIN df USING (hash)),
+m1 AS (SELECT m0.*, coalesce(df, 0) AS df, least(greatest(16, least(96, floor(n_all / 2))), n_all)::BIGINT AS budget FROM m0 LEFT JOIN df USING (hash)),
 m2 AS (SELECT *, place % floor(n_all / least(n_all, 8 * budget))::BIGINT = 0 AS in_stride FROM m1),
 m3 AS (SELECT *, row_number() OVER (PARTITION BY read ORDER BY in_stride DESC, df, hash, pos) AS rare FROM m2),
 m4 AS (SELECT *, (n_all <= budget OR (in_stride AND rare <= greatest(1, floor(budget / 2)))) AS first, place % greatest(1, floor(n_all / budget))::BIGINT = 0 AS even FROM m3),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from strandlake.functions import scalars as S
 from strandlake.operators import features, packing, taxonomy
 
-from .base import K, Base, query, r6
+from . import sqlkernels as K
+from .base import Base, query, r6
 
 
 @query("f1_length_filter", "SELECT tid, length(seq)::INTEGER AS n FROM refs WHERE length(seq) >= 67")
@@ -15,58 +16,52 @@ def _(b: Base):
     return features.long_enough(b.refs, "seq").select("tid", F.length("seq").alias("n"))
 
 
-@query("x4_canonical_kmers", "SELECT tid, count(*) AS n, count(DISTINCT least(kmer, translate(reverse(kmer), 'ACGT', 'TGCA'))) AS n_canonical FROM dk GROUP BY 1")
+@query(
+    "x4_canonical_kmers",
+    "SELECT tid, count(*) AS n, count(DISTINCT least(kmer, translate(reverse(kmer), 'ACGT', 'TGCA'))) AS n_canonical FROM ck GROUP BY 1",
+    ", cc AS (SELECT tid, substr(seq, o + 1, 267) AS part FROM refs, unnest(range(0, length(seq) - 11, 256)) u(o)), ck AS (SELECT tid, substr(part, i, 12) AS kmer FROM cc, unnest(range(1, least(length(part) - 11, 256) + 1)) u(i))",
+)
 def _(b: Base):
-    return features.kmers(b.refs, K).groupBy("tid").agg(F.count("*").alias("n"), F.countDistinct(S.canonical(F.col("kmer"))).alias("n_canonical"))
+    return features.kmers(b.refs, 12).groupBy("tid").agg(F.count("*").alias("n"), F.countDistinct(S.canonical(F.col("kmer"))).alias("n_canonical"))
 
 
 @query("a2_frequency", "SELECT h22, df FROM freq")
 def _(b: Base):
-    return features.frequency(b.dfeat)
+    return b.archive.frequency
 
 
-@query(
-    "f3_frequency_threshold",
-    "SELECT (pow(2, bucket))::BIGINT AS threshold, pow(2, bucket) > 1 AND most > 1 AS enabled FROM (SELECT max(CASE WHEN held >= ceil((1 - 0.999::DOUBLE) * (SELECT v FROM v)) THEN bucket END) AS bucket, max(most) AS most FROM w)",
-    ", h AS (SELECT floor(log2(df))::INTEGER AS bucket, 4 * count(*) AS n, max(df) AS most FROM freq GROUP BY 1), w AS (SELECT *, sum(n) OVER (ORDER BY bucket DESC) AS held FROM h)",
-)
+@query("f3_frequency_threshold", "SELECT threshold, enabled FROM lim")
 def _(b: Base):
-    return features.threshold(features.frequency(b.dfeat))
-
+    return b.archive.limits.select("threshold", "enabled")
 
-_KEPT = ", kept AS (SELECT d.*, freq.df, freq.df <= 1 AS uniq FROM dfeat d JOIN freq ON freq.h22 = d.hash & 4194303 WHERE freq.df < 8)"
-_COUNT = _KEPT + ", cnt AS (SELECT species, sum(length(seq))::BIGINT AS bp FROM refs GROUP BY 1), own AS (SELECT species, count(*) AS total, sum(uniq::BIGINT)::BIGINT AS uni FROM kept GROUP BY 1), counters AS (SELECT species, bp, coalesce(total, 0) AS total, coalesce(uni, 0) AS uni FROM cnt LEFT JOIN own USING (species))"
 
+_COUNT = ", cnt AS (SELECT species, sum(length(seq))::BIGINT AS bp FROM refs GROUP BY 1), own AS (SELECT species, count(*) AS total, sum(uniq::BIGINT)::BIGINT AS uni FROM kept GROUP BY 1), counters AS (SELECT species, bp, coalesce(total, 0) AS total, coalesce(uni, 0) AS uni FROM cnt LEFT JOIN own USING (species))"
 
-def kept(b: Base):
-    return features.with_frequency(b.dfeat, features.frequency(b.dfeat)).where("df < 8").withColumn("uniq", F.col("df") <= 1)
 
-
-@query("f2_frequency_filter", "SELECT tid, pos, hash, uniq FROM kept", _KEPT)
+@query("f2_frequency_filter", "SELECT tid, pos, hash, uniq FROM kept")
 def _(b: Base):
-    return kept(b).select("tid", F.col("pos").cast("long").alias("pos"), "hash", "uniq")
+    return b.archive.kept.select("tid", F.col("pos").cast("long").alias("pos"), "hash", "uniq")
 
 
 @query("a1_build_counters", "SELECT species, bp, total, uni AS unique_signatures FROM counters", _COUNT)
 def _(b: Base):
-    return features.counters(kept(b), b.refs, "species").select("species", "bp", "total", F.col("unique").alias("unique_signatures"))
+    return b.archive.coverage.select("species", "bp", "total", F.col("unique").alias("unique_signatures"))
 
 
-@query("a3_build_statistics", "SELECT count(*) AS sequences, sum((length(seq) < 67)::BIGINT)::BIGINT AS skipped, sum(length(seq))::BIGINT AS bp, (SELECT count(*) FROM dfeat) - (SELECT count(*) FROM kept) AS dropped FROM refs", _KEPT)
+@query("a3_build_statistics", "SELECT count(*) AS sequences, sum((length(seq) < 67)::BIGINT)::BIGINT AS skipped, sum(length(seq))::BIGINT AS bp, (SELECT count(*) FROM dfeat) - (SELECT count(*) FROM kept) AS dropped FROM refs")
 def _(b: Base):
-    dropped = features.with_frequency(b.dfeat, features.frequency(b.dfeat)).agg(F.sum((F.col("df") >= 8).cast("long")).alias("dropped"))
+    dropped = b.dfeat.agg(F.count("*").alias("n")).crossJoin(b.archive.kept.agg(F.count("*").alias("k"))).select((F.col("n") - F.col("k")).alias("dropped"))  # one row each
     return b.refs.agg(F.count("*").alias("sequences"), F.sum((F.length("seq") < 67).cast("long")).alias("skipped"), F.sum(F.length("seq")).alias("bp")).crossJoin(dropped)  # one row each
 
 
 @query("a4_coverage_metadata", "SELECT species, round(CASE WHEN bp > 0 THEN uni / bp ELSE 0 END, 9) AS unique_density, round(CASE WHEN bp > 0 THEN uni / bp ELSE 0 END * 84, 6) AS expected FROM counters", _COUNT)
 def _(b: Base):
-    out = features.coverage(features.counters(kept(b), b.refs, "species"), 67)
-    return out.select("species", F.round("unique_density", 9).alias("unique_density"), r6(F.col("expected"), "expected"))
+    return b.archive.coverage.select("species", F.round("unique_density", 9).alias("unique_density"), r6(F.col("expected"), "expected"))
 
 
 @query("a5_bin_packing")
 def _(b: Base):
-    counts = {r["species"]: r["n"] for r in b.dfeat.groupBy("species").agg(F.count("*").alias("n")).collect()}  # a number a taxon
+    counts = {r["species"]: r["total"] for r in b.archive.coverage.collect()}  # a number a taxon
     rows = [(i, slot, t, n) for i, held in enumerate(packing.pack(counts)) for slot, (t, n) in enumerate(held)]
     return b.spark.createDataFrame(rows, "bin int, slot int, taxid string, hashes long")
 
@@ -76,21 +71,37 @@ def _(b: Base):
     return b.dfeat.groupBy(F.col("hash").bitwiseAND(F.lit(255)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-# --- selections over the reads' k-mers, with a portable rank ---------------------------
+# --- selections over sequences' k-mers -------------------------------------------------
 
-_SMER = ", s AS (SELECT read, i AS pos, ('0x' || substr(md5(least(substr(seq, i, 8), translate(reverse(substr(seq, i, 8)), 'ACGT', 'TGCA'))), 1, 15))::BIGINT AS hash FROM reads, unnest(range(1, length(seq) - 6)) u(i))"
+_SMER = ", s AS (SELECT read, i AS pos, ('0x' || substr(md5(least(substr(seq, i, 8), translate(reverse(substr(seq, i, 8)), 'ACGT', 'TGCA'))), 1, 15))::BIGINT AS hash FROM passages, unnest(range(1, length(seq) - 6)) u(i))"
 _SYNC = _SMER + ", sync AS (SELECT read, pos, hash FROM (SELECT *, min(hash) OVER w AS least, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY read ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) WHERE hash = least AND n = 5)"
 
 
 def smers(b: Base):
-    return features.kmers(b.reads, 8).select("read", "pos", S.portable_hash(S.canonical(F.col("kmer"))).alias("hash"))
+    return features.kmers(b.passages, 8).select("read", "pos", S.portable_hash(S.canonical(F.col("kmer"))).alias("hash"))
 
 
 def syncs(b: Base):
     return features.syncmers(smers(b), ["read"], "pos", "hash", 5)
 
 
-@query("w1_open_syncmers", "SELECT read, pos, hash FROM sync", _SYNC)
+@query("w1_open_syncmers", "SELECT tid, pos, (h >> 1)::BIGINT AS half, (h & 1::UBIGINT)::BIGINT AS low FROM sy", ", " + K.syncmers("sy", "refs", "tid"))
+def _(b: Base):
+    rows = features.syncmer_rows(b.refs.select("tid", "seq"))
+    return rows.select("tid", F.col("pos").cast("long").alias("pos"), F.shiftrightunsigned("hash", 1).alias("half"), F.col("hash").bitwiseAND(F.lit(1)).cast("long").alias("low"))
+
+
+@query("x1_features", "SELECT tid, species, bin, pos, hash FROM dfeat")
+def _(b: Base):
+    return b.dfeat.select("tid", "species", "bin", F.col("pos").cast("long").alias("pos"), "hash")
+
+
+@query("w2_minimizer_anchors", "SELECT tid, code AS key, pos, strand FROM mi", ", " + K.minimizers("mi", "refs", "tid"))
+def _(b: Base):
+    return b.archive.anchors.select("tid", "key", F.col("pos").cast("long").alias("pos"), "strand")
+
+
+@query("w1_syncmers_by_window", "SELECT read, pos, hash FROM sync", _SYNC)
 def _(b: Base):
     return syncs(b).select("read", F.col("pos").cast("long").alias("pos"), "hash")
 
@@ -106,7 +117,7 @@ def _(b: Base):
 
 @query(
     "w3_randstrobe_partners",
-    "SELECT a.read, a.pos, a.hash, coalesce(arg_min(b.hash, bit_count(xor(a.hash, b.hash) & 255)::BIGINT * 100000 + b.pos), a.hash) AS partner, NULL AS drop_me FROM o a LEFT JOIN o b ON b.read = a.read AND b.i BETWEEN a.i + 2 AND a.i + 8 AND b.pos <= a.pos + 60 GROUP BY a.read, a.pos, a.hash".replace(", NULL AS drop_me", ""),
+    "SELECT a.read, a.pos, a.hash, coalesce(arg_min(b.hash, bit_count(xor(a.hash, b.hash) & 255)::BIGINT * 100000 + b.pos), a.hash) AS partner FROM o a LEFT JOIN o b ON b.read = a.read AND b.i BETWEEN a.i + 2 AND a.i + 8 AND b.pos <= a.pos + 60 GROUP BY a.read, a.pos, a.hash",
     _SYNC + ", o AS (SELECT *, row_number() OVER (PARTITION BY read ORDER BY pos) AS i FROM sync)",
 )
 def _(b: Base):
@@ -120,21 +131,16 @@ def _(b: Base):
 
 @query("x1_strobemer_features")
 def _(b: Base):
-    return b.refs.select("tid", F.posexplode(features.strobemer_array("seq")).alias("ordinal", "hash"))
-
-
-@query("w2_minimizer_anchors")
-def _(b: Base):
-    return b.refs.select("tid", F.explode(features.minimizer_array("seq")).alias("a")).select("tid", "a.*")
+    return features.strobemers(b.refs.select("tid", "seq"))
 
 
 @query(
     "t6_sorted_features",
-    "SELECT read, CASE WHEN count(*) > 8 THEN list_sort(list_distinct(list(hash))) ELSE list(hash ORDER BY pos) END AS hashes FROM rfeat GROUP BY 1",
+    "SELECT read, CASE WHEN count(*) > 2048 THEN list_sort(list_distinct(list(hash))) ELSE list(hash ORDER BY pos) END AS hashes FROM rfeat GROUP BY 1",
 )
 def _(b: Base):
     rows = b.rfeat.groupBy("read").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "hash"))), lambda x: x["hash"]).alias("h"))
-    return rows.select("read", F.when(F.size("h") > 8, F.array_sort(F.array_distinct("h"))).otherwise(F.col("h")).alias("hashes"))
+    return rows.select("read", F.when(F.size("h") > 2048, F.array_sort(F.array_distinct("h"))).otherwise(F.col("h")).alias("hashes"))
 
 
 # --- taxonomy --------------------------------------------------------------------------

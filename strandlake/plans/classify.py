@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import probe, score
 
-from .base import DISPERSION, Base, query, r6
+
+from .base import BINS, DISPERSION, Base, query, r6
 
 S9 = "round(score, 9)"
+LEAST_BINS, MOST_BINS = probe.caps(BINS, DISPERSION)
 
 
 @query("j1_feature_probe", "SELECT read, pos, hash, bin, tid FROM hits")
@@ -79,30 +81,55 @@ def _(b: Base):
 
 @query(
     "w7_core_cap",
-    "SELECT read, bin, evidence, r::INTEGER AS r, cap::BIGINT AS cap FROM (SELECT *, greatest(1, ceil(round(3 + 5 * pow(1 - core, 2), 9))) AS cap FROM (SELECT *, sum(CASE WHEN r <= ceil(round(eff, 9)) THEN p ELSE 0 END) OVER (PARTITION BY read) AS core FROM (SELECT *, 1 / sum(p * p) OVER (PARTITION BY read) AS eff, row_number() OVER (PARTITION BY read ORDER BY evidence DESC, bin) AS r FROM (SELECT *, evidence / sum(evidence) OVER (PARTITION BY read) AS p FROM cb)))) WHERE r <= cap",
+    f"SELECT read, bin, evidence, r::INTEGER AS r, cap::BIGINT AS cap FROM (SELECT *, greatest(1, ceil(round({LEAST_BINS} + {MOST_BINS - LEAST_BINS} * pow(1 - core, 2), 9))) AS cap FROM (SELECT *, sum(CASE WHEN r <= ceil(round(eff, 9)) THEN p ELSE 0 END) OVER (PARTITION BY read) AS core FROM (SELECT *, 1 / sum(p * p) OVER (PARTITION BY read) AS eff, row_number() OVER (PARTITION BY read ORDER BY evidence DESC, bin) AS r FROM (SELECT *, evidence / sum(evidence) OVER (PARTITION BY read) AS p FROM cb)))) WHERE r <= cap",
     _COARSE,
 )
 def _(b: Base):
-    return probe.core_cap(probe.coarse(b.sampled, b.index, "bin"), "read", "evidence", "bin", 3, 8).withColumn("cap", F.col("cap").cast("long"))
+    return probe.core_cap(probe.coarse(b.sampled, b.index, "bin"), "read", "evidence", "bin", LEAST_BINS, MOST_BINS).withColumn("cap", F.col("cap").cast("long"))
 
 
 @query(
     "w8_weighted_cap",
-    "SELECT read, bin, w AS weight, r::INTEGER AS r FROM (SELECT *, row_number() OVER (PARTITION BY read ORDER BY w DESC, bin) AS r FROM (SELECT read, bin, (4 * evidence + 4294967296 * (evidence = 1)::BIGINT)::BIGINT AS w FROM cb)) WHERE r <= 6",
+    f"SELECT read, bin, w AS weight, r::INTEGER AS r FROM (SELECT *, row_number() OVER (PARTITION BY read ORDER BY w DESC, bin) AS r FROM (SELECT read, bin, (4 * evidence + 4294967296 * (evidence = 1)::BIGINT)::BIGINT AS w FROM cb)) WHERE r <= {MOST_BINS}",
     _COARSE,
 )
 def _(b: Base):
     rows = probe.coarse(b.sampled, b.index, "bin").withColumn("low", (F.col("evidence") == 1).cast("long"))
-    return probe.weighted_cap(rows, "read", "evidence", "low", "bin", 6).select("read", "bin", "weight", "r")
+    return probe.weighted_cap(rows, "read", "evidence", "low", "bin", MOST_BINS).select("read", "bin", "weight", "r")
+
+
+_RARE = """, few AS (SELECT r.read, r.hash FROM routed r JOIN idx i USING (hash) LEFT JOIN df USING (hash) GROUP BY 1, 2 HAVING count(DISTINCT bin) <= 2 OR max(df) <= 2),
+rs AS (SELECT q.read, i.species, count(DISTINCT q.hash) AS rare FROM few q JOIN idx i USING (hash) GROUP BY 1, 2), rg AS (SELECT q.read, i.genus, count(DISTINCT q.hash) AS grare FROM few q JOIN idx i USING (hash) GROUP BY 1, 2),
+cs AS (SELECT read, species, genus, count(*) AS evidence FROM (SELECT DISTINCT s.read, s.hash, i.bin, i.tid, i.species, i.genus FROM sampled s JOIN idx i USING (hash)) GROUP BY 1, 2, 3)"""
+_SURFACE = (
+    _RARE
+    + f""", s0 AS (SELECT cs.*, coalesce(rare, 0) AS rare, coalesce(grare, 0) AS grare, length(seq) <= 600 AS short, sum(evidence) OVER (PARTITION BY read) AS total, sum(evidence) OVER (PARTITION BY read, genus) AS gm,
+  max(evidence) OVER (PARTITION BY read) AS best, row_number() OVER (PARTITION BY read ORDER BY evidence DESC, species) AS r FROM cs JOIN reads USING (read) LEFT JOIN rs USING (read, species) LEFT JOIN rg USING (read, genus)),
+s1 AS (SELECT *, dense_rank() OVER (PARTITION BY read ORDER BY gm DESC, genus) AS g, row_number() OVER (PARTITION BY read, genus ORDER BY rare DESC, evidence DESC, species) AS b,
+  row_number() OVER (PARTITION BY read, genus ORDER BY (r = 1)::INTEGER, rare DESC, evidence DESC, species) AS home FROM s0),
+s2 AS (SELECT *, max(gm) OVER w / total AS share, sum(CASE WHEN r <= 10 THEN evidence ELSE 0 END) OVER w / total AS head, sum((g = 1 AND 10 * evidence >= 4 * best)::INTEGER) OVER w AS crowd, (r > 1 AND g > 1 AND b = 1) AS pick FROM s1 WINDOW w AS (PARTITION BY read)),
+s3 AS (SELECT *, row_number() OVER (PARTITION BY read ORDER BY pick DESC, grare DESC, gm DESC, genus, species) AS away FROM s2
+  WHERE {DISPERSION} > (CASE WHEN short THEN 0.2 ELSE 0.35 END) AND (share >= 0.72::DOUBLE OR (short AND share >= 0.6::DOUBLE) OR (head >= 0.55::DOUBLE AND share >= 0.65::DOUBLE) OR crowd >= 3)),
+s4 AS (SELECT *, CASE WHEN r = 1 THEN 0 WHEN g = 1 AND home <= (CASE WHEN short THEN 4 ELSE 2 END) THEN 1 WHEN pick AND away <= (CASE WHEN short THEN 5 ELSE 2 END) THEN 2 ELSE 3 END AS tier FROM s3),
+surface AS (SELECT * FROM (SELECT read, species, genus, short, row_number() OVER (PARTITION BY read ORDER BY tier, CASE tier WHEN 1 THEN home WHEN 2 THEN away ELSE r END) AS place FROM s4) WHERE place <= (CASE WHEN short THEN 16 ELSE 6 END))"""
+)
 
 
-@query(
-    "w9_adaptive_surface",
-    "SELECT read, species, genus, r::INTEGER AS r, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY read ORDER BY chosen DESC, score DESC, species) AS place FROM (SELECT *, ((g = 1 AND r <= 5) OR (g > 1 AND r <= 2))::INTEGER AS chosen FROM (SELECT *, dense_rank() OVER (PARTITION BY read ORDER BY mass DESC, genus) AS g, row_number() OVER (PARTITION BY read, genus ORDER BY score DESC, species) AS r FROM (SELECT *, round(sum(score) OVER (PARTITION BY read, genus), 9) AS mass FROM (SELECT read, species, genus, round(score, 9) AS score FROM scores))))) WHERE chosen = 1 OR place <= 6",
-)
+def surface(b: Base):
+    routed = probe.rarest_half(b.sampled, b.df)
+    coarse = probe.coarse(b.sampled, b.index, "species").join(F.broadcast(b.taxa), "species")  # a row a taxon
+    rare, genus_rare = (probe.rare_support(routed, b.index, b.df, level) for level in ("species", "genus"))
+    return probe.adaptive_surface(coarse, rare, genus_rare, b.reads.select("read", F.length("seq").alias("n")), DISPERSION)
+
+
+@query("w9_adaptive_surface", "SELECT read, species, genus, place::INTEGER AS place FROM surface", _SURFACE)
 def _(b: Base):
-    rows = b.scores.select("read", "species", "genus", F.round("score", 9).alias("score"))
-    return probe.adaptive_surface(rows).select("read", "species", "genus", "r", "place")
+    return surface(b).select("read", "species", "genus", "place")
+
+
+@query("j22_adaptive_bins", "SELECT DISTINCT t.read, i.bin FROM surface t JOIN (SELECT DISTINCT species, bin FROM idx) i USING (species)", _SURFACE)
+def _(b: Base):
+    return probe.completed(surface(b).select("read", "species"), b.index.select("species", "bin").distinct())
 
 
 @query("j22_surface_completion", "SELECT DISTINCT t.read, i.bin FROM tops t JOIN (SELECT DISTINCT species, bin FROM idx) i USING (species)")
@@ -171,11 +198,11 @@ def _(b: Base):
     return thresholds(b).select("read", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), r6(F.col("thr"), "thr"))
 
 
-_RET = _THR + f", ret AS (SELECT r.*, thr FROM (SELECT *, count(*) OVER (PARTITION BY read) AS cands FROM ranked) r JOIN thr USING (read) WHERE rn <= round({1 - DISPERSION} * least(16, cands)) OR score >= thr)"
+_RET = _THR + f", ret AS (SELECT r.*, thr FROM (SELECT *, count(*) OVER (PARTITION BY read) AS cands FROM ranked) r JOIN thr USING (read) WHERE rn <= round({1 - DISPERSION} * least(128, cands)) OR score >= thr)"
 
 
 def retained(b: Base):
-    return score.retained(b.scores, thresholds(b), DISPERSION)
+    return b.spool.held("candidates", lambda: score.retained(b.scores, thresholds(b), DISPERSION))
 
 
 @query("f5_candidate_retention", "SELECT read, species, rn::INTEGER AS rn FROM ret", _RET)
@@ -185,10 +212,10 @@ def _(b: Base):
 
 @query(
     "f7_quick_evaluation",
-    "SELECT read, stage, count(*) AS n, round(sum(weight), 6) AS weight FROM (SELECT read, weight, CASE WHEN row_number() OVER (PARTITION BY read ORDER BY pos) <= 6 THEN 0 WHEN hash & 7 = 0 THEN 1 ELSE 2 END AS stage FROM per) GROUP BY 1, 2",
+    "SELECT read, stage, count(*) AS n, round(sum(weight), 6) AS weight FROM (SELECT read, weight, CASE WHEN row_number() OVER (PARTITION BY read ORDER BY pos) <= 64 THEN 0 WHEN hash & 7 = 0 THEN 1 ELSE 2 END AS stage FROM per) GROUP BY 1, 2",
 )
 def _(b: Base):
-    return score.staged(b.parts, 6).groupBy("read", "stage").agg(F.count("*").alias("n"), r6(F.sum("weight"), "weight"))
+    return score.staged(b.parts).groupBy("read", "stage").agg(F.count("*").alias("n"), r6(F.sum("weight"), "weight"))
 
 
 @query("f8_cost_filter", "SELECT read, species, rn::INTEGER AS rn FROM (SELECT *, count(*) OVER (PARTITION BY read) AS cands FROM ranked) WHERE rn = 1 OR score >= 0.5::DOUBLE * ln(80.0::DOUBLE) + ln(cands)")
@@ -209,14 +236,18 @@ def _(b: Base):
     return score.competitors(b.scores)
 
 
-@query(
-    "w10_local_rescue",
-    "SELECT read, species, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY read ORDER BY prio, round(score, 9) DESC, species) AS place FROM (SELECT *, CASE WHEN genus = h.genus THEN 0 ELSE 1 END AS prio FROM (SELECT *, first_value({'genus': genus, 'score': score}) OVER (PARTITION BY read ORDER BY rn) AS h FROM ranked) JOIN (SELECT read, least(1, second / best) AS u FROM tops) USING (read) JOIN thr USING (read) WHERE score < thr AND score >= greatest(0.25 * h.score, 0.5 * thr))) WHERE place <= 1 + ceil(round(7 * u, 9))",
-    _THR,
-)
+_RESCUE = _RET + """
+, r0 AS (SELECT * REPLACE (greatest(0.0, least(greatest(1.0, evaluated), score)) AS score) FROM ranked WHERE rn <= 64),
+r1 AS (SELECT *, max(score) OVER w AS best, coalesce(max(CASE WHEN rn = 2 THEN score END) OVER w, 0.0) AS second, max(CASE WHEN rn = 1 THEN genus END) OVER w AS home, max(CASE WHEN rn = 1 THEN uniq END) OVER w AS own FROM r0 WINDOW w AS (PARTITION BY read)),
+r2 AS (SELECT *, sum((rn > 1 AND genus = home)::INTEGER) OVER (PARTITION BY read) AS rivals FROM r1),
+r3 AS (SELECT *, round(greatest(0.0, least(1.0, 0.45::DOUBLE * (1 - greatest(0.0, least(1.0, (best - second) / greatest(best, 1e-6::DOUBLE)))) + 0.35::DOUBLE * least(1.0, rivals / 4) + 0.2::DOUBLE * (1 - greatest(0.0, least(1.0, own / evaluated / 0.25::DOUBLE))))), 9) AS u FROM r2),
+r4 AS (SELECT r3.*, k.read IS NOT NULL AS has, count(k.read) OVER (PARTITION BY r3.read) AS held FROM r3 LEFT JOIN (SELECT read, species FROM ret) k ON k.read = r3.read AND k.species = r3.species),
+r5 AS (SELECT read, species, u, held, row_number() OVER (PARTITION BY read ORDER BY CASE WHEN genus = home THEN 0 WHEN score >= 0.5 * best THEN 1 ELSE 2 END, round(score, 9) DESC, species) AS place FROM r4 JOIN thr USING (read) WHERE NOT has AND score >= greatest(0.25 * best, 0.5 * thr))"""
+
+
+@query("w10_local_rescue", "SELECT read, species, place::INTEGER AS place FROM r5 WHERE place <= 1 + ceil(7 * u) - held", _RESCUE)
 def _(b: Base):
-    u = score.top_two(b.scores).select("read", F.least(F.lit(1.0), F.col("second") / F.col("best")).alias("u"))
-    return score.rescued(b.scores, u.join(thresholds(b).select("read", "thr"), "read")).select("read", "species", "place")
+    return score.rescued(b.scores, thresholds(b), retained(b).select("read", "species"))
 
 
 @query("a27_uniquely_mapped", "SELECT count(DISTINCT species) AS taxa FROM parts WHERE deg = 1")

@@ -4,125 +4,164 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandlake.functions import scalars as S
-from strandlake.operators import local, model, profile, score
+from strandlake.operators import features, local, model, profile, score
 
-from .base import Base, query, r6
+from . import sqlkernels as K
+from .base import DISPERSION, Base, query, r6
+from .build import _COUNT
 from .classify import _RET, retained
 
-ROUNDS = 3
+ROUNDS, MIX_ROUNDS, POWER, LEAST = 100, 10, 1 + DISPERSION, 5e-4
 
+# --- presence --------------------------------------------------------------------------
 
-def _em_sql(rounds: int, power: float = 1.0) -> str:
-    """The assignment fit unrolled: e{i} are responsibilities under p{i-1}, p{i} the weights after."""
-    out = _RET + """
-, ll AS (SELECT read, species, genus, score, evaluated, 1.05::DOUBLE * ln(greatest((c + 1e-9::DOUBLE) / (max(c) OVER w + count(*) OVER w * 1e-9::DOUBLE), 1e-9::DOUBLE)) AS loglik
-   FROM (SELECT *, score / evaluated AS c FROM ret) WINDOW w AS (PARTITION BY read)),
-mass AS (SELECT species, sum(p) AS mass FROM (SELECT species, score / sum(score) OVER (PARTITION BY read) AS p FROM ret) GROUP BY 1),
-p00 AS (SELECT species, greatest(mass / (SELECT sum(mass) FROM mass), 1e-9::DOUBLE) AS pi FROM mass),
-p0 AS (SELECT species, pi / (SELECT sum(pi) FROM p00) AS pi FROM p00)"""
-    for i in range(1, rounds + 1):
-        out += f"""
-, w{i} AS (SELECT read, species, genus, evaluated, score, ln(greatest(pi, 1e-9::DOUBLE)) + loglik AS w FROM ll JOIN p{i - 1} USING (species)),
-x{i} AS (SELECT *, exp(w - max(w) OVER (PARTITION BY read)) AS x FROM w{i}),
-q{i} AS (SELECT read, species, genus, evaluated, score, x / sum(x) OVER (PARTITION BY read) AS q FROM x{i}),
-g{i} AS (SELECT species, sum(e) AS e FROM (SELECT species, evaluated * pow(max(q) OVER (PARTITION BY read), {power}) * q AS e FROM q{i}) GROUP BY 1),
-p{i} AS (SELECT species, (CASE WHEN e < 2e-4::DOUBLE * (SELECT max(e) FROM g{i}) THEN 0 ELSE e END + 1e-6::DOUBLE) / ((SELECT count(*) FROM g{i}) * 1e-6::DOUBLE + (SELECT sum(e) FROM g{i})) AS pi FROM g{i})"""
-    return out
 
+def _nth(c: str, q: float) -> str:
+    return f"coalesce(list_sort(list({c}))[(floor({q}::DOUBLE * (count({c}) - 1)) + 1)::BIGINT], 0.0)"
 
-_EM = _em_sql(ROUNDS)
-_POST = _EM + f", post AS (SELECT * FROM q{ROUNDS})"
 
+def _pct(c: str) -> str:
+    return f"coalesce(list_sort(list({c}::DOUBLE))[(floor(0.95::DOUBLE * (count(*) - 1)) + 1)::BIGINT], 0.0)"
 
-def fitted(b: Base):
-    return model.fit(retained(b), ROUNDS)
 
+_PRES = _COUNT + f"""
+, cov AS (SELECT species, bp, total, uni, CASE WHEN bp > 0 THEN uni / bp ELSE 0 END AS density FROM counters),
+rl AS (SELECT count(*) AS n, greatest(1, sum(length(seq)) // count(*) - 67 + 1) AS win FROM reads),
+pres AS (SELECT species, count(*) AS hits, sum(CASE WHEN deg = 1 THEN strength ELSE 0 END) AS uniq, count(DISTINCT read) AS reads, count(DISTINCT CASE WHEN deg = 1 AND strength > 0 THEN read END) AS unique_reads,
+  count(DISTINCT CASE WHEN deg = 1 AND dfb = 1 THEN hash % 2048 END) AS unique_obs, count(DISTINCT CASE WHEN deg = 1 AND dfb = 1 THEN bin END) AS breadth_obs FROM parts GROUP BY 1),
+pe0 AS (SELECT p.*, coalesce(uni, 0) AS uni, CASE WHEN density > 0 THEN density * win WHEN total > 0 AND bp > 0 THEN total / bp * win ELSE 0 END AS expected, n FROM pres p LEFT JOIN cov USING (species) CROSS JOIN rl),
+pe AS (SELECT *, CASE WHEN expected > 0 THEN expected * n ELSE uni END AS exposure, unique_obs * (CASE WHEN unique_obs > 0 THEN (CASE WHEN breadth_obs > 0 THEN least(1.0, breadth_obs / unique_obs) ELSE 1 END) ELSE 0 END) AS effective, hits::DOUBLE AS score FROM pe0),
+pr1 AS (SELECT *, effective / greatest(1, score) AS rate, CASE WHEN reads > 0 THEN unique_reads / reads ELSE 0 END AS read_ratio FROM pe),
+cut AS (SELECT {_nth("score", 0.3)} AS faint, {_nth("score", 0.9)} AS strong FROM pr1),
+low AS (SELECT coalesce(list_sort(list(exposure))[least(floor(0.1::DOUBLE * count(*)) + 1, count(*))::BIGINT], 0.0) AS lowest FROM pr1 WHERE exposure > 0),
+noise AS (SELECT {_pct("unique_obs")} AS c1, {_pct("breadth_obs")} AS c2, {_pct("rate")} AS c3, {_pct("read_ratio")} AS c4 FROM pr1 CROSS JOIN cut WHERE score <= faint),
+pr2 AS (SELECT *, CASE WHEN exposure > 0 THEN exposure ELSE greatest(1, score) END AS ex,
+  CASE WHEN strong > 0 AND score < strong THEN greatest(0.0, least(1.0, CASE WHEN c1 > 0 THEN unique_obs / c1 ELSE 1 END, CASE WHEN c2 > 0 THEN breadth_obs / c2 ELSE 1 END, CASE WHEN c3 > 0 THEN rate / c3 ELSE 1 END, CASE WHEN c4 > 0 THEN read_ratio / c4 ELSE 1 END)) ELSE 1.0 END AS factor
+  FROM pr1 CROSS JOIN cut CROSS JOIN low CROSS JOIN noise),
+pr3 AS (SELECT *, effective * (CASE WHEN uni > 0 THEN greatest(1, ex / uni) ELSE 1 END) AS most FROM pr2),
+pr4 AS (SELECT *, CASE WHEN most > 0 THEN (CASE WHEN uniq > 0 THEN least(uniq, most) ELSE most END) ELSE uniq END AS capped FROM pr3),
+pr5 AS (SELECT *, factor * (CASE WHEN capped > 0 THEN capped WHEN uniq > 0 THEN uniq ELSE score END) AS c, greatest(ex, lowest) AS u FROM pr4),
+pr6 AS (SELECT *, greatest(0.0, c / u - 1e-4::DOUBLE) AS lam FROM pr5),
+pp AS (SELECT *, (CASE WHEN c > 0 THEN c * ln((lam + 1e-4::DOUBLE) / 1e-4::DOUBLE) ELSE 0 END) - lam * u + ln(0.001::DOUBLE) - ln(0.999::DOUBLE) AS logodds FROM pr6),
+level AS (SELECT species, CASE WHEN logodds >= 4.6::DOUBLE THEN 'accept' WHEN logodds <= -4.6::DOUBLE THEN 'reject' ELSE 'unknown' END AS level FROM pp),
+scale AS (SELECT species, scale FROM (SELECT species, CASE WHEN logodds IS NULL THEN density * win WHEN density > 0 THEN 0.5 * density * win + 0.5 / (1 + exp(-logodds)) ELSE 1 / (1 + exp(-logodds)) END AS scale FROM cov CROSS JOIN rl LEFT JOIN pp USING (species)) WHERE scale > 0)"""
 
-def posteriors(b: Base):
-    post, pi = fitted(b)
-    taxa = b.refs.select("species", "genus").distinct()
-    return post.join(F.broadcast(taxa), "species"), pi
+SPAN = 67
 
 
-@query("a13_weighted_evidence", "SELECT species, round(mass, 6) AS mass FROM mass", _EM)
-def _(b: Base):
-    return model.shares(retained(b)).select("species", r6(F.col("mass"), "mass"))
+def read_lengths(b: Base):
+    """One row: the number of reads and their whole average length."""
+    return b.reads.agg(F.count("*").alias("n"), F.floor(F.sum(F.length("seq")) / F.count("*")).alias("average"))
+
+
+def presence(b: Base):
+    return model.exposed(model.presence(b.parts), b.archive.coverage, read_lengths(b), SPAN)
+
+
+def posterior(b: Base):
+    return b.spool.held("presence", lambda: model.presence_posterior(presence(b)))
+
+
+def prior(b: Base):
+    return model.prior_scale(b.archive.coverage, posterior(b), read_lengths(b), SPAN)
 
 
-@query("m1_assignment_posteriors", "SELECT read, species, round(q, 6) AS q FROM post", _POST)
+@query("a10_presence_statistics", "SELECT species, hits, round(uniq, 6) AS uniq, reads, unique_reads, unique_obs, breadth_obs FROM pres", _PRES)
 def _(b: Base):
-    return fitted(b)[0].select("read", "species", r6(F.col("q"), "q"))
+    return model.presence(b.parts).select("species", "hits", r6(F.col("uniq"), "uniq"), "reads", "unique_reads", "unique_obs", "breadth_obs")
 
 
-@query("m1_assignment_weights", f"SELECT species, round(pi, 6) AS pi FROM p{ROUNDS}", _EM)
+@query("j7_presence_coverage", "SELECT species, hits, round(expected, 6) AS expected, round(exposure, 6) AS exposure FROM pe", _PRES)
 def _(b: Base):
-    return fitted(b)[1].select("species", r6(F.col("pi"), "pi"))
+    return presence(b).select("species", "hits", r6(F.col("expected"), "expected"), r6(F.col("exposure"), "exposure"))
 
 
-@query("m2_full_assignment")
+@query("a11_presence_model", "SELECT species, round(factor, 6) AS local_factor, round(logodds, 6) AS logodds, level FROM pp JOIN level USING (species)", _PRES)
 def _(b: Base):
-    """All hundred rounds, weighted by confidence."""
-    return model.fit(retained(b), 100, 1.25)[1]
+    return posterior(b).select("species", r6(F.col("local_factor"), "local_factor"), r6(F.col("logodds"), "logodds"), "level")
 
 
-def _mix_sql(rounds: int) -> str:
-    out = _RET + ", u0 AS (SELECT species, 1 / (SELECT count(DISTINCT species) FROM ret)::DOUBLE AS pi FROM ret GROUP BY 1)"
-    for i in range(1, rounds + 1):
-        out += f", y{i} AS (SELECT read, species, pi * score AS x FROM ret JOIN u{i - 1} USING (species)), u{i} AS (SELECT species, (sum(q) + 0.5) / ((SELECT count(DISTINCT read) FROM ret) + 0.5 * (SELECT count(*) FROM u0)) AS pi FROM (SELECT species, x / sum(x) OVER (PARTITION BY read) AS q FROM y{i}) GROUP BY 1)"
-    return out
+@query("t7_nearest_rank", "SELECT round(faint, 6) AS v FROM cut", _PRES)
+def _(b: Base):
+    return model.nearest_rank(model.presence(b.parts).select(F.col("hits").cast("double").alias("hits")), "hits", 0.3).select(r6(F.col("v"), "v"))
 
 
-@query("m4_sample_mixture", f"SELECT species, round(pi, 6) AS pi FROM u{ROUNDS}", _mix_sql(ROUNDS))
+@query("j8_prior_scale", "SELECT species, round(scale, 6) AS scale FROM scale", _PRES)
 def _(b: Base):
-    return model.mixture(retained(b), ROUNDS).select("species", r6(F.col("pi"), "pi"))
+    return prior(b).select("species", r6(F.col("scale"), "scale"))
 
 
-# --- presence --------------------------------------------------------------------------
+# --- mixtures --------------------------------------------------------------------------
 
-_PRES = """
-, pres AS (SELECT species, sum(weight) AS score, sum(CASE WHEN deg = 1 THEN strength ELSE 0 END) AS uniq, count(*) AS hits, sum((deg = 1)::BIGINT)::BIGINT AS unique_hits, count(DISTINCT read) AS reads, count(DISTINCT hash % 2048) AS breadth FROM parts GROUP BY 1),
-expo AS (SELECT species, count(*) / 100.0::DOUBLE AS exposure FROM dfeat GROUP BY 1),
-pe AS (SELECT p.*, coalesce(exposure, 0.0) AS exposure, greatest(coalesce(exposure, 0.0), 1e-6::DOUBLE) AS u, greatest(0.0, unique_hits / greatest(coalesce(exposure, 0.0), 1e-6::DOUBLE) - 0.05::DOUBLE) AS lam FROM pres p LEFT JOIN expo USING (species)),
-pp AS (SELECT *, unique_hits * ln((lam + 0.05::DOUBLE) / 0.05::DOUBLE) - lam * u + ln(0.001::DOUBLE / 0.999::DOUBLE) AS logodds FROM pe)"""
 
+def _em_sql(rounds: int, power: float) -> str:
+    """The assignment fit as a recursion: em holds the weights after each round, post the responsibilities under those before the last."""
+    q = "SELECT *, x / sum(x) OVER (PARTITION BY read) AS q FROM (SELECT *, exp(w - max(w) OVER (PARTITION BY read)) AS x FROM (SELECT {0}.i, ll.read, ll.species, ll.genus, ll.score, ll.evaluated, ln(greatest(pi, 1e-9::DOUBLE)) + loglik AS w FROM ll JOIN {0} USING (species)))"
+    return f"""
+, ll AS (SELECT read, species, genus, score, evaluated, 1.05::DOUBLE * ln(greatest((c + 1e-9::DOUBLE) / (max(c) OVER w + count(*) OVER w * 1e-9::DOUBLE), 1e-9::DOUBLE)) AS loglik
+   FROM (SELECT *, score / evaluated AS c FROM ret) WINDOW w AS (PARTITION BY read)),
+mass AS (SELECT species, sum(p) AS mass FROM (SELECT species, score / sum(score) OVER (PARTITION BY read) AS p FROM ret) GROUP BY 1),
+p0 AS (SELECT species, greatest(start, CASE WHEN start > 0 THEN 0 ELSE 1e-5::DOUBLE END) AS start FROM (SELECT species, mass * sqrt(coalesce(scale, 1)) AS start FROM mass LEFT JOIN scale USING (species))),
+em AS (SELECT 0 AS i, species, start / (SELECT sum(start) FROM p0) AS pi FROM p0 UNION ALL
+  SELECT i + 1, species, (CASE WHEN e < 2e-4::DOUBLE * max(e) OVER () THEN 0 ELSE e END + 1e-6::DOUBLE) / (count(*) OVER () * 1e-6::DOUBLE + sum(e) OVER ()) FROM (
+    SELECT i, species, sum(evaluated * pow(mq, {power}) * q) AS e FROM (SELECT *, max(q) OVER (PARTITION BY read) AS mq FROM ({q.format("em")})) GROUP BY i, species) WHERE i < {rounds}),
+last AS (SELECT * FROM em WHERE i = {rounds - 1}),
+pis AS (SELECT species, pi FROM em WHERE i = {rounds}),
+post AS (SELECT read, species, genus, evaluated, score, q FROM ({q.format("last")}))"""
 
-def presence(b: Base):
-    exposure = b.dfeat.groupBy("species").agg((F.count("*") / 100.0).alias("exposure"))
-    return model.presence(b.parts).join(exposure, "species", "left").na.fill(0.0, ["exposure"])
 
+_EM = _PRES + _RET + _em_sql(ROUNDS, POWER)
 
-@query("a10_presence_statistics", "SELECT species, round(score, 6) AS score, round(uniq, 6) AS uniq, hits, unique_hits, reads, breadth FROM pres", _PRES)
+
+def fitted(b: Base):
+    return model.fit(retained(b), ROUNDS, POWER, prior(b))
+
+
+@query("a13_weighted_evidence", "SELECT species, round(mass, 6) AS mass FROM mass", _EM)
 def _(b: Base):
-    return model.presence(b.parts).select("species", r6(F.col("score"), "score"), r6(F.col("uniq"), "uniq"), "hits", "unique_hits", "reads", "breadth")
+    return model.shares(retained(b)).select("species", r6(F.col("mass"), "mass"))
 
 
-@query("j7_presence_coverage", "SELECT species, hits, round(exposure, 6) AS exposure FROM pe", _PRES)
+@query("m1_assignment_posteriors", "SELECT read, species, round(q, 6) AS q FROM post", _EM)
 def _(b: Base):
-    return presence(b).select("species", "hits", r6(F.col("exposure"), "exposure"))
+    return fitted(b)[0].select("read", "species", r6(F.col("q"), "q"))
 
 
-@query("a11_presence_model", "SELECT species, round(logodds, 6) AS logodds, CASE WHEN logodds >= 4.6 THEN 'accept' WHEN logodds <= -4.6 THEN 'reject' ELSE 'unknown' END AS level FROM pp", _PRES)
+@query("m1_assignment_weights", "SELECT species, round(pi, 6) AS pi FROM pis", _EM)
 def _(b: Base):
-    return model.presence_posterior(presence(b), "exposure", "unique_hits", 0.05).select("species", r6(F.col("logodds"), "logodds"), "level")
+    return fitted(b)[1].select("species", r6(F.col("pi"), "pi"))
 
 
-@query("t7_nearest_rank", "SELECT round(list_extract(list_sort(list(score)), (floor(0.3::DOUBLE * (count(*) - 1)) + 1)::BIGINT), 6) AS v FROM pres", _PRES)
+CALIBRATION = 200_000  # reads
+
+
+@query("m2_calibration", "SELECT species, round(pi, 6) AS pi FROM pis", _RET + ", scale AS (SELECT '' AS species, 1.0::DOUBLE AS scale WHERE false)" + _em_sql(ROUNDS, 2.0).replace("1e-5::DOUBLE END", "1e-9::DOUBLE END"))
 def _(b: Base):
-    return model.nearest_rank(model.presence(b.parts), "score", 0.3).select(r6(F.col("v"), "v"))
+    """The fit on a sample of at most 200,000 reads, as if the community were wholly dispersed, without a prior; here these are all reads."""
+    some = retained(b).join(b.reads.select("read").orderBy("read").limit(CALIBRATION), "read", "left_semi")
+    return model.fit(some, ROUNDS, 2.0)[1].select("species", r6(F.col("pi"), "pi"))
 
 
-@query(
-    "j8_prior_scale",
-    "SELECT species, round(0.5 * coalesce(exposure / (SELECT max(exposure) FROM expo), 1) + 0.5 * coalesce(1 / (1 + exp(-logodds)), 1), 6) AS scale FROM (SELECT DISTINCT species FROM refs) LEFT JOIN expo USING (species) LEFT JOIN (SELECT species, logodds FROM pp) USING (species)",
-    _PRES,
-)
+_MIX = _RET + f"""
+, mc AS (SELECT (SELECT count(DISTINCT read) FROM ret) AS n, (SELECT count(DISTINCT species) FROM ret) AS t),
+mu AS (SELECT 0 AS i, species, 1 / (SELECT t FROM mc)::DOUBLE AS pi FROM ret GROUP BY species UNION ALL
+  SELECT i + 1, species, (sum(q) + 0.5) / (any_value(n) + 0.5 * any_value(t)) FROM (SELECT *, x / sum(x) OVER (PARTITION BY read) AS q FROM (SELECT mu.i, ret.read, ret.species, pi * score AS x, mc.n, mc.t FROM ret JOIN mu USING (species) CROSS JOIN mc)) WHERE i < {MIX_ROUNDS} GROUP BY i, species),
+ms AS (SELECT species, pi FROM mu WHERE i = {MIX_ROUNDS}),
+mq AS (SELECT read, species, genus, score, pi * score / sum(pi * score) OVER (PARTITION BY read) AS q FROM ret JOIN ms USING (species))"""
+
+
+def mixed(b: Base):
+    return model.mixture(retained(b), MIX_ROUNDS)
+
+
+@query("m4_sample_mixture", "SELECT species, round(pi, 6) AS pi FROM ms", _MIX)
 def _(b: Base):
-    exposure = b.dfeat.groupBy("species").agg((F.count("*") / 100.0).alias("exposure"))
-    most = exposure.agg(F.max("exposure").alias("most"))
-    post = model.presence_posterior(presence(b), "exposure", "unique_hits", 0.05).select("species", "logodds")
-    rows = b.refs.select("species").distinct().join(exposure, "species", "left").join(post, "species", "left").crossJoin(F.broadcast(most))
-    return rows.select("species", r6(0.5 * F.coalesce(F.col("exposure") / F.col("most"), F.lit(1)) + 0.5 * F.coalesce(1 / (1 + F.exp(-F.col("logodds"))), F.lit(1)), "scale"))
+    return mixed(b)[1].select("species", r6(F.col("pi"), "pi"))
+
+
+@query("m4_mixture_posteriors", "SELECT read, species, round(q, 6) AS q FROM mq", _MIX)
+def _(b: Base):
+    return mixed(b)[0].select("read", "species", r6(F.col("q"), "q"))
 
 
 # --- community -------------------------------------------------------------------------
@@ -160,17 +199,46 @@ def _(b: Base):
 
 # --- readout ---------------------------------------------------------------------------
 
-_PRUNE = _POST + f", pr0 AS (SELECT post.*, pi >= 0.001 AS ok FROM post JOIN p{ROUNDS} USING (species)), pr AS (SELECT read, species, genus, evaluated, score, q / sum(q) OVER (PARTITION BY read) AS q FROM (SELECT *, max(ok) OVER (PARTITION BY read) AS keeps FROM pr0) WHERE ok OR NOT keeps)"
-_DEC = _PRUNE + ", dec AS (SELECT read, CASE WHEN q >= 0.5 THEN species ELSE 'unclassified' END AS species, CASE WHEN q >= 0.5 THEN round(q * evaluated) ELSE 1 END::BIGINT AS count, CASE WHEN q >= 0.5 THEN NULL ELSE 'posterior_weight' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY read ORDER BY round(q, 9) DESC, species) AS rn FROM pr) WHERE rn = 1)"
+
+def _need(least: str) -> str:
+    return f"CASE level WHEN 'accept' THEN least({least}, 1e-6::DOUBLE) WHEN 'reject' THEN least(1.0, {least} * 2) ELSE {least} END"
+
+
+_PRUNE = _EM + f"""
+, pr0 AS (SELECT post.*, pi, coalesce(level, 'unknown') AS level FROM post JOIN pis USING (species) LEFT JOIN level USING (species)),
+pz AS (SELECT *, max(ok) OVER (PARTITION BY read) AS keeps FROM (SELECT *, pi >= {_need("1e-4::DOUBLE")} AS ok FROM pr0)),
+pr AS (SELECT read, species, genus, evaluated, score, pi, level, CASE WHEN keeps THEN q / sum(q) OVER (PARTITION BY read) ELSE q END AS q FROM pz WHERE ok OR NOT keeps)"""
+_DEC = _PRUNE + f"""
+, d0 AS (SELECT *, row_number() OVER (PARTITION BY read ORDER BY round(q, 9) DESC, species) AS rn FROM pr),
+d1 AS (SELECT *, max(CASE WHEN rn = 1 THEN pi >= {_need(f"{LEAST}::DOUBLE")} END) OVER w AS fine, CASE WHEN q > 0 AND (rn = 1 OR level <> 'reject') THEN q ELSE 0 END AS sh, CASE WHEN evaluated > 0 THEN evaluated ELSE 1 END AS tot FROM d0 WINDOW w AS (PARTITION BY read)),
+d2 AS (SELECT *, round(round(sh / sum(sh) OVER (PARTITION BY read) * tot, 9)) AS cnt FROM d1),
+d3 AS (SELECT *, max(cnt) OVER (PARTITION BY read) AS most FROM d2),
+d4 AS (SELECT *, CASE WHEN most > 0 THEN cnt WHEN rn = 1 THEN greatest(1.0, round(tot)) ELSE 0 END AS c FROM d3),
+dec AS (SELECT read, species, c::DOUBLE AS count, NULL::VARCHAR AS reason FROM d4 WHERE fine AND c > 0 UNION ALL SELECT read, 'unclassified', 1.0, 'posterior_weight' FROM d4 WHERE NOT fine AND rn = 1)"""
+_READ = _DEC + _MIX.removeprefix(_RET) + """
+, x0 AS (SELECT *, round(sum(q) OVER (PARTITION BY read, genus), 9) AS gm, count(*) OVER (PARTITION BY read) AS k, row_number() OVER (PARTITION BY read ORDER BY score DESC, species) AS bs, row_number() OVER (PARTITION BY read ORDER BY round(q, 9) DESC, species) AS any_, max(score) OVER (PARTITION BY read) AS best FROM mq),
+x1 AS (SELECT *, max(CASE WHEN bs = 2 THEN score END) OVER (PARTITION BY read) AS second, row_number() OVER (PARTITION BY read ORDER BY gm DESC, genus, round(q, 9) DESC, species) AS own FROM x0),
+x2 AS (SELECT o.read, o.species AS top, o.q AS top_mass, o.best, o.second, o.k, w.species AS new, w.q AS new_mass FROM x1 o JOIN x1 w ON w.read = o.read AND w.own = 1 WHERE o.any_ = 1),
+y0 AS (SELECT *, row_number() OVER (PARTITION BY read ORDER BY count DESC, species) AS rn FROM dec),
+y1 AS (SELECT y0.read, y0.species AS head, y0.reason AS head_reason, x2.*, mq.q AS old_mass FROM y0 JOIN x2 USING (read) LEFT JOIN mq ON mq.read = y0.read AND mq.species = y0.species WHERE rn = 1),
+y2 AS (SELECT *, ln(greatest(1e-12::DOUBLE, least(1 - 1e-12::DOUBLE, top_mass)) / (1 - greatest(1e-12::DOUBLE, least(1 - 1e-12::DOUBLE, top_mass)))) AS gain, 0.5 * ln(1 + best) AS cost,
+  ln(greatest(new_mass, 1e-12::DOUBLE) / greatest(coalesce(old_mass, 0), 1e-12::DOUBLE)) AS change, greatest(ln(greatest(1, CASE WHEN second > 0 THEN best / second ELSE 1 + best END)), 0.5 * ln(greatest(1, k))) AS price FROM y1),
+y3 AS (SELECT *, CASE WHEN head = 'unclassified' THEN (CASE WHEN head_reason = 'posterior_weight' AND gain > cost THEN 'released' ELSE 'kept' END) WHEN head <> new AND new_mass > 0 AND change > price THEN 'switched' ELSE 'kept' END AS mode FROM y2),
+ro AS (SELECT y0.read, CASE mode WHEN 'released' THEN top WHEN 'switched' THEN new ELSE y0.species END AS species, CASE mode WHEN 'released' THEN top_mass WHEN 'switched' THEN new_mass ELSE y0.count END AS count, CASE WHEN mode = 'kept' THEN reason END AS reason, mode, gain, cost, change, price
+  FROM y0 LEFT JOIN y3 USING (read) WHERE mode = 'kept' OR rn = 1)"""
 
 
 def pruned(b: Base):
-    post, pi = posteriors(b)
-    return model.pruned(post, pi, 0.001)
+    post, pi = fitted(b)
+    return model.pruned(post, F.broadcast(pi), F.broadcast(posterior(b).select("species", "level")), LEAST).join(F.broadcast(b.taxa), "species")  # a row a taxon
 
 
 def decisions(b: Base):
-    return model.decided(pruned(b))
+    return model.decided(pruned(b), LEAST)
+
+
+def readout(b: Base):
+    return model.readout(decisions(b), mixed(b)[0], F.broadcast(b.taxa))  # a row a taxon
 
 
 @query("f10_posterior_prune", "SELECT read, species, round(q, 6) AS q FROM pr", _PRUNE)
@@ -188,62 +256,87 @@ def _(b: Base):
     return pruned(b).groupBy("read", "genus").agg(r6(F.sum("q"), "mass"), F.min_by("species", F.struct(-F.round("q", 9), "species")).alias("best"))
 
 
-@query(
-    "x13_release_gain",
-    "SELECT read, round(ln(top / greatest(1 - top, 1e-9::DOUBLE)), 6) AS gain, round(0.5 * ln(1 + best), 6) AS cost FROM (SELECT read, max(round(q, 9)) AS top, max(score) AS best FROM pr GROUP BY 1) WHERE top > 0",
-    _PRUNE,
-)
+@query("x13_release_gain", "SELECT DISTINCT read, mode, round(gain, 6) AS gain, round(cost, 6) AS cost, round(change, 6) AS change, round(price, 6) AS price FROM ro", _READ)
+def _(b: Base):
+    return readout(b).select("read", "mode", *(r6(F.col(c), c) for c in ("gain", "cost", "change", "price"))).distinct()
+
+
+@query("x13_selective_readout", "SELECT read, species, round(count, 6) AS count, reason, mode FROM ro", _READ)
 def _(b: Base):
-    t = pruned(b).groupBy("read").agg(F.max(F.round("q", 9)).alias("top"), F.max("score").alias("best")).where("top > 0")
-    return t.select("read", r6(F.log(F.col("top") / F.greatest(1 - F.col("top"), F.lit(1e-9))), "gain"), r6(0.5 * F.log(1 + F.col("best")), "cost"))
+    return readout(b).select("read", "species", r6(F.col("count"), "count"), "reason", "mode")
+
+
+def _top(post, by: str = "q"):
+    """(read, top): up to sixteen taxa and their shares, the largest first."""
+    x = F.slice(F.sort_array(F.collect_list(F.struct((-F.round(by, 9)).alias("n"), "species", F.col(by).alias("v")))), 1, 16)
+    return post.groupBy("read").agg(F.array_join(F.transform(x, lambda y: F.concat(y["species"], F.lit(":"), F.format_string("%.6f", F.round(y["v"], 6)))), ",").alias("top"))
+
+
+def _top_sql(table: str) -> str:
+    return f"SELECT read, string_agg(species || ':' || printf('%.6f', round(q, 6)), ',' ORDER BY rn) AS top FROM (SELECT *, row_number() OVER (PARTITION BY read ORDER BY round(q, 9) DESC, species) AS rn FROM {table}) WHERE rn <= 16 GROUP BY 1"
 
 
-@query("w19_top_posteriors", "SELECT read, string_agg(species, ',' ORDER BY rn) AS top FROM (SELECT *, row_number() OVER (PARTITION BY read ORDER BY round(q, 9) DESC, species) AS rn FROM pr) WHERE rn <= 16 GROUP BY 1", _PRUNE)
+@query("w19_top_posteriors", _top_sql("pr"), _PRUNE)
 def _(b: Base):
-    x = F.sort_array(F.collect_list(F.struct((-F.round("q", 9)).alias("q"), "species")))
-    return pruned(b).groupBy("read").agg(F.slice(x, 1, 16).alias("x")).select("read", F.array_join(F.transform("x", lambda y: y["species"]), ",").alias("top"))
+    return _top(pruned(b))
+
+
+def read_lines(rows, tops, mixed_tops, reads):
+    """(line) of the table of reads: the read, its taxa with counts or the reason that there are none, and the posteriors that decided."""
+    number = F.when(F.col("count") == F.floor("count"), F.col("count").cast("long").cast("string")).otherwise(F.format_string("%.6f", F.round("count", 6)))
+    cell = F.struct((-F.col("count")).alias("n"), "species", F.concat_ws(":", "species", number).alias("text"))
+    taxa = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("species") != "unclassified", cell))), lambda x: x["text"]), "\t")
+    one = rows.groupBy("read").agg(taxa.alias("taxa"), F.max("reason").alias("reason"), F.max("mode").alias("mode"))
+    one = reads.select("read").join(one, "read", "left").join(tops, "read", "left").join(mixed_tops.withColumnRenamed("top", "other"), "read", "left")
+    none = F.concat(F.lit("unclassified\tREJECT="), F.coalesce("reason", F.lit("no_candidate")))
+    shown = F.when(F.col("mode").isin("released", "switched"), F.col("other")).otherwise(F.col("top"))
+    return one.select(F.concat_ws("\t", F.col("read").cast("string"), F.when(F.coalesce(F.col("taxa"), F.lit("")) == "", none).otherwise(F.col("taxa")), F.concat(F.lit("POST_TOPK="), shown)).alias("line"))
 
 
 @query(
     "k1_read_table",
-    "SELECT read::VARCHAR || chr(9) || CASE WHEN species = 'unclassified' THEN 'unclassified' || chr(9) || 'REJECT=' || reason ELSE species || ':' || count END AS line FROM dec",
-    _DEC,
+    f"""SELECT concat_ws(chr(9), r.read::VARCHAR, coalesce(taxa, 'unclassified' || chr(9) || 'REJECT=' || coalesce(reason, 'no_candidate')), 'POST_TOPK=' || CASE WHEN mode IN ('released', 'switched') THEN o.top ELSE t.top END) AS line
+    FROM (SELECT DISTINCT read FROM reads) r LEFT JOIN (SELECT read, string_agg(CASE WHEN species <> 'unclassified' THEN species || ':' || CASE WHEN count = floor(count) THEN count::BIGINT::VARCHAR ELSE printf('%.6f', round(count, 6)) END END, chr(9) ORDER BY count DESC, species) AS taxa, max(reason) AS reason, max(mode) AS mode FROM ro GROUP BY 1) USING (read)
+    LEFT JOIN ({_top_sql("pr")}) t USING (read) LEFT JOIN ({_top_sql("mq")}) o USING (read)""",
+    _READ,
 )
 def _(b: Base):
-    text = F.when(F.col("species") == "unclassified", F.concat_ws("\t", F.lit("unclassified"), F.concat(F.lit("REJECT="), F.col("reason")))).otherwise(F.concat_ws(":", "species", "count"))
-    return decisions(b).select(F.concat_ws("\t", F.col("read").cast("string"), text).alias("line"))
+    return read_lines(readout(b), _top(pruned(b)), _top(mixed(b)[0]), b.reads)
 
 
-_PROF = _DEC + ", prof AS (SELECT *, mass / sum(mass) OVER () AS rel FROM (SELECT species, sum(count)::BIGINT AS mass, count(DISTINCT read) AS read_support FROM dec WHERE species <> 'unclassified' GROUP BY 1))"
+_PROF = _READ + """
+, oc AS (SELECT species, sum(count) AS mass, count(DISTINCT read) AS read_support FROM ro WHERE species <> 'unclassified' GROUP BY 1),
+ob AS (SELECT oc.*, genus, total AS callable, sources, CASE WHEN total > 0 THEN mass / total ELSE 0 END AS observation, (SELECT count(DISTINCT read) FROM post) AS cands FROM oc LEFT JOIN counters USING (species) LEFT JOIN (SELECT species, genus, count(*) AS sources FROM refs GROUP BY 1, 2) USING (species)),
+o1 AS (SELECT *, CASE WHEN sum(observation) OVER () > 0 THEN observation / sum(observation) OVER () ELSE 0 END AS raw FROM ob),
+o2 AS (SELECT *, greatest(0.01::DOUBLE, least(0.05::DOUBLE, 0.5 * sum(raw * raw) OVER ())) AS fl FROM o1),
+o3 AS (SELECT *, CASE WHEN NOT coalesce(callable > 0, false) THEN 'nuisance_no_callable_exposure' WHEN read_support < least(cands, greatest(3, ceil(0.01::DOUBLE * sqrt(cands)))) THEN 'nuisance_low_runtime_support' WHEN 100 * raw < fl THEN 'nuisance_below_dynamic_detection_floor' WHEN NOT raw > 0 THEN 'nuisance_no_abundance_response' WHEN sources <= 1 THEN 'single_source_limited_reportable' ELSE 'classifier_response_reportable' END AS reportability FROM o2),
+prof AS (SELECT *, NOT starts_with(reportability, 'nuisance') AS kept, coalesce((CASE WHEN starts_with(reportability, 'nuisance') THEN 0 ELSE raw END) / nullif(sum(CASE WHEN starts_with(reportability, 'nuisance') THEN 0 ELSE raw END) OVER (), 0), 0) AS rel FROM o3)"""
 
 
 def abundance(b: Base):
-    return profile.profile_rows(decisions(b), b.refs.select("species", "genus").distinct())
+    """The profile: a row a species decided on, reportable or not."""
+    rows = profile.observed(readout(b), b.archive.coverage, b.sources)
+    cands = retained(b).agg(F.countDistinct("read").alias("cands"))
+    return profile.reportable(rows.crossJoin(F.broadcast(cands)), "observation", "read_support", "sources", "callable", F.col("cands"))  # one row
 
 
 @query(
     "k2_profile",
-    "SELECT 'species' AS rank, species AS taxid, genus AS genus_taxid, mass AS assigned_mass, read_support, round(rel, 6) AS relative_abundance, round(100 * rel, 4) AS percentage, 'root;' || genus || ';' || species AS lineage_taxids FROM prof JOIN (SELECT DISTINCT species, genus FROM refs) USING (species)",
+    "SELECT (row_number() OVER (ORDER BY round(rel, 9) DESC, kept DESC, round(raw, 9) DESC, species))::INTEGER AS place, 'species' AS rank, species AS taxid, species AS name, round(rel, 6) AS relative_abundance, round(100 * rel, 4) AS percentage, read_support, round(mass, 6) AS assigned_mass, callable AS effective_yield, sources AS measurement_unit_support, genus AS parent_taxid, genus AS parent_name, genus AS genus_taxid, genus AS genus_name, 'root;' || genus || ';' || species AS lineage_taxids, 'root;' || genus || ';' || species AS lineage_names, sources <= 1 AS single_source_limited, reportability FROM prof",
     _PROF,
 )
 def _(b: Base):
-    return abundance(b).select(
-        F.lit("species").alias("rank"), F.col("species").alias("taxid"), F.col("genus").alias("genus_taxid"), F.col("mass").alias("assigned_mass"), "read_support",
-        r6(F.col("relative_abundance"), "relative_abundance"), F.round("percentage", 4).alias("percentage"), F.concat_ws(";", F.lit("root"), "genus", "species").alias("lineage_taxids"),
-    ).orderBy(F.desc("relative_abundance"), "taxid")
+    return profile.table(abundance(b))
 
 
-@query("k3_cami_profile", "SELECT species AS taxid, 'species' AS rank, genus || '|' || species AS taxpath, round(100 * rel, 4) AS percentage FROM prof JOIN (SELECT DISTINCT species, genus FROM refs) USING (species) UNION ALL SELECT genus, 'genus', genus, round(sum(100 * rel), 4) FROM prof JOIN (SELECT DISTINCT species, genus FROM refs) USING (species) GROUP BY 1", _PROF)
+@query("k3_cami_profile", "SELECT species AS taxid, 'species' AS rank, genus || '|' || species AS taxpath, genus || '|' || species AS taxpathsn, round(100 * rel, 4) AS percentage FROM prof WHERE kept UNION ALL SELECT genus, 'genus', genus, genus, round(sum(100 * rel), 4) FROM prof WHERE kept GROUP BY 1", _PROF)
 def _(b: Base):
-    rows = abundance(b)
-    own = rows.select(F.col("species").alias("taxid"), F.lit("species").alias("rank"), F.concat_ws("|", "genus", "species").alias("taxpath"), F.round("percentage", 4).alias("percentage"))
-    up = rows.groupBy("genus").agg(F.round(F.sum("percentage"), 4).alias("percentage"))
-    return own.unionAll(up.select("genus", F.lit("genus"), "genus", "percentage"))
+    return profile.cami(abundance(b))
 
 
-@query("k4_read_trace", "SELECT d.read, d.species, d.count AS weight, round(d.count / p.mass * rel, 9) AS contribution, round(100 * d.count / p.mass * rel, 6) AS percentage_contribution FROM dec d JOIN prof p USING (species)", _PROF)
+@query("k4_read_trace", "SELECT d.read, d.species, d.mode, round(d.count, 6) AS weight, round(d.count / p.mass * rel, 9) AS contribution, round(100 * d.count / p.mass * rel, 6) AS percentage_contribution FROM ro d JOIN prof p USING (species) WHERE kept", _PROF)
 def _(b: Base):
-    return profile.read_trace(decisions(b), abundance(b)).select("read", "species", "weight", F.round("contribution", 9).alias("contribution"), r6(F.col("percentage_contribution"), "percentage_contribution"))
+    return profile.read_trace(readout(b), abundance(b)).select("read", "species", "mode", r6(F.col("weight"), "weight"), F.round("contribution", 9).alias("contribution"), r6(F.col("percentage_contribution"), "percentage_contribution"))
 
 
 @query("a20_local_mix", "SELECT species, round(sum(sqrt(q) / t), 6) AS mass FROM (SELECT *, sum(sqrt(q)) OVER (PARTITION BY read) AS t FROM (SELECT *, first_value(genus) OVER (PARTITION BY read ORDER BY round(q, 9) DESC, genus DESC) AS bg FROM pr) WHERE genus = bg) GROUP BY 1", _PRUNE)
@@ -251,24 +344,22 @@ def _(b: Base):
     return profile.shared_mass(pruned(b)).select("species", r6(F.col("mass"), "mass"))
 
 
-@query("j12_profile_response", "SELECT species, mass, round(coalesce(m, 0), 6) AS response FROM prof LEFT JOIN (SELECT species, sum(q) AS m FROM pr GROUP BY 1) USING (species)", _PROF)
+@query("j12_profile_response", "SELECT species, round(mass, 6) AS mass, round(coalesce(m, 0), 6) AS response FROM prof LEFT JOIN (SELECT species, sum(q) AS m FROM pr GROUP BY 1) USING (species)", _PROF)
 def _(b: Base):
     response = pruned(b).groupBy("species").agg(F.sum("q").alias("m"))
-    return abundance(b).join(response, "species", "left").select("species", "mass", r6(F.coalesce("m", F.lit(0.0)), "response"))
+    return abundance(b).join(response, "species", "left").select("species", r6(F.col("mass"), "mass"), r6(F.coalesce("m", F.lit(0.0)), "response"))
 
 
-_F13 = """, fr0 AS (SELECT p_type AS taxon, sum(l_quantity) AS value, count(*) AS support, count(DISTINCT l_suppkey % 3) AS sources FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
-fr1 AS (SELECT *, value / sum(value) OVER () AS p, sum(support) OVER () AS reads FROM fr0), fr2 AS (SELECT *, greatest(0.01::DOUBLE, least(0.05::DOUBLE, 0.5 / (1 / sum(p * p) OVER ()))) AS fl FROM fr1)"""
+_F13 = """, fr0 AS (SELECT l_suppkey AS taxon, sum(l_quantity) AS value, count(*) AS support, count(DISTINCT l_linenumber) AS sources, sum(l_tax) AS callable FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+fr1 AS (SELECT *, value / sum(value) OVER () AS p, sum(support) OVER () AS reads FROM fr0), fr2 AS (SELECT *, greatest(0.01::DOUBLE, least(0.05::DOUBLE, 0.5 * sum(p * p) OVER ())) AS fl FROM fr1),
+fr3 AS (SELECT *, CASE WHEN NOT callable > 0 THEN 'nuisance_no_callable_exposure' WHEN support < least(reads, greatest(3, ceil(0.01::DOUBLE * sqrt(reads)))) THEN 'nuisance_low_runtime_support' WHEN 100 * p < fl THEN 'nuisance_below_dynamic_detection_floor' WHEN sources <= 1 THEN 'single_source_limited_reportable' ELSE 'classifier_response_reportable' END AS reportability FROM fr2)"""
 
 
-@query(
-    "f13_reportability",
-    "SELECT taxon, round(p, 6) AS relative_abundance, CASE WHEN p <= 0 THEN 'no_exposure' WHEN support < least(reads, greatest(3, ceil(0.01::DOUBLE * sqrt(reads)))) THEN 'low_support' WHEN p < fl THEN 'below_floor' WHEN sources < 2 THEN 'single_source' ELSE 'reportable' END AS reportability FROM fr2",
-    _F13,
-)
+@query("f13_reportability", "SELECT taxon, round(p, 6) AS raw_abundance, reportability, round(coalesce((CASE WHEN starts_with(reportability, 'nuisance') THEN 0 ELSE p END) / sum(CASE WHEN starts_with(reportability, 'nuisance') THEN 0 ELSE p END) OVER (), 0), 6) AS relative_abundance FROM fr3", _F13)
 def _(b: Base):
-    rows = b.lineitem.join(b.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("taxon")).agg(F.sum("l_quantity").alias("value"), F.count("*").alias("support"), F.countDistinct(F.col("l_suppkey") % 3).alias("sources"))
-    return profile.reportable(rows, "value", "support", "sources").select("taxon", r6(F.col("p"), "relative_abundance"), "reportability")
+    rows = b.lineitem.where("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("taxon")).agg(F.sum("l_quantity").alias("value"), F.count("*").alias("support"), F.countDistinct("l_linenumber").alias("sources"), F.sum("l_tax").alias("callable"))
+    out = profile.reportable(rows.withColumn("reads", F.sum("support").over(profile.whole())), "value", "support", "sources", "callable", F.col("reads"))
+    return out.select("taxon", r6(F.col("raw_abundance"), "raw_abundance"), "reportability", r6(F.col("relative_abundance"), "relative_abundance"))
 
 
 @query(
@@ -288,24 +379,18 @@ def _(b: Base):
 
 # --- local resolution ------------------------------------------------------------------
 
-_ANCH = """
-, qa AS (SELECT read, pos, ('0x' || substr(md5(kmer), 1, 15))::BIGINT AS key, (kmer > translate(reverse(kmer), 'ACGT', 'TGCA'))::INTEGER AS strand FROM rk),
-ta AS (SELECT tid, pos, hash AS key, strand FROM (SELECT tid, pos, ('0x' || substr(md5(kmer), 1, 15))::BIGINT AS hash, (kmer > translate(reverse(kmer), 'ACGT', 'TGCA'))::INTEGER AS strand FROM dk WHERE starts_with(kmer, 'A'))),
+_ANCH = f"""
+, {K.minimizers("qm", "passages", "read")}, {K.minimizers("tm", "refs", "tid")},
+qa AS (SELECT read, pos, code AS key, strand FROM qm), ta AS (SELECT tid, pos, code AS key, strand FROM tm),
 tr AS (SELECT * FROM ta WHERE key IN (SELECT key FROM ta GROUP BY 1 HAVING count(*) <= 500)),
 ah0 AS (SELECT read, tid, q.pos AS qpos, t.pos AS tpos, xor(q.strand, t.strand) AS orient FROM qa q JOIN tr t USING (key)),
 ch AS (SELECT read, tid, orient, diag, count(*) AS n, 50 * count(*) + floor(least(max(qpos) - min(qpos), max(tpos) - min(tpos)) / 20)::BIGINT AS score
   FROM (SELECT *, trunc((CASE WHEN orient = 0 THEN tpos - qpos ELSE tpos + qpos END) / 256)::INTEGER AS diag FROM ah0) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 4)"""
 
 
-def _anchors(kmers, key: str):
-    strand = (F.col("kmer") > S.revcomp(F.col("kmer"))).cast("int")
-    return kmers.select(key, "pos", S.portable_hash(F.col("kmer")).alias("key"), strand.alias("strand"))
-
-
 def anchors(b: Base):
-    from strandlake.operators import features
-
-    return _anchors(features.kmers(b.reads, 12), "read"), _anchors(features.kmers(b.refs.select("tid", "seq"), 12).where("startswith(kmer, 'A')"), "tid")
+    """The minimizers of the passages, and the archive's of the references."""
+    return features.anchors(b.passages), b.archive.anchors
 
 
 def chained(b: Base):
@@ -341,12 +426,12 @@ def _(b: Base):
     return score.ranked(mass.withColumnRenamed("mass", "score")).select("read", "species", F.col("score").alias("mass"), "rn")
 
 
-@query("w12_even_budget", "SELECT read, pos, hash FROM (SELECT *, count(*) OVER (PARTITION BY read) AS n, row_number() OVER (PARTITION BY read ORDER BY pos) - 1 AS place FROM rfeat) WHERE n <= 8 OR list_contains(list_transform(range(8), lambda i: i * n // 8), place)")
+@query("w12_even_budget", "SELECT read, pos, hash FROM (SELECT *, count(*) OVER (PARTITION BY read) AS n, row_number() OVER (PARTITION BY read ORDER BY pos) - 1 AS place FROM rfeat) WHERE n <= 256 OR list_contains(list_transform(range(256), lambda i: i * n // 256), place)")
 def _(b: Base):
-    return local.even_tokens(b.rfeat, "read", "pos", 8).select("read", F.col("pos").cast("long").alias("pos"), "hash")
+    return local.even_tokens(b.rfeat, "read", "pos").select("read", F.col("pos").cast("long").alias("pos"), "hash")
 
 
-_TGT = ", tg AS (SELECT doc_id AS target, lang AS genus, lang || '/' || source AS species, source || '/' || (doc_id % 12) AS source, n_chars // 10 AS anchors, n_chars AS length FROM documents), kt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY species ORDER BY anchors DESC, length DESC, target) AS place FROM (SELECT *, dense_rank() OVER (PARTITION BY species ORDER BY first) AS s FROM (SELECT *, min(target) OVER (PARTITION BY species, source) AS first FROM tg)) WHERE s <= 8) WHERE place <= 32)"
+_TGT = ", tg AS (SELECT doc_id AS target, lang AS genus, lang || '/' || source AS species, source || '/' || (doc_id % 12) AS source, n_chars // 10 AS anchors, n_chars AS length FROM documents), tq0 AS (SELECT *, row_number() OVER (PARTITION BY species ORDER BY anchors DESC, length DESC, target) AS rn FROM tg), tq1 AS (SELECT *, min(rn) OVER (PARTITION BY species, source) AS first, row_number() OVER (PARTITION BY species, source ORDER BY rn) AS own FROM tq0), tq2 AS (SELECT *, dense_rank() OVER (PARTITION BY species ORDER BY first) AS s FROM tq1), kt AS (SELECT *, row_number() OVER (PARTITION BY species ORDER BY rn) AS place FROM tq2 WHERE s <= 8 AND own <= 32)"
 
 
 def targets(b: Base):
@@ -364,11 +449,11 @@ def _(b: Base):
     return local.round_robin(targets(b)).select("target", "genus", "rank")
 
 
-_PANEL = _TGT + ", pg AS (SELECT * FROM (SELECT genus, row_number() OVER (ORDER BY sum(length) DESC, genus) AS g FROM kt GROUP BY 1) WHERE g <= 3), ps AS (SELECT * FROM (SELECT genus, species, row_number() OVER (PARTITION BY genus ORDER BY sum(length) DESC, species) AS s FROM kt GROUP BY 1, 2) WHERE s <= 8), panel AS (SELECT * FROM (SELECT kt.*, row_number() OVER (PARTITION BY genus ORDER BY ps.s, target) AS t FROM kt JOIN pg USING (genus) JOIN ps USING (genus, species)) WHERE t <= 32)"
+_PANEL = _TGT + ", pg AS (SELECT * FROM (SELECT genus, row_number() OVER (ORDER BY sum(length) DESC, genus) AS g FROM kt GROUP BY 1) WHERE g <= 32), ps AS (SELECT * FROM (SELECT genus, species, row_number() OVER (PARTITION BY genus ORDER BY sum(length) DESC, species) AS s FROM kt GROUP BY 1, 2) WHERE s <= 8), panel AS (SELECT * FROM (SELECT kt.*, row_number() OVER (PARTITION BY genus ORDER BY ps.s, target) AS t FROM kt JOIN pg USING (genus) JOIN ps USING (genus, species)) WHERE t <= 32)"
 
 
 def panel(b: Base):
-    return local.panel(targets(b).withColumn("mass", F.col("length")), 3)
+    return local.panel(targets(b).withColumn("mass", F.col("length")))
 
 
 @query("w15_resolution_panel", "SELECT target, genus, species, t::INTEGER AS t FROM panel", _PANEL)
@@ -382,9 +467,9 @@ def _(b: Base):
     return local.within_budget(rows, "genus", "t", "length", 40_000, "genus string, t int, target long, length long")
 
 
-@query("j13_panel_targets", "SELECT d.read, p.target, p.species FROM dec d JOIN panel p USING (species)", _DEC + _PANEL)
+@query("j13_panel_targets", "SELECT d.read, p.target, p.species FROM ro d JOIN panel p USING (species)", _READ + _PANEL)
 def _(b: Base):
-    return decisions(b).select("read", "species").join(panel(b).select("target", "species"), "species")
+    return readout(b).select("read", "species").join(panel(b).select("target", "species"), "species")
 
 
 _A24 = _PRUNE + ", pk AS (SELECT count(*) AS reads, avg(n) AS items, avg((n = 1)::INTEGER) AS singleton, avg((top < 0.9)::INTEGER) AS ambiguous, avg(top) AS top1 FROM (SELECT read, count(*) AS n, max(q) AS top FROM pr GROUP BY 1))"
@@ -400,16 +485,16 @@ def _(b: Base):
     return local.eligible(local.post_topk(pruned(b))).select("eligible")
 
 
-@query("x15_local_override", "SELECT d.read, CASE WHEN c.read IS NULL THEN d.species ELSE c.taxon END AS species FROM dec d LEFT JOIN (SELECT read, arg_max(species, {'s': mass, 't': sid}) AS taxon FROM (SELECT *, dense_rank() OVER (ORDER BY species) AS sid FROM (SELECT read, species, sum(score)::BIGINT AS mass FROM ch JOIN refs USING (tid) GROUP BY 1, 2)) GROUP BY 1) c USING (read)", _DEC + _ANCH)
+@query("x15_local_override", "SELECT DISTINCT d.read, CASE WHEN c.read IS NULL THEN d.species ELSE c.taxon END AS species FROM ro d LEFT JOIN (SELECT read, arg_max(species, {'s': mass, 't': sid}) AS taxon FROM (SELECT *, dense_rank() OVER (ORDER BY species) AS sid FROM (SELECT read, species, sum(score)::BIGINT AS mass FROM ch JOIN refs USING (tid) GROUP BY 1, 2)) GROUP BY 1) c USING (read)", _READ + _ANCH)
 def _(b: Base):
     calls = chained(b).join(b.refs.select("tid", "species"), "tid").groupBy("read", F.col("species").alias("taxon")).agg(F.sum("score").alias("score"))
-    return local.overridden(decisions(b), calls).select("read", "species")
+    return local.overridden(readout(b), calls).select("read", "species").distinct()
 
 
-@query("j11_read_local_call", "SELECT d.read, coalesce(c.n, 0) AS calls FROM (SELECT DISTINCT read FROM reads) d LEFT JOIN (SELECT read, count(DISTINCT tid) AS n FROM ch GROUP BY 1) c USING (read)", _ANCH)
+@query("j11_read_local_call", "SELECT d.read, coalesce(c.n, 0) AS calls FROM (SELECT DISTINCT read FROM passages) d LEFT JOIN (SELECT read, count(DISTINCT tid) AS n FROM ch GROUP BY 1) c USING (read)", _ANCH)
 def _(b: Base):
     calls = chained(b).groupBy("read").agg(F.countDistinct("tid").alias("n"))
-    return b.reads.select("read").distinct().join(calls, "read", "left").select("read", F.coalesce("n", F.lit(0)).alias("calls"))
+    return b.passages.select("read").distinct().join(calls, "read", "left").select("read", F.coalesce("n", F.lit(0)).alias("calls"))
 
 
 @query("x26_local_json", "SELECT read, '{\"reads\":' || count(*) || ',\"score\":' || sum(score)::BIGINT || '}' AS json FROM ch GROUP BY 1", _ANCH)
