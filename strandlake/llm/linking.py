@@ -2,8 +2,8 @@
 
 Items that share a key are candidates. Lists of at most `SMALL` items give all their
 pairs; a longer list gives a star around its smallest item. The pairs are verified and
-contracted to components. Long lists whose items are not yet one component give a star
-around another item, `TURNS` times. What is still apart is cut into blocks, and
+contracted to components. In a long list whose items are not yet one component, those
+outside its largest component meet `HUBS` items of that. What is still apart is cut into blocks, and
 each pair of blocks is one bounded unit of work: by light descriptions it finds the items
 that may be alike one of another component, then verifies such pairs only, joining
 components as it goes, and returns the links that joined something. So no link between
@@ -26,7 +26,7 @@ from .common import Tables, map_arrow, narrow
 
 SMALL = 24
 BLOCK = 256
-TURNS = 4
+HUBS = 4
 EDGES = 100_000  # of one task that joins them
 
 
@@ -139,19 +139,21 @@ def as_links(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
-def mixed(rows: DataFrame, tables: Tables, turn: int) -> DataFrame:
-    """The rows (key, id, label) of lists with more than one label, with `hub`: one of the list's items, another each turn."""
-    hub = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "label")).alias("h")
-    some = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub).where("lo <> hi")
-    some = tables.keep(some.select("key", F.struct("h.id", "h.label").alias("hub")))
-    out = tables.keep(rows.join(tables.small(some), "key").select("key", "id", "label", "hub"))
+def mixed(rows: DataFrame, tables: Tables) -> DataFrame:
+    """The rows (key, id, label) of lists with more than one label; `most`: the label with most rows, `hubs`: some items of it."""
+    hubs = F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("id", F.lit(t)).alias("h"), "id"))["id"] for t in range(HUBS))))
+    own = rows.groupBy("key", "label").agg(F.count("*").alias("m"), hubs.alias("hubs"))
+    some = own.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("m", F.col("label").alias("most"), "hubs")).alias("x")).where("labels > 1")
+    some = tables.keep(some.select("key", "x.most", "x.hubs"))
+    out = tables.keep(rows.join(tables.small(some), "key").select("key", "id", "label", "most", "hubs"))
     tables.drop(some)
     return out
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each row with its list's hub, if their labels differ."""
-    return rows.where("label <> hub.label").select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b")).distinct()
+    """Pairs (a, b) of the rows outside their list's largest component with hubs of it."""
+    apart = rows.where("label <> most").select("id", "hubs").distinct().select("id", F.explode("hubs").alias("hub"))
+    return apart.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
 
 
 def _units(rows: DataFrame, column: str, work: Callable, schema: str) -> DataFrame:
@@ -235,22 +237,19 @@ def link(postings: DataFrame, items: Items, tables: Tables, also: DataFrame | No
     links = verified(pairs, held, items.check)
     labels = components(links if also is None else links.unionAll(also), tables)
     tables.drop(pairs)
-    # stars around other items join most of what is left, a few rows an item; blocks verify the rest
-    apart = mixed(labelled(long, labels, tables), tables, 0) if tables.rows(long) else None
-    for turn in range(1, TURNS + 1):
-        if apart is None or not tables.rows(apart):
-            break
+    if tables.rows(long):
+        # a few more pairs an item join most of what is left; blocks verify the rest
+        apart = mixed(labelled(long, labels, tables), tables)
         more = tables.keep(verified(items.sieve(stars(apart)), held, items.check))
-        if not tables.rows(more):
-            break
-        labels = _joined(labels, more, tables)
-        again = mixed(labelled(apart, labels, tables), tables, turn)
-        tables.drop(apart)
-        apart = again
-    if apart is not None and tables.rows(apart):
-        more = block_links(apart, held, items, tables)
         if tables.rows(more):
             labels = _joined(labels, more, tables)
+            again = mixed(labelled(apart, labels, tables), tables)
+            tables.drop(apart)
+            apart = again
+        if tables.rows(apart):
+            more = block_links(apart.select("key", "id", "label"), held, items, tables)
+            if tables.rows(more):
+                labels = _joined(labels, more, tables)
         tables.drop(apart)
     tables.drop(long, held)
     return labels
