@@ -76,15 +76,17 @@ class Run(Chain):
 def references(spark: SparkSession, target: str, tax_info: str) -> DataFrame:
     """(tid, genus, species, seq) of the FASTA files that a manifest (file, node) lists; the taxonomy's ranks name species and genus.
 
-    A sequence's number is a hash of its file and name; a node without a genus above it is its own.
+    The manifest names files by whole paths. A sequence's number is a hash of its file and
+    name; a node without a genus above it is its own.
     """
     from strandlake.operators import taxonomy
 
     nodes = files.tax_info(spark.read.text(tax_info))
     listed = files.manifest(spark, target)
     paths = [r["file"] for r in listed.select("file").distinct().collect()]  # a name a file
-    seqs = files.fasta(spark, paths).withColumn("file", F.input_file_name())
-    seqs = seqs.join(F.broadcast(listed), F.endswith("file", listed["file"])).select(listed["file"], "taxid", "seq_id", "seq")  # a row a file
+    plain = lambda c: F.regexp_replace(c, "^[a-zA-Z][a-zA-Z0-9+.-]*:/+", "/")  # noqa: E731  a path, with or without its scheme
+    seqs = files.fasta(spark, paths).withColumn("file", plain(F.input_file_name()))
+    seqs = seqs.join(F.broadcast(listed.withColumn("file", plain(F.col("file"))).distinct()), "file").select("file", "taxid", "seq_id", "seq")  # a row a file
     line = taxonomy.closure(nodes.select(F.col("node").alias("taxid"), "parent"))
     at = line.join(nodes.select(F.col("node").alias("anc"), "rank"), "anc")
     rank = lambda r: F.min_by(F.when(F.col("rank") == r, F.col("anc")), F.when(F.col("rank") == r, F.col("dist")))

@@ -136,6 +136,35 @@ def mixture(cand: DataFrame, iterations: int = 10, by: str = "species") -> tuple
     return held.posteriors(share(pi)), held.weights(pi)
 
 
+def abundance_fit(cand: DataFrame, iterations: int, start: DataFrame | None = None, prune: float = 2e-4, alpha: float = 1e-6, by: str = "species") -> DataFrame:
+    """(by, mass, pi) of the abundance mixture: responsibilities linear in the score, each read weighing its evaluated evidence.
+
+    Expected masses below the pruning share of the largest are dropped before they are
+    added up; mass is that of the last round. Scores must be positive.
+    """
+    held = Packed(cand, "score", by)
+    n = len(held.taxa)
+    given = {r[by]: r["pi"] for r in start.collect()} if start is not None else {}
+    pi = np.array([given.get(t, 1 / max(1, n)) for t in held.taxa])
+    e = np.zeros(n)
+    for _ in range(iterations if n else 0):
+        weights = np.maximum(pi, EPS)
+        e = held.sums(lambda taxon, value, w=weights: np.log(w[taxon] * value), lambda evaluated, q, top: evaluated * q)
+        e = np.where(e < prune * e.max(), 0.0, e)
+        pi = (e + alpha) / (n * alpha + e.sum())
+    return held.spark.createDataFrame(list(zip(held.taxa, e.tolist(), pi.tolist())), f"{by} string, mass double, pi double")
+
+
+def sequence_profile(cand: DataFrame, near: float = 0.95, by: str = "species") -> DataFrame:
+    """(by, assigned, unique, features, sequence_abundance): each read's mass among the taxa that come near its best score, by score."""
+    part = W.partitionBy("read")
+    rows = cand.groupBy("read", by).agg(F.max("score").alias("score"), F.max("evaluated").alias("evaluated"))
+    rows = rows.withColumn("best", F.max("score").over(part)).where(F.col("score") >= near * F.col("best"))
+    rows = rows.withColumn("share", F.col("score") / F.sum("score").over(part)).withColumn("n", F.count("*").over(part))
+    out = rows.groupBy(by).agg(F.sum("share").alias("assigned"), F.sum(F.when(F.col("n") == 1, 1.0).otherwise(0.0)).alias("unique"), F.sum(F.col("share") * F.col("evaluated")).alias("features"))
+    return out.withColumn("sequence_abundance", F.col("assigned") / F.sum("assigned").over(W.partitionBy(F.lit(1))))  # a row a taxon
+
+
 def community(rows: DataFrame, value: str) -> DataFrame:
     """One row: n, eff (inverse Simpson), head mass, Shannon entropy, u and s of positive amounts."""
     total = rows.where(F.col(value) > 0).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("k"))  # equal amounts together

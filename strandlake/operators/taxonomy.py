@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from strandlake.sources.shared import cut
+
 def closure(nodes: DataFrame) -> DataFrame:
     """(taxid, anc, dist) of each node (taxid, parent) with itself and all its ancestors.
 
@@ -16,10 +18,12 @@ def closure(nodes: DataFrame) -> DataFrame:
     step = nodes.where("taxid <> parent").select("taxid", F.col("parent").alias("anc"), F.lit(1).alias("dist"))
     known = nodes.select("taxid")
     step = step.join(known.select(F.col("taxid").alias("anc")), "anc", "left_semi").select("taxid", "anc", "dist")
+    step = cut(step)
     all_, reach = step, 1
     while True:
         ahead = all_.select(F.col("taxid").alias("anc"), F.col("anc").alias("far"), F.col("dist").alias("more"))
         longer = all_.where(F.col("dist") == reach).join(ahead, "anc").select("taxid", F.col("far").alias("anc"), (F.col("dist") + F.col("more")).alias("dist"))
+        longer = cut(longer)
         if longer.isEmpty():
             break
         if reach > nodes_:

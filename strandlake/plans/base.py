@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import atexit
 import hashlib
-import tempfile
 from collections.abc import Callable
 from functools import cached_property
 
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from strandlake.engine import BINS, DISPERSION, Chain
 from strandlake.functions import scalars as S
 from strandlake.sources.archive import Archive, Store
+from strandlake.sources.shared import shared_dir
 
 from . import sqlkernels as K
 
@@ -38,18 +38,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set and all run in one process."""
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if d is None:
-        if sc.master != "local" and not sc.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
-        d = sc.getCheckpointDir()
-    return d.rstrip("/")
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

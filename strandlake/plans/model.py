@@ -164,6 +164,41 @@ def _(b: Base):
     return mixed(b)[0].select("read", "species", r6(F.col("q"), "q"))
 
 
+ABUNDANCE_ROUNDS = 3  # the root of a hundred, times the dispersion, rounded up
+
+
+@query(
+    "a15_abundance_fit",
+    "SELECT species, round(mass, 6) AS mass, round(pi, 6) AS pi FROM ab WHERE i = 3",
+    _RET + """
+, ab AS (SELECT 0 AS i, species, 0.0::DOUBLE AS mass, 1 / count(*) OVER ()::DOUBLE AS pi FROM (SELECT DISTINCT species FROM ret) UNION ALL
+  SELECT i + 1, species, e, (e + 1e-6::DOUBLE) / (count(*) OVER () * 1e-6::DOUBLE + sum(e) OVER ()) FROM (SELECT i, species, CASE WHEN e < 2e-4::DOUBLE * max(e) OVER () THEN 0 ELSE e END AS e FROM (
+    SELECT i, species, sum(evaluated * q) AS e FROM (SELECT *, x / sum(x) OVER (PARTITION BY read) AS q FROM (SELECT ab.i, ret.read, ret.species, ret.evaluated, greatest(pi, 1e-9::DOUBLE) * score AS x FROM ret JOIN ab USING (species))) GROUP BY i, species)) WHERE i < 3)""",
+)
+def _(b: Base):
+    return model.abundance_fit(retained(b), ABUNDANCE_ROUNDS).select("species", r6(F.col("mass"), "mass"), r6(F.col("pi"), "pi"))
+
+
+@query(
+    "a18_sequence_profile",
+    "SELECT species, round(assigned, 6) AS assigned, uniq, round(features, 6) AS features, round(assigned / sum(assigned) OVER (), 6) AS sequence_abundance FROM (SELECT species, sum(share) AS assigned, sum((kin = 1)::INTEGER)::DOUBLE AS uniq, sum(share * evaluated) AS features FROM (SELECT *, score / sum(score) OVER (PARTITION BY read) AS share, count(*) OVER (PARTITION BY read) AS kin FROM (SELECT *, max(score) OVER (PARTITION BY read) AS best FROM ret) WHERE score >= 0.95::DOUBLE * best) GROUP BY 1)",
+    _RET,
+)
+def _(b: Base):
+    return model.sequence_profile(retained(b)).select("species", r6(F.col("assigned"), "assigned"), F.col("unique").alias("uniq"), r6(F.col("features"), "features"), r6(F.col("sequence_abundance"), "sequence_abundance"))
+
+
+@query("j9_sidecar_merge", "SELECT ret.read, ret.species, round(ret.score, 6) AS score, round(mq.q, 6) AS q FROM ret JOIN mq USING (read, species)", _MIX)
+def _(b: Base):
+    return retained(b).select("read", "species", "score").join(mixed(b)[0].select("read", "species", "q"), ["read", "species"]).select("read", "species", r6(F.col("score"), "score"), r6(F.col("q"), "q"))
+
+
+@query("s11_spool_scan", "SELECT read, species FROM ret", _RET)
+def _(b: Base):
+    """Two columns of the spool of candidates; the others aren't read."""
+    return retained(b).select("read", "species")
+
+
 # --- community -------------------------------------------------------------------------
 
 _COMM = """

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from strandlake.functions import scalars as S
 from strandlake.operators import profile
-from strandlake.sources import files
+from strandlake.sources import files, gtdb
 
 from .base import Base, query
 
@@ -120,3 +120,58 @@ def _(b: Base):
 def _(b: Base):
     rows = b.events.select(F.when(F.col("event_type") != "view", F.col("event_type")).alias("species"), "value")
     return profile.legacy(rows, "species", "value").select("taxon", F.round("count", 4).alias("count"))
+
+
+@query(
+    "k14_legacy_lines",
+    "SELECT 5 + (row_number() OVER (ORDER BY (taxon = 'unclassified')::INTEGER, count DESC, taxon))::INTEGER - 1 AS at, taxon || chr(9) || count::DOUBLE::VARCHAR || chr(9) || printf('%.2f', round(100 * count / sum(count) OVER (), 2)) AS line FROM (SELECT CASE WHEN event_type = 'view' THEN 'unclassified' ELSE event_type END AS taxon, count(*) AS count FROM events GROUP BY 1) UNION ALL SELECT * FROM (VALUES (0, '# profile_input=aggregate_evidence'), (1, '# count_unit=reads'), (2, 'Taxon' || chr(9) || 'Count' || chr(9) || 'Relative Abundance (%)'), (3, ''), (4, '## Species Level ##'))",
+)
+def _(b: Base):
+    rows = b.events.select(F.when(F.col("event_type") != "view", F.col("event_type")).alias("species"), F.lit(1).alias("n"))
+    return files.profile_lines(profile.legacy(rows, "species", "n"))
+
+
+# --- genome taxonomy metadata: customers stand for genomes, their nations and segments for a lineage
+
+_META = """, meta AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'RS_GCF_' ELSE 'GB_GCA_' END || lpad(c_custkey::VARCHAR, 9, '0') || '.1' AS accession, CASE c_custkey % 4 WHEN 0 THEN 't' WHEN 1 THEN 'False' WHEN 2 THEN ' TRUE' ELSE NULL END AS rep,
+  CASE WHEN c_nationkey % 5 = 0 THEN 'd__Archaea' ELSE 'd__Bacteria' END || ';g__' || c_mktsegment || ';s__' || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS taxonomy, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS organism, 'ASM' || c_nationkey AS assembly_name FROM customer),
+bare AS (SELECT *, regexp_replace(accession, '^(RS_|GB_)', '') AS acc FROM meta),
+clus AS (SELECT accession, 'd__Bacteria;s__c' AS taxonomy FROM meta WHERE substr(accession, 15, 1)::INTEGER < 6 UNION ALL SELECT 'GB_GCA_9' || lpad(s_suppkey::VARCHAR, 8, '0') || '.2', CASE WHEN s_suppkey % 2 = 0 THEN 'd__Archaea;s__' || s_name ELSE '' END FROM supplier)"""
+
+
+def _metadata(b: Base):
+    key = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
+    lineage = F.concat(F.when(F.col("c_nationkey") % 5 == 0, "d__Archaea").otherwise("d__Bacteria"), F.lit(";g__"), "c_mktsegment", F.lit(";s__"), F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.col("c_name")))
+    mark = F.when(F.col("c_custkey") % 4 == 0, "t").when(F.col("c_custkey") % 4 == 1, "False").when(F.col("c_custkey") % 4 == 2, " TRUE")
+    return b.customer.select(
+        F.concat(F.when(F.col("c_custkey") % 2 == 0, "RS_GCF_").otherwise("GB_GCA_"), key, F.lit(".1")).alias("accession"), mark.alias("gtdb_representative"), lineage.alias("gtdb_taxonomy"),
+        F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name")).alias("ncbi_organism_name"), F.concat(F.lit("ASM"), F.col("c_nationkey").cast("string")).alias("ncbi_assembly_name"),
+    )
+
+
+def _clusters(b: Base):
+    own = _metadata(b).where(F.substring("accession", 15, 1).cast("int") < 6).select("accession", F.lit("d__Bacteria;s__c").alias("taxonomy"))
+    key = F.concat(F.lit("GB_GCA_9"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0"), F.lit(".2"))
+    return own.unionAll(b.supplier.select(key, F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("d__Archaea;s__"), "s_name")).otherwise("")))
+
+
+@query("f20_representative_filter", "SELECT accession FROM meta WHERE lower(trim(coalesce(rep, ''))) IN ('t', 'true', '1', 'yes')", _META)
+def _(b: Base):
+    return _metadata(b).where(gtdb.truthy(F.col("gtdb_representative"))).select("accession")
+
+
+@query("s19_metadata_lineages", "SELECT acc AS accession, node, substr(node, 4) AS name FROM (SELECT acc, CASE WHEN taxonomy LIKE '%;s__' THEN split_part(taxonomy, ';', 2) ELSE split_part(taxonomy, ';', 3) END AS node FROM bare WHERE acc LIKE 'GCF%')", _META)
+def _(b: Base):
+    meta = _metadata(b)
+    return gtdb.lineages(meta, meta.where("accession like 'RS%'").select(gtdb.bare(F.col("accession")).alias("accession")))
+
+
+@query(
+    "s20_representatives",
+    """SELECT acc AS accession, b.taxonomy, CASE WHEN starts_with(b.taxonomy, 'd__Archaea') THEN 'archaea' ELSE 'bacteria' END AS kingdom, coalesce(nullif(organism, ''), b.taxonomy) AS organism, assembly_name FROM bare b JOIN clus c ON c.accession = b.accession WHERE lower(trim(coalesce(rep, ''))) IN ('t', 'true', '1', 'yes')
+    UNION ALL SELECT acc, n, CASE WHEN starts_with(t, 'd__Archaea') THEN 'archaea' ELSE 'bacteria' END, n, '' FROM (SELECT regexp_replace(accession, '^(RS_|GB_)', '') AS acc, taxonomy AS t, coalesce(nullif(taxonomy, ''), regexp_replace(accession, '^(RS_|GB_)', '')) AS n FROM clus)
+      WHERE acc NOT IN (SELECT acc FROM bare WHERE lower(trim(coalesce(rep, ''))) IN ('t', 'true', '1', 'yes'))""",
+    _META,
+)
+def _(b: Base):
+    return gtdb.representatives(_metadata(b), _clusters(b))
