@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import give_back, held_out, id_text, map_arrow, materialize, unused
 
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&@~+=-_/\\…«»„“”¡¿"
-_CACHE = 300_000
+_CACHE = 150_000
 
 
 @dataclass(frozen=True)
@@ -114,7 +114,7 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], keep: np.ndarray, prior: f
     """Weights and intercept of one classifier from rows of places in `keep`; all zero if it is empty."""
     w = np.zeros(1 << config.bits)
     if not keep.size:
-        return w, 0.0 if not pos else float(np.log(prior / (1 - prior)))
+        return w, float(np.log(prior / (1 - prior)))
     rows = pos + unl
     at, cols = np.repeat(np.arange(len(rows)), [len(c) for c in rows]), np.concatenate(rows)
     is_p = np.arange(len(rows)) < len(pos)
@@ -210,7 +210,7 @@ def _kept(rows: DataFrame, keeps: list[np.ndarray], config: Config) -> tuple[lis
 
 
 def train(docs: DataFrame, labels: DataFrame, config: Config = Config(), id_col: str = "doc_id", text_col: str = "text") -> list[tuple[np.ndarray, float]]:
-    """The two classifiers. Labels of the held-out fold are not read; without positives all weights are 0."""
+    """The two classifiers. Labels of the held-out fold are not read; without positives all weights are 0 and every text gets the least prior."""
     rows, prior = _sampled(id_text(docs, id_col, text_col), labels, config)
     n = _counted(rows, config)
     sizes = {r["pos"]: r["count"] for r in rows.groupBy("pos").count().collect()}

@@ -38,3 +38,24 @@ def test_pipeline(spark, tmp_path):
         if name == "packing":
             assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == set(before)
     assert corpus_pipeline.run(spark, sf_dir).count() == out.count()
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null and repeated ids, odd texts and empty tables go through every stage, whose clean rows stay."""
+    from .test_ops import ODD
+
+    rows = [*enumerate(ODD), (3, "a"), (3, "other words of the same id"), (None, "b c"), (None, None), (None, "b c")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, some in (("odd", rows), ("empty", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame([(i, t, None, "s", None) for i, t in some], schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(None, 1, 1), (0, None, None)][: len(some)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for step, (what, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, folder).write.parquet(f"{folder}/{step}")
+            docs = spark.read.parquet(f"{folder}/{step}")
+            if what in ("toxicity", "line_dedup"):
+                assert docs.count() == len(some)
+            if what == "near_dedup":  # the two texts of document 3 are one document; rows without an id stay
+                assert {r.doc_id for r in docs.collect()} == {i for i, _ in some}
+        assert docs.agg({"length": "sum"}).first()[0] == (sum(r.doc_tokens for r in docs.where("start = 0").collect()) if some else None)
