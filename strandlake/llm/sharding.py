@@ -16,6 +16,8 @@ from zlib import crc32
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
+
 SHARDS = 64
 SLOTS = 6_529  # prime, about a hundred slots a shard
 MOST_SLOTS = 1 << 20
@@ -70,7 +72,8 @@ def place(df: DataFrame, key_col: str = "doc_id", shards: tuple[str, ...] = name
 
 
 def write_shards(df: DataFrame, path: str, key_col: str = "doc_id", shards: tuple[str, ...] = names(SHARDS), slots: int = SLOTS) -> None:
-    """Write whole rows into a folder a shard; `shard` must not be a column of `df`."""
-    held = F.broadcast(table(df.sparkSession, tuple(shards), slots))
-    rows = df.withColumn("__slot", slot_of(F.col(key_col), slots)).join(held.withColumnRenamed("slot", "__slot"), "__slot").drop("__slot")
-    rows.repartition("shard", F.pmod(F.xxhash64(key_col), F.lit(4))).write.partitionBy("shard").parquet(path)
+    """Write whole rows into a folder a shard, `shard=` and its number, or `_shard=` where `df` has such a column; an empty table gives no folder."""
+    shard, slot = unused(df, "shard", "slot")
+    held = F.broadcast(table(df.sparkSession, tuple(shards), slots)).select(F.col("slot").alias(slot), F.col("shard").alias(shard))  # of `slots` rows
+    rows = df.withColumn(slot, slot_of(F.col(key_col), slots)).join(held, slot).drop(slot)
+    rows.repartition(shard, F.pmod(F.xxhash64(key_col), F.lit(4))).write.partitionBy(shard).parquet(path)

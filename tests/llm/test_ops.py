@@ -365,7 +365,7 @@ def test_exact_dedup(spark, monkeypatch, held):
 # --- 6 -------------------------------------------------------------------------------
 
 
-def test_sharding(spark):
+def test_sharding(spark, tmp_path):
     names = sharding.names(10)
     table = sharding.fill(names, 1009)
     sizes = Counter(table)
@@ -378,6 +378,12 @@ def test_sharding(spark):
     for r in got:
         slot = int(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:15], 16) % 1009
         assert (r.slot, r.shard) == (slot, table[slot])
+    clash = odd(spark).withColumnRenamed("score", "shard").withColumnRenamed("block", "slot")
+    sharding.write_shards(clash, f"{tmp_path}/shards", shards=names, slots=1009)
+    back = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert Counter((r.doc_id, r.text, r.shard, r.slot) for r in back) == Counter((r.doc_id, r.text, r.shard, r.slot) for r in clash.collect())
+    where = {r.doc_id: r.shard for r in got}
+    assert all(r._shard == where[r.doc_id] for r in back)
     with pytest.raises(ValueError):
         sharding.fill(names, 1000)
     assert sharding.place(docs(spark, [])).count() == 0
