@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from strandlake.engine import BINS, DISPERSION, Chain
 from strandlake.functions import scalars as S
 from strandlake.sources.archive import Archive, Store
-from strandlake.sources.shared import shared_dir
+from strandlake.sources.shared import remove, shared_dir
 
 from . import sqlkernels as K
 
@@ -38,14 +38,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the JVM may be gone by then
-        pass
-
-
 class Base(Chain):
     """The driver's tables as references, reads and a taxonomy, and the chain that most queries share.
 
@@ -79,7 +71,7 @@ class Base(Chain):
     def archive(self) -> Archive:
         name = hashlib.sha256(f"{self.spark.sparkContext.applicationId} {self.sf_dir}".encode()).hexdigest()[:24]
         path = f"{shared_dir(self.spark)}/strandlake-archive-{name}"
-        atexit.register(_remove, self.spark, path)
+        atexit.register(remove, self.spark, path)
         return Archive(self.spark, path, self.refs, BINS)
 
     @cached_property
