@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from strandlake.functions import scalars as S
 from strandlake.operators import catalog, taxonomy
@@ -80,15 +81,17 @@ def _(b: Base):
     return catalog.top_n(b.part, ["p_brand"], [F.desc("p_size"), F.desc("p_retailprice"), F.col("p_partkey")], 3).select("p_partkey", "p_brand", "place")
 
 
-@query("t1_profile_order", "SELECT l_suppkey AS taxid, round(sum(l_extendedprice), 2) AS response, count(*) AS raw FROM lineitem GROUP BY 1")
+@query("t1_profile_order", "SELECT *, row_number() OVER (ORDER BY response DESC, raw DESC, taxid) AS place FROM (SELECT l_suppkey AS taxid, round(sum(l_extendedprice), 2) AS response, count(*) AS raw FROM lineitem GROUP BY 1)")
 def _(b: Base):
     rows = b.lineitem.groupBy(F.col("l_suppkey").alias("taxid")).agg(F.round(F.sum("l_extendedprice"), 2).alias("response"), F.count("*").alias("raw"))
-    return rows.orderBy(F.desc("response"), F.desc("raw"), "taxid")
+    order = [F.desc("response"), F.desc("raw"), F.col("taxid")]
+    return rows.withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long")).orderBy("place")  # a row a taxon
 
 
-@query("t2_text_order", "SELECT c_custkey::VARCHAR AS taxid, c_acctbal FROM customer")
+@query("t2_text_order", "SELECT c_custkey::VARCHAR AS taxid, c_acctbal, row_number() OVER (ORDER BY c_custkey::VARCHAR) AS place FROM customer")
 def _(b: Base):
-    return b.customer.select(F.col("c_custkey").cast("string").alias("taxid"), "c_acctbal").orderBy("taxid")
+    rows = b.customer.select(F.col("c_custkey").cast("string").alias("taxid"), "c_acctbal")
+    return rows.withColumn("place", F.row_number().over(W.orderBy("taxid")).cast("long")).orderBy("place")  # a row a taxon
 
 
 @query("u1_union_all", "SELECT c_custkey AS k FROM customer UNION ALL SELECT o_custkey FROM orders")
