@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import id_text
+from .common import id_text, map_arrow
 
 LONG = 200
 CACHE = 250_000  # words of a generation
@@ -60,7 +60,7 @@ class Encoder:
         model = spec["model"]
         self.vocab: dict[str, int] = dict(model["vocab"])
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.rank = {m: i for i, m in reversed(list(enumerate(merges)))}
+        self.rank = {} if library else {m: i for i, m in reversed(list(enumerate(merges)))}
         self.suffix = model.get("end_of_word_suffix") or ""
         self.words = bool(self.suffix)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -218,7 +218,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 rows = [packed(t) for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], _ids(rows)], ["doc_id", "ids"])
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return map_arrow(id_text(df, id_col, text_col), run, "doc_id long, ids array<int>")
 
 
 def _texts(token: np.ndarray, rows: list[bytes]) -> pa.Array:
@@ -246,7 +246,7 @@ def decode(df: DataFrame, path: str) -> DataFrame:
                 out = _texts(token, [np.array(r or (), "<u4").tobytes() for r in part["ids"].to_pylist()])
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["ids"], out], ["doc_id", "ids", "decoded"])
 
-    return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return map_arrow(df.select("doc_id", "ids"), run, "doc_id long, ids array<int>, decoded string")
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,7 +260,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 rows = [packed(t) for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], _ids(rows), _texts(token, rows)], ["doc_id", "ids", "decoded"])
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return map_arrow(id_text(df, id_col, text_col), run, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 SPACE = "[\\x20\\x09-\\x0D]"
 #: Rows of two or three numbers that a table may have to be broadcast: a few MB.
 BROADCAST = 100_000
+#: Bytes of an Arrow batch, held once in the JVM, outside its heap, and once in the Python worker of a task.
+BATCH = 8 << 20
 #: Rows of a slice that an Arrow function takes at one time.
 ROWS = 512
 
@@ -111,6 +113,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     Workers outlive their tasks: what a task has freed goes back to the system at its end,
     or it would count against an executor's memory in the stages that follow.
     """
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS))
@@ -119,6 +122,11 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session sends Arrow batches of at most BATCH bytes: long texts come by the thousand."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def give_back() -> None:
     """Return the memory that this process has freed to the system."""
     gc.collect()

@@ -185,7 +185,7 @@ def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
         for text in batch["text"].to_pylist():
             for x in _lines(text):
                 if len(x) >= FUZZY and (h := hash(x)) not in seen:
-                    if len(seen) > 500_000:
+                    if len(seen) > 250_000:
                         seen.clear()
                     seen.add(h)
                     out.append(x)

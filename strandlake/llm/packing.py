@@ -26,6 +26,7 @@ from .common import id_text, map_arrow
 WINDOW = 2048
 END = 1
 POOL = 1024  # remainders
+WORDS = 120_000  # of a generation of the word cache
 
 Piece = tuple  # (document, start, ids as bytes)
 
@@ -110,7 +111,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, id_co
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, last = bpe.encoder(path, library=True).packed, end.to_bytes(4, "little")
+        packed, last = bpe.encoder(path, WORDS, library=True).packed, end.to_bytes(4, "little")
         number = TaskContext.get().partitionId() << 40
         pool, rows = Pool(), []
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import id_text
+from .common import id_text, map_arrow
 
 RULES = ("start", "end", "most")
 
@@ -100,4 +100,4 @@ def count(docs: DataFrame, path: str, sections: Callable[[str], list[int]] = lin
                         c.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.concatenate(c), pa.int64()) for c in cols)], ["doc_id", "section", "start", "length", "n_tokens"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, section long, start long, length long, n_tokens long")
+    return map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, section long, start long, length long, n_tokens long")
