@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import give_back, held_out, id_text, map_arrow, materialize, unused
 
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&@~+=-_/\\…«»„“”¡¿"
-_CACHE = 150_000
+_CACHE = 300_000
 
 
 @dataclass(frozen=True)
@@ -229,12 +229,16 @@ class Scorer:
 
     def __init__(self, model: list[tuple[np.ndarray, float]], config: Config):
         self.model, self.features = model, Features(config)
-        self.known: dict[str, tuple] = {}  # of a written word, its features with a weight
+        # of a written word, its features with a weight; two generations, so common words stay
+        self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     def _look(self, raw: str) -> tuple:
-        got = tuple((k, x) for w in words(raw) for k in (0, 1) for x in self.features.hashed(k, w) if self.model[k][0][x])
-        if len(self.known) >= _CACHE:
-            self.known.clear()
+        got = self.older.get(raw)
+        if got is None:
+            got = tuple((k, x) for w in words(raw) for k in (0, 1) for x in self.features.hashed(k, w) if self.model[k][0][x])
+        if len(self.known) >= _CACHE // 2:
+            self.older, self.known = self.known, {}
         self.known[raw] = got
         return got
 
