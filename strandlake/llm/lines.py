@@ -202,7 +202,8 @@ def classes(docs: DataFrame, tables: Tables) -> DataFrame:
             yield pa.RecordBatch.from_arrays([_signed([k for ks in keys for k in ks]), pa.array(ids.view(np.int64))], ["key", "id"])
 
     texts = docs.select("text")
-    shared = map_arrow(texts, post, "key long, id long").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    # nearly all keys of a task differ, so they are met before they are added up; a line comes once a task
+    shared = map_arrow(texts, post, "key long, id long").repartition("key").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     held = bitmap(shared, "key")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
