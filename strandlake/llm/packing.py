@@ -26,7 +26,7 @@ from .common import id_text, map_arrow
 WINDOW = 2048
 END = 1
 POOL = 1024  # remainders
-WORDS = 120_000  # of a generation of the word cache
+WORDS = 250_000  # of a generation of the word cache
 
 Piece = tuple  # (document, start, ids as bytes)
 
