@@ -10,6 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from strandlake.operators import features, probe, score
 from strandlake.sources import files
@@ -35,6 +36,12 @@ class Chain:
     def taxa(self) -> DataFrame:
         return self.archive.taxa.select("species", "genus")
 
+    @cached_property
+    def numbers(self) -> DataFrame:
+        """(species, genus, taxon): the taxa by number, as evidence holds them; 65,536 times the species' number, and the place of the genus."""
+        kin, place = F.dense_rank().over(W.orderBy("species")) - 1, F.row_number().over(W.partitionBy("species").orderBy("genus")) - 1  # a row a taxon
+        return self.taxa.withColumn("taxon", kin.cast("long") * 65536 + place)
+
     @cached_property
     def dfeat(self) -> DataFrame:
         return self.archive.features
@@ -57,11 +64,11 @@ class Chain:
 
     @cached_property
     def parts(self) -> DataFrame:
-        return self.spool.held("parts", lambda: score.contributions(self.hits, self.df, self.archive.counters, BINS, DISPERSION))
+        return self.spool.held("parts", lambda: score.contributions(self.rfeat, self.index, self.df, self.numbers, self.archive.counters, BINS, DISPERSION))
 
     @cached_property
     def scores(self) -> DataFrame:
-        return self.spool.held("scores", lambda: score.scores(self.parts))
+        return self.spool.held("scores", lambda: score.scores(self.parts, self.numbers))
 
     @cached_property
     def sampled(self) -> DataFrame:

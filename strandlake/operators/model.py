@@ -12,6 +12,8 @@ from pyspark.sql.window import Window as W
 
 from strandlake.functions import scalars as S
 
+from . import score
+
 EPS = 1e-9
 SUMS = 100_000  # numbers of a round that may come from its tasks
 
@@ -188,19 +190,23 @@ def nearest_rank(rows: DataFrame, value: str, q: float) -> DataFrame:
     return n.withColumn("held", held).crossJoin(F.broadcast(total)).where(F.col("held") > F.floor(q * (F.col("n") - 1))).agg(F.min("v").alias("v"))
 
 
-def presence(parts: DataFrame, bits: int = 2048) -> DataFrame:
-    """(species, hits, uniq, reads, unique_reads, unique_obs, breadth_obs): evidence a taxon.
+def presence(parts: DataFrame, numbers: DataFrame, bits: int = 2048) -> DataFrame:
+    """(species, hits, uniq, reads, unique_reads, unique_obs, breadth_obs): evidence a taxon, by its number in `numbers`.
 
     uniq sums the strength of hits of this taxon alone; unique_obs and breadth_obs count, by
     bitmaps, the hashes and the bins of hits that are of this taxon and in one bin alone.
+    A read's occurrences are put together first.
     """
-    rows = parts.select("read", "hash", "deg", "dfb", "bin", F.when(F.col("deg") == 1, F.col("strength")).otherwise(0.0).alias("u"), F.explode("taxa").alias("t"))
-    edge = (F.col("deg") == 1) & (F.col("dfb") == 1)
-    seen = lambda c: F.coalesce(F.bitmap_count(F.bitmap_construct_agg(F.when(edge, F.bitmap_bit_position(F.pmod(c, F.lit(bits)) + 1)))), F.lit(0))
-    return rows.groupBy(F.col("t.species").alias("species")).agg(
-        F.count("*").alias("hits"), F.sum("u").alias("uniq"), F.countDistinct("read").alias("reads"), F.countDistinct(F.when(F.col("u") > 0, F.col("read"))).alias("unique_reads"),
-        seen("hash").alias("unique_obs"), seen("bin").alias("breadth_obs"),
-    )
+    u = F.when(F.col("deg") == 1, F.col("strength")).otherwise(0.0).alias("u")
+    rows = parts.select("read", u, "taxa").repartition("read").select("read", "u", F.explode("taxa").alias("taxon"))
+    rows = rows.groupBy("read", "taxon").agg(F.count("*").alias("hits"), F.sum("u").alias("uniq"), F.max(F.col("u") > 0).alias("alone"))
+    rows = score.named(rows, numbers).groupBy("read", "species").agg(F.sum("hits").alias("hits"), F.sum("uniq").alias("uniq"), F.max("alone").alias("alone"))
+    r = F.col("read").isNotNull().cast("long")
+    stats = rows.groupBy("species").agg(F.sum("hits").alias("hits"), F.sum("uniq").alias("uniq"), F.sum(r).alias("reads"), F.sum(F.when(F.col("alone"), r).otherwise(0)).alias("unique_reads"))
+    edge = parts.where("deg = 1 and dfb = 1").select(F.pmod("hash", F.lit(bits)).alias("low"), "bin", F.explode("taxa").alias("taxon"))
+    seen = lambda c: F.coalesce(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(F.pmod(c, F.lit(bits)) + 1))), F.lit(0))
+    marks = score.named(edge.distinct(), numbers).groupBy("species").agg(seen("low").alias("unique_obs"), seen("bin").alias("breadth_obs"))
+    return stats.join(marks, "species", "left").na.fill(0, ["unique_obs", "breadth_obs"])
 
 
 def _place(values: str, q: float, n: str | None = None) -> Column:

@@ -9,24 +9,73 @@ from pyspark.sql.window import Window as W
 from strandlake.functions import scalars as S
 
 
-def contributions(hits: DataFrame, df: DataFrame, counters: int, bins: int, s: float) -> DataFrame:
-    """One row a read feature occurrence: degree, weight and strength; and the species that it hits."""
-    per = hits.groupBy("read", "pos", "hash").agg(F.countDistinct("species").alias("deg"), F.countDistinct("bin").alias("dfb"), F.min("bin").alias("bin"), F.collect_set(F.struct("species", "genus")).alias("taxa"))
-    per = per.join(df.select("hash", "df"), "hash", "left")
+LOW = 2047  # the bits of a hash that evidence keeps: it is sampled by its remainders by 8 and 32, bitmaps take that by 2,048
+
+
+def weighed(rows: DataFrame, counters: int, bins: int, s: float) -> DataFrame:
+    """Adds strength and weight to read features (read, pos, hash, deg, dfb, bin, df, taxa); keeps the low bits of the hash alone."""
     own = F.when((F.col("deg") == 1) & (F.col("dfb") > 1), 1).otherwise(F.col("dfb"))
     dfi = S.lerp(F.col("dfb").cast("double"), own.cast("double"), s)
     bonus = 1 + 2 / (1 + F.log2(F.col("dfb")))
     strength = F.when((F.col("deg") == 1) & (F.col("dfb") == 1) & (F.col("df") <= 1), 1.0).when((F.col("deg") == 1) & (F.col("dfb") > 1), s).otherwise(0.0)
     weight = S.idf(F.lit(bins), dfi, s) * S.background(F.lit(counters), F.col("df")) * (1 + strength * (bonus - 1)) / F.log2(2 + F.col("deg"))
-    return per.select("read", "pos", "hash", "deg", "dfb", "bin", strength.alias("strength"), weight.alias("weight"), "taxa")
+    low = F.col("hash").bitwiseAND(F.lit(LOW)).alias("hash")
+    return rows.select("read", "pos", low, F.col("deg").cast("long").alias("deg"), F.col("dfb").cast("long").alias("dfb"), "bin", strength.alias("strength"), weight.alias("weight"), "taxa")
 
 
-def scores(parts: DataFrame) -> DataFrame:
+def contributions(reads: DataFrame, idx: DataFrame, df: DataFrame, numbers: DataFrame, counters: int, bins: int, s: float) -> DataFrame:
+    """One row a read feature occurrence that the index holds: degree, weight, strength, and the numbers of the taxa that it hits.
+
+    What the index holds of a hash is put together before the reads meet it, so an occurrence stays one row.
+    """
+    per = coded(idx.select("hash", "bin", "species", "genus"), numbers).groupBy("hash")
+    per = per.agg(F.size(F.collect_set("species")).alias("deg"), F.size(F.collect_set("bin")).alias("dfb"), F.min("bin").alias("bin"), F.collect_set("taxon").alias("taxa"))
+    per = per.join(df.select("hash", "df"), "hash", "left")
+    return weighed(reads.select("read", "pos", "hash").distinct().join(per, "hash"), counters, bins, s)
+
+
+def shared(reads: DataFrame, feats: DataFrame, numbers: DataFrame, limits: dict, bins: int, s: float, offset: int) -> DataFrame:
+    """contributions() of `reads` (read, pos, hash) and of the references themselves, each read as `offset` + tid, in one shuffle.
+
+    `feats` (tid, genus, species, bin, pos, hash) are all features of the references. All
+    occurrences of a class of hashes meet, so its frequency, the degrees and the taxa come
+    from windows there, and no index is written or joined; a row is dealt out without its names.
+    """
+    own = coded(feats, numbers).select((F.col("tid") + offset).cast("long").alias("read"), "pos", "hash", "taxon")
+    rows = own.unionAll(reads.select("read", "pos", "hash", F.lit(None).cast("long")))  # others than the references' have no taxon
+    rows = rows.withColumn("h22", F.col("hash").bitwiseAND(F.lit(4194303)).cast("int")).repartition("h22").sortWithinPartitions("h22", "hash", "read", "pos")
+    one, part = F.col("taxon").isNotNull().cast("int"), W.partitionBy("h22", "hash")
+    rows = rows.withColumn("seen", F.sum(one).over(W.partitionBy("h22")))
+    if limits["enabled"] is not False:  # null without references
+        rows = rows.where(F.col("seen") < F.lit(limits["threshold"]).cast("long"))
+    rows = rows.drop("seen")
+    bin_ = F.when(F.col("taxon").isNotNull(), F.pmod(F.col("read") - offset, F.lit(bins)))
+    rows = rows.withColumn("df", F.sum(one).over(part)).withColumn("taxa", F.collect_set("taxon").over(part)).withColumn("dfb", F.size(F.collect_set(bin_).over(part))).withColumn("bin", F.min(bin_).over(part))
+    before = F.lag(F.struct("read", "pos")).over(part.orderBy("read", "pos"))  # rows of an id that occurs twice are one read's
+    rows = rows.withColumn("again", before.eqNullSafe(F.struct("read", "pos"))).where(~F.col("again") & (F.col("df") > 0))
+    species = F.size(F.array_distinct(F.transform("taxa", lambda x: F.shiftright(x, 16))))  # the upper bits are the species'
+    deg = F.when(F.size("taxa") == 1, 1).otherwise(species)
+    return weighed(rows.withColumn("deg", deg), limits["counters"], bins, s)
+
+
+def coded(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Adds taxon, the number of (species, genus) in `numbers`."""
+    n = F.broadcast(numbers.select(F.col("species").alias("__s"), F.col("genus").alias("__g"), "taxon"))  # a row a taxon
+    return rows.join(n, F.col("species").eqNullSafe(F.col("__s")) & F.col("genus").eqNullSafe(F.col("__g"))).drop("__s", "__g")
+
+
+def named(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Species and genus instead of taxon."""
+    return rows.join(F.broadcast(numbers), "taxon").drop("taxon")  # a row a taxon
+
+
+def scores(parts: DataFrame, numbers: DataFrame) -> DataFrame:
     """(read, species, genus, score, uniq, evaluated, n): summed over occurrences, each counted once to `evaluated`."""
-    total = parts.groupBy("read").agg(F.sum("weight").alias("evaluated"), F.count("*").alias("n"))
-    rows = parts.select("read", "weight", F.when(F.col("deg") == 1, F.col("strength")).otherwise(0.0).alias("strength"), F.explode("taxa").alias("t"))
-    rows = rows.groupBy("read", F.col("t.species").alias("species"), F.col("t.genus").alias("genus")).agg(F.sum("weight").alias("score"), F.sum("strength").alias("uniq"))
-    return rows.join(total, "read")
+    part = W.partitionBy("read")
+    rows = parts.select("read", "weight", F.when(F.col("deg") == 1, F.col("strength")).otherwise(0.0).alias("strength"), "taxa")
+    rows = rows.withColumn("evaluated", F.sum("weight").over(part)).withColumn("n", F.count("*").over(part))
+    rows = rows.withColumn("taxon", F.explode("taxa")).groupBy("read", "taxon").agg(F.sum("weight").alias("score"), F.sum("strength").alias("uniq"), F.first("evaluated").alias("evaluated"), F.first("n").alias("n"))
+    return named(rows, numbers).select("read", "species", "genus", "score", "uniq", "evaluated", "n")
 
 
 def ranked(rows: DataFrame) -> DataFrame:

@@ -153,8 +153,9 @@ def _(b: Base):
 )
 def _(b: Base):
     base = F.col("hash") % 32 == 0
-    rows = b.parts.select("read", "hash", "weight", F.explode("taxa").alias("t")).groupBy("read", F.col("t.species").alias("species"), F.col("t.genus").alias("genus"))
+    rows = b.parts.select("read", "hash", "weight", "taxa").repartition("read").withColumn("taxon", F.explode("taxa")).groupBy("read", "taxon")
     rows = rows.agg(F.sum(F.when(base, F.col("weight")).otherwise(0.0)).alias("base"), F.sum(F.when(base, 0.0).otherwise(F.col("weight"))).alias("comp"))
+    rows = score.named(rows, b.numbers)
     return score.shrunk(rows).select("read", "species", r6(F.col("value"), "value"))
 
 
@@ -252,7 +253,8 @@ def _(b: Base):
 
 @query("a27_uniquely_mapped", "SELECT count(DISTINCT species) AS taxa FROM parts WHERE deg = 1")
 def _(b: Base):
-    return b.parts.where("deg = 1").select(F.explode("taxa").alias("t")).agg(F.countDistinct("t.species").alias("taxa"))
+    found = b.parts.where("deg = 1").select(F.explode("taxa").alias("taxon")).distinct()
+    return score.named(found, b.numbers).agg(F.countDistinct("species").alias("taxa"))
 
 
 @query("a26_read_lengths", "SELECT min(length(seq))::INTEGER AS shortest, max(length(seq))::INTEGER AS longest, sum(length(seq))::BIGINT AS bases, (sum(length(seq)) // count(*))::BIGINT AS average FROM reads")

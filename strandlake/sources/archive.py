@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import features, probe
 
+from .shared import shuffles_dropped
+
 SPAN = 67  # bases that a feature's hashing needs
 TABLES = ("taxa", "features", "frequency", "limits", "occurrences", "index", "coverage", "anchors")
 
@@ -38,7 +40,8 @@ class Store:
         """The table of that name, written by make() if it isn't there."""
         at = f"{self.path}/{name}"
         if not exists(self.spark, at):
-            make().write.mode("overwrite").parquet(at)  # what a run that was cut off has left is written anew
+            with shuffles_dropped(self.spark):
+                make().write.mode("overwrite").parquet(at)  # what a run that was cut off has left is written anew
         return self.spark.read.parquet(at)
 
 
