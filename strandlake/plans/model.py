@@ -429,7 +429,10 @@ def anchors(b: Base):
 
 
 def chained(b: Base):
-    q, t = anchors(b)
+    """Chains of the passages' minimizers; of the references' only those with a key of a passage are held, all of a key's or none."""
+    q = features.anchors(b.passages)
+    keys = b.spool.held("keys", lambda: q.select("key").distinct())
+    t = b.spool.held("met", lambda: features.anchors(b.refs.select("tid", "seq")).join(keys, "key", "left_semi"))
     return local.chains(local.anchor_hits(q, local.rare_keys(t)))
 
 

@@ -8,8 +8,10 @@ from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
-from strandlake.operators import score
-from strandlake.sources.archive import Store
+from strandlake.operators import features, local, score
+from strandlake.plans.base import Base
+from strandlake.plans.model import chained
+from strandlake.sources.archive import Store, exists
 
 FEATS = [  # tid, genus, species, bin, pos, hash
     (1, "g", "a", 1, 1, 7), (1, "g", "a", 1, 5, 4194304 + 7), (2, "g", "b", 2, 3, 7), (65, "g", "a", 1, 2, 9),
@@ -62,3 +64,13 @@ def test_a_held_table_leaves_no_shuffle_files(spark, tmp_path):
             break
         time.sleep(0.1)
     assert files() <= before
+
+
+def test_chains_hold_no_anchors_but_those_of_the_passages(spark):
+    b = Base(spark, "/root/testdata/sf0.001")
+    q = features.anchors(b.passages)
+    assert chained(b).collect() and not exists(spark, f"{b.archive.path}/anchors")
+    met = spark.read.parquet(f"{b.spool.path}/met")
+    assert met.count() and not met.join(q, "key", "left_anti").count()
+    want = local.chains(local.anchor_hits(q, local.rare_keys(features.anchors(b.refs.select("tid", "seq")))))
+    assert sorted(map(tuple, want.collect())) == sorted(map(tuple, chained(b).collect()))
