@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -42,8 +42,8 @@ def shared(reads: DataFrame, feats: DataFrame, numbers: DataFrame, limits: dict,
     from windows there, and no index is written or joined; a row is dealt out without its names.
     """
     own = coded(feats, numbers).select((F.col("tid") + offset).cast("long").alias("read"), "pos", "hash", "taxon")
-    rows = own.unionAll(reads.select("read", "pos", "hash", F.lit(None).cast("long")))  # others than the references' have no taxon
-    rows = rows.withColumn("h22", F.col("hash").bitwiseAND(F.lit(4194303)).cast("int")).repartition("h22").sortWithinPartitions("h22", "hash", "read", "pos")
+    rows = unpacked(packed(own.unionAll(reads.select("read", "pos", "hash", F.lit(None).cast("long")))).repartition(_class()))  # others than the references' have no taxon
+    rows = rows.sortWithinPartitions("h22", "hash", "read", "pos")
     one, part = F.col("taxon").isNotNull().cast("int"), W.partitionBy("h22", "hash")
     rows = rows.withColumn("seen", F.sum(one).over(W.partitionBy("h22")))
     if limits["enabled"] is not False:  # null without references
@@ -58,6 +58,25 @@ def shared(reads: DataFrame, feats: DataFrame, numbers: DataFrame, limits: dict,
     return weighed(rows.withColumn("deg", deg), limits["counters"], bins, s)
 
 
+def _class() -> Column:
+    """The class of a packed row's hash, its lower 22 bits."""
+    return F.col("key").bitwiseAND(F.lit(4194303)).cast("int")
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """(read, at, key) of rows (read, pos, hash, taxon), for a shuffle: what differs between a read's features is in one number, its hash of 56 bits and the low eight of pos."""
+    at = F.shiftleft(F.coalesce("taxon", F.lit(-1)) + 1, 23).bitwiseOR(F.shiftright("pos", 8))
+    key = F.shiftleft(F.col("pos").cast("long"), 56).bitwiseOR(F.col("hash"))
+    return rows.select("read", at.alias("at"), key.alias("key"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """(read, pos, hash, taxon) and h22, the class of the hash, again."""
+    pos = F.shiftleft(F.col("at").bitwiseAND(F.lit(8388607)), 8).bitwiseOR(F.shiftrightunsigned("key", 56)).cast("int")
+    taxon = F.shiftright("at", 23) - 1
+    return rows.select("read", pos.alias("pos"), F.col("key").bitwiseAND(F.lit((1 << 56) - 1)).alias("hash"), F.when(taxon >= 0, taxon).alias("taxon"), _class().alias("h22"))
+
+
 def coded(rows: DataFrame, numbers: DataFrame) -> DataFrame:
     """Adds taxon, the number of (species, genus) in `numbers`."""
     n = F.broadcast(numbers.select(F.col("species").alias("__s"), F.col("genus").alias("__g"), "taxon"))  # a row a taxon

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import time
 from contextlib import redirect_stdout
 
@@ -52,6 +53,23 @@ def test_shared_evidence_shuffles_once(spark):
     assert out.getvalue().count("Exchange hashpartitioning") == 1
 
 
+def test_packed_rows_come_back(spark):
+    rows = [(1 << 62, 2_147_483_647, (1 << 56) - 1, 65536 * 80 + 3), (5, 1, 0, None), (5, 255, 7, 0), (-3, 256, 1 << 55, None)]
+    df = spark.createDataFrame(rows, "read long, pos int, hash long, taxon long")
+    back = score.unpacked(score.packed(df))
+    assert sorted(back.drop("h22").collect(), key=str) == sorted(df.collect(), key=str)
+    assert all(r["h22"] == r["hash"] % 4194304 for r in back.collect())
+
+
+def test_shared_evidence_shuffles_three_numbers_a_row(spark):
+    feats, reads, numbers = _tables(spark)
+    out = io.StringIO()
+    with redirect_stdout(out):
+        score.shared(reads, feats, numbers, {"enabled": True, "threshold": 4, "counters": 16}, 64, 0.25, 100).explain("formatted")
+    shuffle = re.search(r"\) Exchange\nInput \[(\d+)\][^\n]*\nArguments: hashpartitioning", out.getvalue())
+    assert shuffle and shuffle[1] == "3"
+
+
 def test_a_held_table_leaves_no_shuffle_files(spark, tmp_path):
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     files = lambda: disk.getAllFiles().mkString(" ").count("shuffle_")
