@@ -160,6 +160,14 @@ def counters(kept: DataFrame, seqs: DataFrame, by: str) -> DataFrame:
     return bp.join(own, by, "left").na.fill(0, ["total", "unique"])
 
 
+def tallied(feats: DataFrame, seqs: DataFrame, limits: DataFrame, by: str) -> DataFrame:
+    """counters() of the features that kept() keeps, in one shuffle of their classes and taxa: a class's rows count its frequency."""
+    rows = feats.select(F.col("hash").bitwiseAND(F.lit(4194303)).cast("int").alias("h22"), by)
+    rows = rows.withColumn("df", F.count("*").over(W.partitionBy("h22"))).crossJoin(F.broadcast(limits.select("threshold", "enabled")))  # one row
+    rows = rows.where(~F.col("enabled") | (F.col("df") < F.col("threshold")))
+    return counters(rows.withColumn("uniq", F.col("df") <= 1), seqs, by)
+
+
 def coverage(count: DataFrame, span: int, read: int = 150) -> DataFrame:
     """Density of unique features and how many a read of the reference holds."""
     density = F.when(F.col("bp") > 0, F.col("unique") / F.col("bp")).otherwise(F.lit(0.0))

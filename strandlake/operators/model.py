@@ -205,7 +205,7 @@ def presence(parts: DataFrame, numbers: DataFrame, bits: int = 2048) -> DataFram
     stats = rows.groupBy("species").agg(F.sum("hits").alias("hits"), F.sum("uniq").alias("uniq"), F.sum(r).alias("reads"), F.sum(F.when(F.col("alone"), r).otherwise(0)).alias("unique_reads"))
     edge = parts.where("deg = 1 and dfb = 1").select(F.pmod("hash", F.lit(bits)).alias("low"), "bin", F.explode("taxa").alias("taxon"))
     seen = lambda c: F.coalesce(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(F.pmod(c, F.lit(bits)) + 1))), F.lit(0))
-    marks = score.named(edge.distinct(), numbers).groupBy("species").agg(seen("low").alias("unique_obs"), seen("bin").alias("breadth_obs"))
+    marks = score.named(edge, numbers).groupBy("species").agg(seen("low").alias("unique_obs"), seen("bin").alias("breadth_obs"))
     return stats.join(marks, "species", "left").na.fill(0, ["unique_obs", "breadth_obs"])
 
 

@@ -97,7 +97,7 @@ class Archive(Store):
     @cached_property
     def coverage(self) -> DataFrame:
         """(species, bp, total, unique, unique_density, expected)."""
-        return self.held("coverage", lambda: features.coverage(features.counters(self.kept, self.refs, "species"), SPAN))
+        return self.held("coverage", lambda: features.coverage(features.tallied(self.features, self.refs, self.limits, "species"), SPAN))
 
     @cached_property
     def anchors(self) -> DataFrame:

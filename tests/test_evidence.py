@@ -70,6 +70,20 @@ def test_shared_evidence_shuffles_three_numbers_a_row(spark):
     assert shuffle and shuffle[1] == "3"
 
 
+def test_coverage_shuffles_classes_once(spark):
+    feats, *_ = _tables(spark)
+    seqs = spark.createDataFrame([(s, "A" * 10) for s in "abc"], "species string, seq string")
+    for enabled, most in ((False, 0), (True, 3)):
+        limits = spark.createDataFrame([(most, enabled)], "threshold long, enabled boolean")
+        got = features.tallied(feats, seqs, limits, "species")
+        want = features.counters(features.kept(feats, features.frequency(feats), limits), seqs, "species")
+        assert sorted(got.collect()) == sorted(want.collect())
+    out = io.StringIO()
+    with redirect_stdout(out):
+        got.select("*").explain()
+    assert len(re.findall(r"Exchange hashpartitioning\(h22", out.getvalue())) == 1
+
+
 def test_a_held_table_leaves_no_shuffle_files(spark, tmp_path):
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     files = lambda: disk.getAllFiles().mkString(" ").count("shuffle_")
