@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import math
 import re
 import time
 from contextlib import redirect_stdout
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandlake.operators import features, local, score
@@ -84,6 +86,17 @@ def test_coverage_shuffles_classes_once(spark):
     assert len(re.findall(r"Exchange hashpartitioning\(h22", out.getvalue())) == 1
 
 
+def test_scores_do_not_depend_on_the_order_of_occurrences(spark):
+    """Two taxa have the same weights in another order: their sums are equal, and the exact ones, so the name decides."""
+    rng = np.random.default_rng(0)
+    w = (rng.random(3000) * 90 + 0.01).tolist()
+    schema, numbers = "read long, pos int, weight double, deg long, strength double, taxa array<long>", spark.createDataFrame([("a", "g", 0), ("b", "g", 65536)], "species string, genus string, taxon long")
+    rows = [(1, i, x, 2, 0.0, [65536]) for i, x in enumerate(sorted(w))] + [(1, 5000 + i, x, 2, 0.0, [0]) for i, x in enumerate(w)]
+    got = {r["species"]: (r["score"], r["evaluated"]) for r in score.scores(spark.createDataFrame(rows, schema).coalesce(1), numbers).collect()}
+    assert got["a"] == got["b"] == (math.fsum(w), math.fsum(w + w))
+    assert score.top_two(score.scores(spark.createDataFrame(rows, schema), numbers)).first()["species"] == "a"
+
+
 def test_a_held_table_leaves_no_shuffle_files(spark, tmp_path):
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     files = lambda: disk.getAllFiles().mkString(" ").count("shuffle_")
