@@ -68,7 +68,7 @@ class Chain:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return self.spool.held("scores", lambda: score.scores(self.parts, self.numbers))
+        return self.spool.held("scored", lambda: score.scores(self.parts, self.numbers))
 
     @cached_property
     def sampled(self) -> DataFrame:

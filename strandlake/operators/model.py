@@ -190,17 +190,14 @@ def nearest_rank(rows: DataFrame, value: str, q: float) -> DataFrame:
     return n.withColumn("held", held).crossJoin(F.broadcast(total)).where(F.col("held") > F.floor(q * (F.col("n") - 1))).agg(F.min("v").alias("v"))
 
 
-def presence(parts: DataFrame, numbers: DataFrame, bits: int = 2048) -> DataFrame:
+def presence(parts: DataFrame, scores: DataFrame, numbers: DataFrame, bits: int = 2048) -> DataFrame:
     """(species, hits, uniq, reads, unique_reads, unique_obs, breadth_obs): evidence a taxon, by its number in `numbers`.
 
     uniq sums the strength of hits of this taxon alone; unique_obs and breadth_obs count, by
     bitmaps, the hashes and the bins of hits that are of this taxon and in one bin alone.
-    A read's occurrences are put together first.
+    `scores` are those of `parts`: a read's occurrences have been put together there.
     """
-    u = F.when(F.col("deg") == 1, F.col("strength")).otherwise(0.0).alias("u")
-    rows = parts.select("read", u, "taxa").repartition("read").select("read", "u", F.explode("taxa").alias("taxon"))
-    rows = rows.groupBy("read", "taxon").agg(F.count("*").alias("hits"), F.sum("u").alias("uniq"), F.max(F.col("u") > 0).alias("alone"))
-    rows = score.named(rows, numbers).groupBy("read", "species").agg(F.sum("hits").alias("hits"), F.sum("uniq").alias("uniq"), F.max("alone").alias("alone"))
+    rows = scores.groupBy("read", "species").agg(F.sum("hits").alias("hits"), F.sum("uniq").alias("uniq"), F.max(F.col("uniq") > 0).alias("alone"))
     r = F.col("read").isNotNull().cast("long")
     stats = rows.groupBy("species").agg(F.sum("hits").alias("hits"), F.sum("uniq").alias("uniq"), F.sum(r).alias("reads"), F.sum(F.when(F.col("alone"), r).otherwise(0)).alias("unique_reads"))
     edge = parts.where("deg = 1 and dfb = 1").select(F.pmod("hash", F.lit(bits)).alias("low"), "bin", F.explode("taxa").alias("taxon"))

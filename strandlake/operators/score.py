@@ -89,12 +89,12 @@ def named(rows: DataFrame, numbers: DataFrame) -> DataFrame:
 
 
 def scores(parts: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(read, species, genus, score, uniq, evaluated, n): summed over occurrences, each counted once to `evaluated`; sums don't depend on the order."""
+    """(read, species, genus, score, uniq, hits, evaluated, n): summed over occurrences, each counted once to `evaluated`; sums don't depend on the order."""
     part = W.partitionBy("read")
     rows = parts.select("read", "weight", F.when(F.col("deg") == 1, F.col("strength")).otherwise(0.0).alias("strength"), "taxa")
     rows = rows.withColumn("evaluated", S.added("weight", lambda x: F.sum(x).over(part))).withColumn("n", F.count("*").over(part))
-    rows = rows.withColumn("taxon", F.explode("taxa")).groupBy("read", "taxon").agg(S.added("weight").alias("score"), F.sum("strength").alias("uniq"), F.first("evaluated").alias("evaluated"), F.first("n").alias("n"))
-    return named(rows, numbers).select("read", "species", "genus", "score", "uniq", "evaluated", "n")
+    rows = rows.withColumn("taxon", F.explode("taxa")).groupBy("read", "taxon").agg(S.added("weight").alias("score"), F.sum("strength").alias("uniq"), F.count("*").alias("hits"), F.first("evaluated").alias("evaluated"), F.first("n").alias("n"))
+    return named(rows, numbers).select("read", "species", "genus", "score", "uniq", "hits", "evaluated", "n")
 
 
 def ranked(rows: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def read_lengths(b: Base):
 
 
 def presence(b: Base):
-    return model.exposed(model.presence(b.parts, b.numbers), b.archive.coverage, read_lengths(b), SPAN)
+    return model.exposed(model.presence(b.parts, b.scores, b.numbers), b.archive.coverage, read_lengths(b), SPAN)
 
 
 def posterior(b: Base):
@@ -68,7 +68,7 @@ def prior(b: Base):
 
 @query("a10_presence_statistics", "SELECT species, hits, round(uniq, 6) AS uniq, reads, unique_reads, unique_obs, breadth_obs FROM pres", _PRES)
 def _(b: Base):
-    return model.presence(b.parts, b.numbers).select("species", "hits", r6(F.col("uniq"), "uniq"), "reads", "unique_reads", "unique_obs", "breadth_obs")
+    return model.presence(b.parts, b.scores, b.numbers).select("species", "hits", r6(F.col("uniq"), "uniq"), "reads", "unique_reads", "unique_obs", "breadth_obs")
 
 
 @query("j7_presence_coverage", "SELECT species, hits, round(expected, 6) AS expected, round(exposure, 6) AS exposure FROM pe", _PRES)
@@ -83,7 +83,7 @@ def _(b: Base):
 
 @query("t7_nearest_rank", "SELECT round(faint, 6) AS v FROM cut", _PRES)
 def _(b: Base):
-    return model.nearest_rank(model.presence(b.parts, b.numbers).select(F.col("hits").cast("double").alias("hits")), "hits", 0.3).select(r6(F.col("v"), "v"))
+    return model.nearest_rank(model.presence(b.parts, b.scores, b.numbers).select(F.col("hits").cast("double").alias("hits")), "hits", 0.3).select(r6(F.col("v"), "v"))
 
 
 @query("j8_prior_scale", "SELECT species, round(scale, 6) AS scale FROM scale", _PRES)

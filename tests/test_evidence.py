@@ -11,7 +11,7 @@ from contextlib import redirect_stdout
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandlake.operators import features, local, score
+from strandlake.operators import features, local, model, score
 from strandlake.plans.base import Base
 from strandlake.plans.model import chained
 from strandlake.sources.archive import Store, exists
@@ -119,3 +119,24 @@ def test_chains_hold_no_anchors_but_those_of_the_passages(spark):
     assert met.count() and not met.join(q, "key", "left_anti").count()
     want = local.chains(local.anchor_hits(q, local.rare_keys(features.anchors(b.refs.select("tid", "seq")))))
     assert sorted(map(tuple, want.collect())) == sorted(map(tuple, chained(b).collect()))
+
+
+def test_presence_deals_out_no_occurrences(spark):
+    """What a read shows of a taxon is in its scores, so no occurrence is shuffled by its read once more."""
+    feats, reads, numbers = _tables(spark)
+    parts = score.shared(reads, feats, numbers, {"enabled": False, "threshold": 0, "counters": 16}, 64, 0.25, 100).localCheckpoint()
+    sums = score.scores(parts, numbers).localCheckpoint()
+    got = model.presence(parts, sums, numbers)
+    names, want = {r["taxon"]: r["species"] for r in numbers.collect()}, {}
+    for r in parts.collect():
+        for t in r["taxa"]:
+            x = want.setdefault(names[t], [0, 0.0, set(), set()])
+            u = r["strength"] if r["deg"] == 1 else 0.0
+            x[0], x[1] = x[0] + 1, x[1] + u
+            x[2].add(r["read"]), x[3].update([r["read"]] if u > 0 else [])
+    assert {r["species"]: (r["hits"], r["uniq"], r["reads"], r["unique_reads"]) for r in got.collect()} == {k: (n, u, len(a), len(b)) for k, (n, u, a, b) in want.items()}
+    out = io.StringIO()
+    with redirect_stdout(out):
+        got.explain("formatted")
+    assert "REPARTITION_BY_COL" not in out.getvalue()
+    assert all("taxon" not in x or "bitmap" in x or "buf" in x for x in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", out.getvalue()))
