@@ -121,8 +121,8 @@ def classify(spark: SparkSession, archive: Archive, reads: DataFrame, out: str)
     from strandlake.plans import model as steps
 
     run = Run(spark, archive, reads, f"{out}/spool")
-    decided = run.spool.held("readout", lambda: steps.readout(run))
-    lines = steps.read_lines(decided, steps._top(steps.pruned(run)), steps._top(steps.mixed(run)[0]), reads)
+    decided = steps.readout(run)
+    lines = steps.read_lines(decided, steps._top(steps.pruned(run)), steps._top(steps.blended(run)), reads)
     rows = run.spool.held("abundance", lambda: steps.abundance(run))
     made = {"Profile": profile.table(rows).orderBy("place").drop("place"), "Cami": profile.cami(rows), "Trace": profile.read_trace(decided, rows)}
     files.write_ragged(lines, f"{out}/Classify.tsv", "line")

@@ -154,6 +154,11 @@ def mixed(b: Base):
     return model.mixture(retained(b), MIX_ROUNDS)
 
 
+def blended(b: Base):
+    """The sample mixture's posteriors, fitted once."""
+    return b.spool.held("mixture", lambda: mixed(b)[0])
+
+
 @query("m4_sample_mixture", "SELECT species, round(pi, 6) AS pi FROM ms", _MIX)
 def _(b: Base):
     return mixed(b)[1].select("species", r6(F.col("pi"), "pi"))
@@ -264,8 +269,13 @@ ro AS (SELECT y0.read, CASE mode WHEN 'released' THEN top WHEN 'switched' THEN n
 
 
 def pruned(b: Base):
-    post, pi = fitted(b)
-    return model.pruned(post, F.broadcast(pi), F.broadcast(posterior(b).select("species", "level")), LEAST).join(F.broadcast(b.taxa), "species")  # a row a taxon
+    """Pruned posteriors of the assignment mixture, fitted once."""
+
+    def make():
+        post, pi = fitted(b)
+        return model.pruned(post, F.broadcast(pi), F.broadcast(posterior(b).select("species", "level")), LEAST).join(F.broadcast(b.taxa), "species")  # a row a taxon
+
+    return b.spool.held("pruned", make)
 
 
 def decisions(b: Base):
@@ -273,7 +283,7 @@ def decisions(b: Base):
 
 
 def readout(b: Base):
-    return model.readout(decisions(b), mixed(b)[0], F.broadcast(b.taxa))  # a row a taxon
+    return b.spool.held("readout", lambda: model.readout(decisions(b), blended(b), F.broadcast(b.taxa)))  # a row a taxon
 
 
 @query("f10_posterior_prune", "SELECT read, species, round(q, 6) AS q FROM pr", _PRUNE)
@@ -336,7 +346,7 @@ def read_lines(rows, tops, mixed_tops, reads):
     _READ,
 )
 def _(b: Base):
-    return read_lines(readout(b), _top(pruned(b)), _top(mixed(b)[0]), b.reads)
+    return read_lines(readout(b), _top(pruned(b)), _top(blended(b)), b.reads)
 
 
 _PROF = _READ + """

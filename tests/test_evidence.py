@@ -12,7 +12,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandlake.operators import features, local, model, score
-from strandlake.plans.base import Base
+from strandlake.plans import model as steps
+from strandlake.plans.base import QUERIES, Base
 from strandlake.plans.model import chained
 from strandlake.sources.archive import Store, exists
 
@@ -140,3 +141,13 @@ def test_presence_deals_out_no_occurrences(spark):
         got.explain("formatted")
     assert "REPARTITION_BY_COL" not in out.getvalue()
     assert all("taxon" not in x or "bitmap" in x or "buf" in x for x in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", out.getvalue()))
+
+
+def test_posteriors_are_fitted_once_a_session(spark, monkeypatch):
+    made, packed = [], model.Packed
+    monkeypatch.setattr(model, "Packed", lambda *a, **k: made.append(1) or packed(*a, **k))
+    monkeypatch.setattr(steps, "ROUNDS", 2)
+    sf = "/root/testdata/sf0.001/"  # a path of its own, and so an archive
+    for name in ("x13_release_gain", "k1_read_table", "k4_read_trace", "a24_post_topk", "f12_final_decision"):
+        assert QUERIES[name](spark, sf).count()
+    assert len(made) == 2  # the assignment's and the sample mixture's
