@@ -68,7 +68,12 @@ class Chain:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return self.spool.held("scored", lambda: score.scores(self.parts, self.numbers))
+        return self.spool.dealt("scored", self.parts, lambda k, n: score.scores(score.stretch(self.parts, k, n), self.numbers))
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        """One row: the number of reads and their bases."""
+        return self.spool.held("lengths", lambda: self.reads.agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("bases")))
 
     @cached_property
     def sampled(self) -> DataFrame:

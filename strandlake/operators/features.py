@@ -153,19 +153,42 @@ def kept(feats: DataFrame, freq: DataFrame, limits: DataFrame, unique_degree: in
     return rows.where(~F.col("enabled") | (F.col("df") < F.col("threshold"))).withColumn("uniq", F.col("df") <= unique_degree).drop("threshold", "enabled")
 
 
+def bases(seqs: DataFrame, by: str) -> DataFrame:
+    """(by, sequences, bp): the sequences of a taxon and their bases."""
+    return seqs.groupBy(by).agg(F.count("*").alias("sequences"), F.sum(F.length("seq")).alias("bp"))
+
+
 def counters(kept: DataFrame, seqs: DataFrame, by: str) -> DataFrame:
     """Per taxon: bases of all sequences, features kept, those that are unique."""
-    bp = seqs.groupBy(by).agg(F.sum(F.length("seq")).alias("bp"))
-    own = kept.groupBy(by).agg(F.count("*").alias("total"), F.sum(F.col("uniq").cast("long")).alias("unique"))
-    return bp.join(own, by, "left").na.fill(0, ["total", "unique"])
+    return joined(bases(seqs, by), _counted(kept, by), by)
+
+
+def joined(lengths: DataFrame, tallies: DataFrame, by: str) -> DataFrame:
+    """counters() from bases() and from (by, total, unique) of any stretches of classes."""
+    own = tallies.groupBy(by).agg(F.sum("total").alias("total"), F.sum("unique").alias("unique"))
+    return lengths.select(by, "bp").join(own, by, "left").na.fill(0, ["total", "unique"])
+
+
+def _counted(kept: DataFrame, by: str) -> DataFrame:
+    return kept.groupBy(by).agg(F.count("*").alias("total"), F.sum(F.col("uniq").cast("long")).alias("unique"))
+
+
+def stretch(feats: DataFrame, k: int, n: int) -> DataFrame:
+    """The features of every n-th class of hashes, from the k-th on; classes stay whole."""
+    return feats.where(F.pmod(F.col("hash").bitwiseAND(F.lit(4194303)), F.lit(n)) == k) if n > 1 else feats
 
 
 def tallied(feats: DataFrame, seqs: DataFrame, limits: DataFrame, by: str) -> DataFrame:
-    """counters() of the features that kept() keeps, in one shuffle of their classes and taxa: a class's rows count its frequency."""
+    """counters() of the features that kept() keeps."""
+    return joined(bases(seqs, by), tally(feats, limits, by), by)
+
+
+def tally(feats: DataFrame, limits: DataFrame, by: str) -> DataFrame:
+    """(by, total, unique) of the features that kept() keeps, in one shuffle of their classes and taxa: a class's rows count its frequency."""
     rows = feats.select(F.col("hash").bitwiseAND(F.lit(4194303)).cast("int").alias("h22"), by)
     rows = rows.withColumn("df", F.count("*").over(W.partitionBy("h22"))).crossJoin(F.broadcast(limits.select("threshold", "enabled")))  # one row
     rows = rows.where(~F.col("enabled") | (F.col("df") < F.col("threshold")))
-    return counters(rows.withColumn("uniq", F.col("df") <= 1), seqs, by)
+    return _counted(rows.withColumn("uniq", F.col("df") <= 1), by)
 
 
 def coverage(count: DataFrame, span: int, read: int = 150) -> DataFrame:

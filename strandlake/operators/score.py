@@ -97,6 +97,11 @@ def scores(parts: DataFrame, numbers: DataFrame) -> DataFrame:
     return named(rows, numbers).select("read", "species", "genus", "score", "uniq", "hits", "evaluated", "n")
 
 
+def stretch(parts: DataFrame, k: int, n: int) -> DataFrame:
+    """The evidence of an n-th of the reads; a read's stays whole."""
+    return parts.where(F.pmod(F.xxhash64("read"), F.lit(n)) == k) if n > 1 else parts
+
+
 def ranked(rows: DataFrame) -> DataFrame:
     """Adds rn: by score, then name."""
     return rows.withColumn("rn", F.row_number().over(W.partitionBy("read").orderBy(F.desc(F.round("score", 9)), "species")))

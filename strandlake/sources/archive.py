@@ -2,8 +2,8 @@
 
 Tables below one folder, all Parquet: `features` (tid, genus, species, bin, pos, hash),
 `frequency` (h22, df), `occurrences` (hash, df), `index` (hash, bin, tid, species, genus) in
-the order of its hashes, `anchors` (tid, key, pos, strand), `coverage` (a row a species), `taxa`
-(species, genus, sources) and
+the order of its hashes, `anchors` (tid, key, pos, strand), `coverage` (a row a species), `bases`
+(species, sequences, bp), `taxa` (species, genus, sources) and
 `limits` (one row: threshold, enabled, counters). A table is written when it is first asked
 for, or all at once by `build`; a folder that has one is read.
 """
@@ -21,7 +21,8 @@ from strandlake.operators import features, probe
 from .shared import shuffles_dropped
 
 SPAN = 67  # bases that a feature's hashing needs
-TABLES = ("taxa", "features", "frequency", "limits", "occurrences", "index", "coverage", "anchors")
+EACH, MOST = 10_000_000, 3  # rows that are dealt out at a time, and stretches that a table is read for them
+TABLES = ("taxa", "bases", "features", "frequency", "limits", "occurrences", "index", "coverage", "anchors")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -38,11 +39,22 @@ class Store:
 
     def held(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The table of that name, written by make() if it isn't there."""
+        return self.spark.read.parquet(self._written(name, make))
+
+    def dealt(self, name: str, rows: DataFrame, make: Callable[[int, int], DataFrame]) -> DataFrame:
+        """The table of that name, put together of make(k, n) for each k below n, so of the shuffle files only an n-th lie on disk at a time.
+
+        n follows the number of `rows`, which every stretch reads, and is small.
+        """
+        n = max(1, min(MOST, -(-rows.count() // EACH)))
+        return self.spark.read.parquet(*(self._written(f"{name}/{k}-of-{n}", lambda k=k: make(k, n)) for k in range(n)))
+
+    def _written(self, name: str, make: Callable[[], DataFrame]) -> str:
         at = f"{self.path}/{name}"
         if not exists(self.spark, at):
             with shuffles_dropped(self.spark):
                 make().write.mode("overwrite").parquet(at)  # what a run that was cut off has left is written anew
-        return self.spark.read.parquet(at)
+        return at
 
 
 class Archive(Store):
@@ -67,6 +79,11 @@ class Archive(Store):
     def taxa(self) -> DataFrame:
         return self.held("taxa", lambda: self.refs.groupBy("species", "genus").agg(F.count("*").alias("sources")))
 
+    @cached_property
+    def bases(self) -> DataFrame:
+        """(species, sequences, bp), so sequences are measured once."""
+        return self.held("bases", lambda: features.bases(self.refs, "species"))
+
     @cached_property
     def features(self) -> DataFrame:
         return self.held("features", lambda: features.features(self.refs).withColumn("bin", F.pmod("tid", F.lit(self.bins))))
@@ -97,7 +114,12 @@ class Archive(Store):
     @cached_property
     def coverage(self) -> DataFrame:
         """(species, bp, total, unique, unique_density, expected)."""
-        return self.held("coverage", lambda: features.coverage(features.tallied(self.features, self.refs, self.limits, "species"), SPAN))
+
+        def make() -> DataFrame:
+            own = self.dealt("tallies", self.features, lambda k, n: features.tally(features.stretch(self.features, k, n), self.limits, "species"))
+            return features.coverage(features.joined(self.bases, own, "species"), SPAN)
+
+        return self.held("coverage", make)
 
     @cached_property
     def anchors(self) -> DataFrame:

@@ -15,6 +15,7 @@ from strandlake.operators import features, local, model, score
 from strandlake.plans import model as steps
 from strandlake.plans.base import QUERIES, Base
 from strandlake.plans.model import chained
+from strandlake.sources import archive
 from strandlake.sources.archive import Store, exists
 
 FEATS = [  # tid, genus, species, bin, pos, hash
@@ -151,3 +152,21 @@ def test_posteriors_are_fitted_once_a_session(spark, monkeypatch):
     for name in ("x13_release_gain", "k1_read_table", "k4_read_trace", "a24_post_topk", "f12_final_decision"):
         assert QUERIES[name](spark, sf).count()
     assert len(made) == 2  # the assignment's and the sample mixture's
+
+
+def test_evidence_scores_and_coverage_are_dealt_out_in_stretches(spark, monkeypatch):
+    """A third of the rows at a time lies in shuffle files; the tables are the same."""
+    whole, third = (Base(spark, f"/root/testdata/{sf}") for sf in ("sf0.001//", "./sf0.001"))  # paths of their own, and so archives
+    names = ("parts", "scores", "coverage")
+
+    def rows(b, what):
+        df = b.archive.coverage if what == "coverage" else getattr(b, what)
+        return sorted(str([sorted(x) if isinstance(x, list) else x for x in r]) for r in df.select(*sorted(df.columns)).collect())
+
+    want = [rows(whole, x) for x in names]
+    monkeypatch.setattr(archive, "EACH", 1000)
+    assert [rows(third, x) for x in names] == want and all(want)
+    for b, n in ((whole, 1), (third, 3)):
+        for at in (f"{b.spool.path}/parts", f"{b.spool.path}/scored", f"{b.archive.path}/tallies"):
+            assert all(exists(spark, f"{at}/{k}-of-{n}") for k in range(n))
+            assert n == 1 or all(spark.read.parquet(f"{at}/{k}-of-{n}").count() for k in range(n))
