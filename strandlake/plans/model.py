@@ -51,7 +51,7 @@ SPAN = 67
 
 def read_lengths(b: Base):
     """One row: the number of reads and their whole average length."""
-    return b.reads.agg(F.count("*").alias("n"), F.floor(F.sum(F.length("seq")) / F.count("*")).alias("average"))
+    return b.lengths.select("n", F.floor(F.col("bases") / F.col("n")).alias("average"))
 
 
 def presence(b: Base):

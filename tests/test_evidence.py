@@ -170,3 +170,11 @@ def test_evidence_scores_and_coverage_are_dealt_out_in_stretches(spark, monkeypa
         for at in (f"{b.spool.path}/parts", f"{b.spool.path}/scored", f"{b.archive.path}/tallies"):
             assert all(exists(spark, f"{at}/{k}-of-{n}") for k in range(n))
             assert n == 1 or all(spark.read.parquet(f"{at}/{k}-of-{n}").count() for k in range(n))
+
+
+def test_sequences_are_measured_once(spark):
+    b = Base(spark, "/root/testdata/sf0.001")
+    want = b.reads.agg(F.count("*").alias("n"), F.floor(F.sum(F.length("seq")) / F.count("*")).alias("average")).first()
+    got = steps.read_lengths(b)
+    assert got.first() == want
+    assert steps.prior(b).count() and not any("documents" in x for x in steps.prior(b).inputFiles() + steps.presence(b).inputFiles())
